@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 2 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="shared")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; lost executors cost no recomputation of what led here."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
