@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.warc import round_trip
 
@@ -30,6 +36,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op9_warc": op9_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
