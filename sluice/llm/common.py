@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a block of its own.
@@ -35,7 +36,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Itera
     """The batch in row ranges of at most `most` bytes of one text column, one row at least."""
     if not batch.num_rows:
         return
-    sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     ends, first = np.cumsum(sizes), 0
     while first < batch.num_rows:
         base = ends[first - 1] if first else 0
