@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,3 +139,16 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
         out = (out ^ hashes[i : i + len(out)]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
         out ^= out >> np.uint64(32)
     return mix(out)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path for `dropped`."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

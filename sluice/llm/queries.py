@@ -41,6 +41,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.substring_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack_documents
 
@@ -48,6 +54,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
