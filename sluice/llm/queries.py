@@ -53,7 +53,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op1_toxicity": op1_toxicity,
