@@ -47,6 +47,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.pii import found
+
+    return found(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack_documents
 
@@ -60,6 +66,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op6_pii": op6_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
