@@ -35,6 +35,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.quality_classifier import classified
+
+    return classified(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.near_dedup import near_duplicates
 
@@ -66,6 +72,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_pii": op6_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
