@@ -41,6 +41,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.html_extraction import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.near_dedup import near_duplicates
 
@@ -72,6 +78,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op4_html_extraction": op4_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_pii": op6_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
