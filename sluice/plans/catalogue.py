@@ -1,6 +1,296 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sluice.functions import ids, text, urls
+from sluice.functions.text import RE2_WS
+from sluice.operators import extract, views
+from sluice.operators.dedupe import keep_best, keep_first, keep_last, link_key
+from sluice.operators.state import decide, run_status
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _clean_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, letter in text.ENTITIES:
+        x = f"replace({x}, '{name}', '{letter if letter != chr(39) else chr(39) * 2}')"
+    return f"trim(regexp_replace({x}, '{RE2_WS}+', ' ', 'g'), ' ')"
+
+
+def _hash_sql(x: str) -> str:
+    return f"printf('%08x', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda a, b: xor((a * 33) & 4294967295, b)))"
+
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_LINKS = rf"""links AS (
+  SELECT page_id, url AS page_url, (i - 1)::INT AS pos, hrefs[i] AS href, {_clean_sql('labels[i]')} AS title
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<li><a\s+href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS labels FROM pages),
+  LATERAL (SELECT unnest(generate_series(1, len(hrefs))) AS i)),
+named AS (SELECT *, regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href AS url FROM links WHERE href LIKE '/%'),
+firsts AS (SELECT * FROM named WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(url) || '|' || lower(title) ORDER BY pos) = 1)"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, pos, title, url of the plain list links of all pages, in column functions."""
+    pages = table(spark, sf_dir, "pages")
+    rows = extract.found(pages, r'<li><a\s+href="([^"]*)"[^>]*>([^<]*)</a>', href=1, label=2).filter(F.col("href").startswith("/"))
+    return rows.select("page_id", "pos", text.clean_text("label").alias("title"), urls.absolute_url("href", "url").alias("url"), F.col("url").alias("page_url"))
+
+
+@query(f"WITH {_LINKS} SELECT regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) AS site_id, count(*)::BIGINT AS n_links, count(DISTINCT url)::BIGINT AS n_urls, max({_hash_sql(chr(39) + chr(39) + ' || lower(url) || ' + chr(39) + '|' + chr(39) + ' || lower(title)')}) AS last_hash FROM firsts GROUP BY 1")
+def links_per_host(spark, sf_dir):
+    rows = keep_first(links(spark, sf_dir).filter("title <> ''"), ["page_id"], link_key())
+    host = F.regexp_extract(urls.origin("url"), "://([^:]+)", 1)
+    hashed = ids.djb2x(F.concat(F.lower("url"), F.lit("|"), F.lower(text.trim_ws("title"))))
+    return rows.groupBy(host.alias("site_id")).agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("url").alias("n_urls"), F.max(hashed).alias("last_hash"))
+
+
+@query(f"SELECT page_id, {_clean_sql(chr(34) + 'h1' + chr(34))} AS title FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages)")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("title"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, title, href FROM links")
+def extract_links(spark, sf_dir):
+    rows = extract.found(table(spark, sf_dir, "pages"), r'<li><a\s+href="([^"]*)"[^>]*>([^<]*)</a>', href=1, label=2)
+    return rows.select("page_id", "pos", text.clean_text("label").alias("title"), "href")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, url FROM named")
+def absolute_url(spark, sf_dir):
+    return links(spark, sf_dir).select("page_id", "pos", "url")
+
+
+@query("SELECT page_id, lower(regexp_replace(url, '[?#].*$', '')) AS bare_url, regexp_extract(lower(url), '^(https?://[^/?#:]+)', 1) AS origin FROM pages")
+def url_no_query(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", ids.url_without_query("url").alias("bare_url"), urls.origin("url").alias("origin"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, title, url FROM firsts")
+def dedupe_first(spark, sf_dir):
+    return keep_first(links(spark, sf_dir).filter("title <> ''"), ["page_id"], link_key()).select("page_id", "pos", "title", "url")
+
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS rank_order, l_orderkey::BIGINT * 10 + l_linenumber::BIGINT AS pos FROM lineitem"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey"), F.col("l_quantity").cast("double").alias("rank_order"), (F.col("l_orderkey").cast("bigint") * 10 + F.col("l_linenumber").cast("bigint")).alias("pos"))
+
+
+@query(f"SELECT l_partkey, rank_order, pos, min(pos) OVER (PARTITION BY l_partkey) AS first_pos FROM ({_LINES}) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY pos DESC) = 1")
+def dedupe_last(spark, sf_dir):
+    return keep_last(_lines(spark, sf_dir), [], F.col("l_partkey"))
+
+
+@query(f"SELECT l_partkey, rank_order, pos, min(pos) OVER (PARTITION BY l_partkey) AS first_pos FROM ({_LINES}) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY rank_order, pos) = 1")
+def dedupe_rank(spark, sf_dir):
+    return keep_best(_lines(spark, sf_dir), [], F.col("l_partkey"))
+
+
+@query(f"SELECT page_id, 'site:' || {_hash_sql(chr(39) + chr(39) + ' || lower(url) || ' + chr(39) + '|' + chr(39) + ' || lower(title)')} AS id FROM (SELECT page_id, url, {_clean_sql('h1')} AS title FROM (SELECT *, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages))")
+def item_id(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("title", text.clean_text(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)))
+    return pages.select("page_id", ids.item_id(F.lit("site"), "url", "title").alias("id"))
+
+
+@query("""WITH sites AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS site_url, '.*/' || split_part(regexp_extract(url, '^https?://([^/?#]+)', 1), '.', 1) || '/.*' AS rx, min(page_id) AS first FROM pages GROUP BY ALL ORDER BY first LIMIT 20)
+SELECT page_id, id AS site_id FROM pages, sites WHERE regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) = regexp_extract(lower(site_url), '^(https?://[^/?#]+)', 1) OR regexp_full_match(url, rx)""")
+def site_match(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    sites = pages.groupBy(host.alias("id")).agg(F.min("page_id").alias("first")).orderBy("first").limit(20)  # the registered sites: a dimension
+    sites = sites.select("id", F.concat(F.lit("https://"), "id", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("configured_url"), F.array(F.concat(F.lit("*/"), F.split_part("id", F.lit("."), F.lit(1)), F.lit("/*"))).alias("match_patterns"))
+    return views.matching_sites(pages.select("page_id", "url"), F.broadcast(sites)).select("page_id", "site_id")
+
+
+_BATCH = "WITH ev AS (SELECT event_type || ':' || user_id::VARCHAR AS id, event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS t, user_id FROM events), old AS (SELECT id, min(site_id) AS site_id, min(t) AS t0, max(t) AS t1, count(*)::BIGINT AS n, min(user_id) AS u FROM ev WHERE t < 1705276800000 GROUP BY id), batch AS (SELECT id, min(site_id) AS site_id FROM ev WHERE t >= 1705276800000 GROUP BY id), items AS (SELECT * FROM old WHERE u % 5 <> 0), log AS (SELECT * FROM old WHERE u % 7 <> 0)"
+
+
+def _state(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("site_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "user_id")
+    old = events.filter("t < 1705276800000").groupBy("id").agg(F.min("site_id").alias("site_id"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.min("user_id").alias("u"))
+    batch = events.filter("t >= 1705276800000").groupBy("id").agg(F.min("site_id").alias("site_id")).withColumn("crawled_at", F.lit(1705276800000).cast("bigint"))
+    items = old.filter("u % 5 <> 0").select("id", "site_id", F.col("t0").alias("crawled_at"))
+    log = old.filter("u % 7 <> 0").select("id", "site_id", F.col("id").alias("item_id"), F.col("t0").alias("first_seen_at"), F.col("t1").alias("last_seen_at"), F.col("n").alias("seen_count"))
+    return batch, items, log
+
+
+@query(f"{_BATCH} SELECT b.id, CASE WHEN l.id IS NULL AND i.id IS NULL THEN 'insert' WHEN l.id IS NULL THEN 'relog' WHEN i.id IS NULL THEN 'tombstone' ELSE 'repeat' END AS decision, coalesce(l.t0, i.t0, 1705276800000)::BIGINT AS first_seen_at, CASE WHEN l.id IS NOT NULL THEN l.n + 1 WHEN i.id IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS seen_count FROM batch b LEFT JOIN log l ON l.id = b.id LEFT JOIN items i ON i.id = b.id")
+def upsert_decision(spark, sf_dir):
+    from sluice.operators.state import merge
+
+    batch, items, log = _state(spark, sf_dir)
+    merged = merge(batch, items, log)
+    kind = F.when(F.col("is_fresh"), "insert").when(F.col("old_count").isNull(), "relog").when(F.col("item_at").isNull(), "tombstone").otherwise("repeat")
+    decided = merged.decided.select("id", "is_fresh", "item_at", F.col("seen_count").alias("old_count"))
+    return decided.join(merged.log, "id").select("id", kind.alias("decision"), "first_seen_at", "seen_count")
+
+
+@query(f"{_BATCH} SELECT b.id FROM batch b WHERE EXISTS (SELECT 1 FROM log l WHERE l.id = b.id) AND NOT EXISTS (SELECT 1 FROM items i WHERE i.id = b.id)")
+def tombstone_recrawl(spark, sf_dir):
+    batch, items, log = _state(spark, sf_dir)
+    return decide(batch, items, log).filter("item_at IS NULL AND seen_count IS NOT NULL").select("id")
+
+
+@query("SELECT event_type || ':' || user_id::VARCHAR AS id, min(epoch_us(ts) // 1000)::BIGINT AS first_seen_at, max(epoch_us(ts) // 1000)::BIGINT AS last_seen_at, count(DISTINCT ts::DATE)::BIGINT AS seen_count FROM events GROUP BY 1")
+def seen_log(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return events.groupBy(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("id")).agg(F.min("ms").alias("first_seen_at"), F.max("ms").alias("last_seen_at"), F.countDistinct(F.to_date("ts")).alias("seen_count"))
+
+
+def _rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("site_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("crawled_at"), F.col("event_id").alias("id"))
+
+
+@query("SELECT event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS crawled_at, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 200")
+def top_items(spark, sf_dir):
+    return views.top_of_each(_rows(spark, sf_dir))
+
+
+@query("SELECT event_id AS id, (epoch_us(ts) // 1000)::BIGINT AS crawled_at, event_type AS site_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 200")
+def top_items_of_site(spark, sf_dir):
+    return views.top_of_site(_rows(spark, sf_dir), "purchase")
+
+
+@query("SELECT event_id AS run_id, event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS started_at FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_run(spark, sf_dir):
+    return views.latest_run(_rows(spark, sf_dir).select(F.col("id").alias("run_id"), "site_id", F.col("crawled_at").alias("started_at")))
+
+
+@query("SELECT s.site_id, count(e.event_id)::BIGINT AS n_items FROM (SELECT DISTINCT event_type AS site_id FROM events UNION SELECT 'missing') s LEFT JOIN events e ON e.event_type = s.site_id GROUP BY 1")
+def counts_zero_fill(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return views.counts(rows, rows.select("site_id").union(spark.sql("SELECT 'missing' AS site_id")).distinct())
+
+
+@query("SELECT count(*)::BIGINT AS total FROM events")
+def total_count(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return views.counts(rows, rows.select("site_id").distinct()).agg(F.sum("n_items").alias("total"))
+
+
+@query("""WITH day AS (SELECT ts::DATE AS d, event_type || ':' || user_id::VARCHAR AS id FROM events), firsts AS (SELECT id, min(d) AS d0 FROM day GROUP BY id)
+SELECT strftime(d, '%Y-%m-%d') AS run_id, count(DISTINCT day.id)::BIGINT AS parsed_count, count(DISTINCT day.id) FILTER (d = d0)::BIGINT AS stored_count, CASE WHEN count(*) FILTER (d = d0) > 0 THEN 'success' ELSE 'partial' END AS status, CASE WHEN count(*) FILTER (d = d0) = 0 THEN 'NO_ITEMS' END AS error_code FROM day JOIN firsts USING (id) GROUP BY d""")
+def run_summaries(spark, sf_dir):
+    day = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("id")).distinct()
+    marked = day.withColumn("fresh", F.col("d") == F.min("d").over(Window.partitionBy("id")))
+    runs = marked.groupBy("d").agg(F.count(F.lit(1)).alias("parsed_count"), F.count_if("fresh").alias("stored_count"))
+    return runs.select(F.date_format("d", "yyyy-MM-dd").alias("run_id"), "parsed_count", "stored_count", *run_status(F.col("stored_count")))
+
+
+@query("""SELECT p.event_id, coalesce(s.event_id, f.event_id) AS marker FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY ALL) s ON s.user_id = p.user_id AND s.ts <= p.ts
+LEFT JOIN (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'signup' GROUP BY 1) f ON f.user_id = p.user_id""")
+def asof_marker(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    own = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", (F.col("event_type") == "purchase"), "event_id")
+    first = F.min_by(own, F.when(own.isNotNull(), F.struct("ts", "event_id"))).over(Window.partitionBy("user_id"))
+    marked = rows.withColumn("marker", F.coalesce(F.last(own, ignorenulls=True).over(w), first))
+    return marked.filter("event_type = 'purchase'").select("event_id", "marker")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, lag(title) OVER w AS before, lead(title) OVER w AS after FROM links WINDOW w AS (PARTITION BY page_id ORDER BY pos)")
+def neighbour_chunks(spark, sf_dir):
+    rows = extract_links(spark, sf_dir)
+    w = Window.partitionBy("page_id").orderBy("pos")
+    return rows.select("page_id", "pos", F.lag("title").over(w).alias("before"), F.lead("title").over(w).alias("after"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS joined FROM conversations GROUP BY 1")
+def chunk_concat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("joined"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '조회수 ' || json_extract_string(props, '$.k') END AS views, coalesce(nullif(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0), event_id)::BIGINT AS rank_order FROM events")
+def json_fields(spark, sf_dir):
+    v = F.try_parse_json("props")
+    k = F.try_variant_get(v, "$.k", "string")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), text.views_snippet(F.try_variant_get(v, "$.k", "variant")).alias("views"), text.rank_or(k, F.col("event_id").cast("bigint")).alias("rank_order"))
+
+
+_TRIMMED = f"nullif(regexp_replace(text, '^{RE2_WS}+|{RE2_WS}+$', '', 'g'), '')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 280 THEN t ELSE left(t, 277) || '...' END AS snippet FROM (SELECT doc_id, {_TRIMMED} AS t FROM documents)")
+def clip_snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clip_snippet("text").alias("snippet"))
+
+
+@query("SELECT page_id, 'h1' AS source, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages WHERE NOT regexp_matches(html, '<h2>[^<]*</h2>') AND regexp_matches(html, '<h1>[^<]*</h1>') UNION ALL SELECT page_id, 'h2', regexp_extract(html, '<h2>([^<]*)</h2>', 1) FROM pages WHERE regexp_matches(html, '<h2>[^<]*</h2>')")
+def fallback_union(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rows = [pages.filter(F.col("html").rlike(f"<{h}>[^<]*</{h}>")).select("page_id", F.lit(h).alias("source"), F.regexp_extract("html", f"<{h}>([^<]*)</{h}>", 1).alias("title")) for h in ("h2", "h1")]
+    return extract.fallback_union(*rows)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 0 AND regexp_matches(s, '(?i)^https?://') THEN s ELSE url END AS link FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'https://example.com/i/status/' || page_id ELSE 'text' END AS s FROM pages)")
+def title_link(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("site", F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")))
+    summary = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://example.com/i/status/"), F.col("page_id").cast("string"))).otherwise("text")
+    return pages.select("page_id", urls.title_link("site", summary, "url", ("s1", "s2")).alias("link"))
+
+
+#: The views and the aliases of periods.
+VIEWS = ("ranking", "realtime", "recent")
+PERIODS = {"hourly": "hourly", "1h": "hourly", "daily": "daily", "24h": "daily", "weekly": "weekly", "7d": "weekly", "monthly": "monthly", "30d": "monthly"}
+
+
+@query(f"""SELECT page_id, view, period, {_ORIGIN} || '/api/' || view || '?period=' || period AS api_url FROM (SELECT page_id, url, coalesce(nullif(regexp_extract(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '(?:^|/)({"|".join(VIEWS)})(?:/|$)', 1), ''), 'ranking') AS view,
+CASE lower(regexp_extract(url, '[?&]page=([^&#]*)', 1)) WHEN '1' THEN 'hourly' WHEN '2' THEN 'daily' WHEN '3' THEN 'weekly' ELSE 'hourly' END AS period FROM pages)""")
+def period_from_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    view = F.coalesce(urls.first_segment_in("url", VIEWS), F.lit("ranking"))
+    period = F.coalesce(urls.first_alias("url", ("period", "time", "page"), PERIODS | {"1": "hourly", "2": "daily", "3": "weekly"}), F.lit("hourly"))
+    return pages.select("page_id", "url", view.alias("view"), period.alias("period")).select("page_id", "view", "period", urls.api_url("url", "view", "period").alias("api_url"))
+
+
+@query(f"SELECT {_ORIGIN} || '/*' AS pattern FROM pages UNION SELECT 'https://example.com/*'")
+def distinct_patterns(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select(F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/*")).alias("pattern"))
+    return own.union(spark.sql("SELECT 'https://example.com/*' AS pattern")).distinct()
+
+
+@query("SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 4 = 0 THEN 'https://other.example/' || page_id ELSE url END AS configured_url FROM pages")
+def config_merge(spark, sf_dir):
+    sites = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url")
+    own = sites.filter("CAST(id AS BIGINT) % 2 = 0").select("id", F.when(F.col("id").cast("bigint") % 4 == 0, F.concat(F.lit(" https://other.example/"), "id")).otherwise(" \t").alias("override_url"))
+    return views.configured(sites, own).select("id", "configured_url")
+
+
+@query("SELECT a.page_id, regexp_extract(lower(a.url), '^(https?://[^/?#]+)', 1) = regexp_extract(lower(b.url), '^(https?://[^/?#]+)', 1) AS same FROM pages a JOIN pages b ON b.page_id = a.page_id + 1")
+def same_origin(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    return pages.join(other, "page_id").select("page_id", urls.same_origin("url", "next_url").alias("same"))
+
+
+@query()
+def normalized_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalized_url("url").alias("url"), urls.preview_url("url").alias("preview_url"))
+
+
+@query()
+def list_links(spark, sf_dir):
+    return extract.list_links(table(spark, sf_dir, "pages"))
