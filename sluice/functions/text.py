@@ -73,7 +73,7 @@ def attribute_anywhere(c: Column | str, name: str) -> Column:
 def attribute(c: Column | str, name: str) -> Column:
     """Quoted value (may be empty) or bare value of an attribute of a tag; null where it is absent."""
     c = col(c)
-    double, single, bare = rf'(?i)\b{name}\s*=\s*"([^"]*)"', rf"(?i)\b{name}\s*=\s*'([^']*)'", rf"(?i)\b{name}\s*=\s*([^\s\"'=<>`]+)"
+    double, single, bare = rf'(?i)(?<![\w-]){name}\s*=\s*"([^"]*)"', rf"(?i)(?<![\w-]){name}\s*=\s*'([^']*)'", rf"(?i)(?<![\w-]){name}\s*=\s*([^\s\"'=<>`]+)"
     found = F.when(c.rlike(double), F.regexp_extract(c, double, 1)).when(c.rlike(single), F.regexp_extract(c, single, 1))
     return found.when(c.rlike(bare), F.regexp_extract(c, bare, 1))
 
