@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -24,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; lost executors cost no recomputation of what led here."""
     context = df.sparkSession.sparkContext
+    gc.collect()  # what earlier checkpoints replaced is unreferenced now: Spark deletes its shuffle files
+    context._jvm.System.gc()
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
@@ -141,6 +145,12 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def keys(df: DataFrame, *columns: str) -> DataFrame:
+    """Checkpointed integer columns whose partitioning Spark does not rely on: a join with them deals both sides
+    anew and may split a hot key, which it could not below an aggregate or on a side that lies partitioned."""
+    return durable(df.select(*columns)).select(*(F.col(c).bitwiseXOR(F.lit(0)).alias(c) for c in columns))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, and its path for `dropped`."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

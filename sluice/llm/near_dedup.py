@@ -7,7 +7,7 @@ J demands where both sketches are whole sets and otherwise so small that a true
 it with probability MISS, so with rare values first the first |sketch| - t + 1 of either
 must share one. The sketch of the union estimates J and filters; exact Jaccard on full sets decides.
 
-No list is expanded into all its pairs: each text is first held against the leaders of its lists, linked
+No list is expanded into all its pairs: each text is first held against two leaders of each of its lists, linked
 texts become one component, and only pairs between different components remain, so a group of
 thousands of near copies costs about its size. Links within one component are not needed there.
 
@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import blocks, durable, mix, shingles, text_bytes, word_hashes
+from sluice.llm.common import blocks, durable, keys, mix, shingles, text_bytes, word_hashes
 from sluice.llm.graph import components
 
 SKETCH = 64
 #: Chance that a true pair shares fewer retained values than the lists ask for.
 MISS = 1e-8
-#: Rounds against leaders before the remaining pairs between components are all tried.
-ROUNDS = 2
+#: Rows of wanted ids (32 bytes each) up to which they are broadcast to the texts; more are joined by shuffling.
+BROADCAST = 100_000
+#: Leaders that a text is verified against before the remaining pairs between components are all tried.
+TRIED = 3
 
 
 def least_shared(size: int, percent: int, miss: float = MISS) -> int:
@@ -92,7 +94,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [(node, own.view(np.int64)) for node, f1, f2, own in zip(*keys, shingle_sets(part, k)) if _fingerprint(own) == (f1, f2)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["node", "own"])
 
-    rows = documents.select("doc_id", "text").join(wanted.select("node", "doc_id", "f1", "f2"), "doc_id")
+    asked = wanted.withColumnRenamed("doc_id", "d")
+    rows = documents.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("d")))
     return rows.select("node", "f1", "f2", "text").mapInArrow(make, "node bigint, own array<bigint>")
 
 
@@ -110,6 +113,7 @@ class Linker:
         self.firsts = durable(firsts)
         self.reps = self.rows.join(self.firsts.select("rep"), F.col("node") == F.col("rep"), "left_semi")
         self.low = least_shared(size, percent)
+        self.sets: DataFrame | None = None
 
     def need(self, n: Column) -> Column:
         """Retained values that a partner of a set of n shingles shares at least."""
@@ -118,19 +122,25 @@ class Linker:
 
     def postings(self) -> DataFrame:
         """value, node, n: the retained values of each representative that a partner must meet, rarest first."""
-        each = self.reps.select("node", "n", F.explode("sketch").alias("value"))
-        often = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        shared = each.join(often, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        each = self.reps.select("node", F.explode("sketch").alias("value"))
+        often = keys(each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value", "df")
+        shared = each.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        shared = shared.join(self.rows.select("node", "n"), "node").filter(F.size("held") >= self.need(F.col("n")))
         size = F.least(F.col("n"), F.lit(self.size))
         most = (size - self.need(F.col("n")) + 1) - (size - F.size("held"))  # values that no other sketch has come first
         cut = shared.withColumn("most", most.cast("int")).filter("most > 0")
-        out = durable(cut.select("node", "n", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("x")).select("node", "n", "x.value"))
-        met = out.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
-        return durable(out.join(met, "value"))
+        cut = cut.select("node", "n", F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("weight"), F.transform(F.slice("held", F.lit(1), F.col("most")), lambda x: x["value"]).alias("prefix"))
+        cut = durable(cut)
+        self.prefixes = cut.select("node", "prefix")
+        out = cut.select("node", "n", "weight", F.explode("prefix").alias("value"))
+        met = keys(out.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "value")
+        out = durable(out.join(met, "value"))
+        self.near = durable(self.reps.join(out.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "f1", "f2", "sketch"))
+        return out
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose union's sketch leaves them possible, with the number of its values that both have."""
-        own = self.reps.select("node", "sketch")
+        own = self.near.select("node", "sketch")
         both = pairs.join(own.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
         union = F.slice(F.sort_array(F.array_union("a", "b")), 1, self.size)
         both = both.withColumn("union", union).withColumn("x", F.size(F.array_intersect(F.array_intersect("a", "b"), "union")))
@@ -138,37 +148,49 @@ class Linker:
         return both.filter(enough).select("u", "v", "x")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose full sets are as alike as asked."""
+        """Pairs (u, v) whose full sets are as alike as asked. Texts are read of those that are not held yet."""
         pairs = durable(pairs.select("u", "v"))
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        sets = durable(full_sets(self.documents, self.reps.select("node", "doc_id", "f1", "f2").join(nodes, "node", "left_semi"), self.k).dropDuplicates(["node"]))
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = durable(self.near.join(nodes, "node", "left_semi").select("node", "doc_id", "f1", "f2"))
+        if count := wanted.count():
+            more = durable(full_sets(self.documents, F.broadcast(wanted) if count <= BROADCAST else wanted, self.k).dropDuplicates(["node"]))
+            self.sets = more if self.sets is None else self.sets.union(more)
+        if self.sets is None:
+            return pairs
+        both = pairs.join(self.sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(self.sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
         both = both.withColumn("i", F.size(F.array_intersect("a", "b")))
         return durable(both.filter(100 * F.col("i") >= self.percent * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v"))
 
     def classes(self) -> DataFrame:
-        """node and component of the representatives that have a link."""
+        """node and component of the representatives that have a link.
+
+        The leaders of a list are the member whose values are the most common, which lies in the middle of
+        a group of near copies, and one by hash. Each text is verified against the TRIED most alike
+        of its leaders. Then every pair between components that still share a list is tried, once,
+        at the first value that their prefixes share.
+        """
         lists = self.postings()
-        links = None
-        for r in range(ROUNDS + 1):
-            if links is None:
-                now = lists.withColumn("c", F.col("node"))
-            else:
-                found = durable(components(links, "u", "v"))
-                now = lists.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            mixed = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x"))
-            mixed = mixed.filter("c1 <> c2").select("value", "x.v", "x.m", "x.d")
-            if r < ROUNDS:
-                pairs = now.join(mixed, "value").filter((F.col("c") != F.col("d")) & _alike(F.col("n"), F.col("m"), self.percent)).select(F.col("node").alias("u"), "v").distinct()
-                pairs = self.estimated(pairs).groupBy("u").agg(F.max(F.struct("x", "v")).alias("best")).select("u", "best.v")
-            else:
-                left = durable(now.join(mixed.select("value"), "value", "left_semi"))
-                right = left.select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-                pairs = left.join(right, "value").filter((F.col("node") < F.col("v")) & (F.col("c") != F.col("d")) & _alike(F.col("n"), F.col("m"), self.percent))
-                pairs = self.estimated(pairs.select(F.col("node").alias("u"), "v").distinct())
-            more = self.verified(pairs)
-            links = more if links is None else links.union(more)
-        return durable(components(links, "u", "v"))
+        by_weight = F.max(F.struct("weight", F.xxhash64("node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"))).alias("a")
+        by_hash = F.max(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"))).alias("b")
+        leaders = lists.groupBy("value").agg(by_weight, by_hash)
+        leaders = leaders.select("value", F.explode(F.array(F.struct("a.v", "a.m"), F.struct("b.v", "b.m"))).alias("x")).select("value", "x.v", "x.m")
+        pairs = lists.join(keys(leaders, "value", "v", "m"), "value").filter((F.col("node") != F.col("v")) & _alike(F.col("n"), F.col("m"), self.percent))
+        pairs = self.estimated(pairs.select(F.col("node").alias("u"), "v").distinct())
+        tried = pairs.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("x", "v")), False), 1, TRIED).alias("best"))
+        links = self.verified(tried.select("u", F.explode("best").alias("x")).select("u", "x.v"))
+
+        found = durable(components(links, "u", "v"))
+        now = lists.join(found, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("c"))
+        mixed = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
+        left = durable(now.join(keys(mixed, "value"), "value").join(self.prefixes, "node"))
+        right = left.select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("prefix").alias("other"))
+        own = (F.col("left.value") == F.col("right.value")) & (F.col("node") < F.col("v")) & (F.col("c") != F.col("d")) & _alike(F.col("n"), F.col("m"), self.percent)
+        own = own & (F.get(F.array_intersect("prefix", "other"), F.lit(0)) == F.col("left.value"))
+        rest = left.alias("left").join(right.alias("right"), own).select(F.col("node").alias("u"), "v")
+        more = self.verified(self.estimated(rest))
+        return durable(components(links.union(more), "u", "v"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -63,6 +63,14 @@ def test_equals_brute_force(spark, k):
     assert got == brute(rows, k)
 
 
+def test_shuffled_texts_and_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST", 0)
+    base = " ".join(f"w{i}" for i in range(50))
+    frame = spark.createDataFrame([(None, base), (5, base + " x"), (3, base), (9, "other words"), (4, "y " + base)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in N.near_duplicates(frame).collect()}
+    assert got == {None: (3, False), 5: (3, False), 3: (3, True), 4: (3, False), 9: (9, True)}
+
+
 def test_least_shared():
     draws = np.random.default_rng(0).binomial(64, 0.8, 200_000)
     t = N.least_shared(64, 80)
