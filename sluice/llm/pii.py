@@ -1,15 +1,16 @@
 """Personal data, in DataFrame functions only: patterns, and terms that reveal what the patterns find.
 
 Emails, IP addresses, card and phone numbers are found by pattern. Each distinct match is a protected
-entity. Terms are the words within WINDOW characters of a match on its line. Over all documents,
+entity. Terms are the words of the whole documents that hold a match, outside all matches. Over all documents,
 PMI(t; e) = log2(c(t,e) N / (c(t) c(e))) says how strongly term t reveals entity e and
-IC(e) = log2(N / c(e)) how much there is to reveal, with document counts. A term that reaches DISCLOSURE
-of IC and stands near e in at least SUPPORT different word neighbourhoods (so that copies of one
-passage count once) is sanitised wherever it stands in the documents that hold it near e: kind `term`.
-`sanitised` puts a general word for each span, such as [EMAIL] or [TERM].
+IC(e) = log2(N / c(e)) how much there is to reveal, with document counts in which copies of a text count
+once. A term that reaches DISCLOSURE of IC is sanitised wherever it stands in the documents that hold it and
+e, kind `term`, if it has the support: SUPPORT different word neighbourhoods in those documents, however few they
+are, or SUPPORT documents, or both documents of an entity that has two. `sanitised` puts a general word
+for each span, such as [EMAIL] or [TERM].
 
 Patterns use possessive repetition, so long runs neither overflow the stack nor are tried again from
-each place. Null text is empty; repeated rows count each; very long texts have windows of bounded size. An
+each place. Entities of the same documents are scored as one. Null text is empty; repeated rows give a row each. An
 empty table gives no rows. `sanitised` keeps other columns, `found` ignores them.
 """
 
@@ -32,9 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-WINDOW = 120
 SUPPORT = 3
 DISCLOSURE = 0.8
+#: Terms up to which they are broadcast to the documents; more are joined.
+BROADCAST = 200_000
 _LETTER = r"[\p{L}\p{N}]"
 
 
@@ -118,18 +120,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def _windows(text: Column, spans: Column) -> Column:
-    """For each span the whole words before and after it on its line, at most WINDOW characters on either side."""
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}\x01]+")
 
-    def around(x: Column) -> Column:
-        begin = F.greatest(x["start"] - WINDOW, F.lit(0))
-        before = F.substring_index(F.substring(text, begin + 1, x["start"] - begin), "\n", -1)
-        after = F.substring_index(F.substring(text, x["stop"] + 1, F.lit(WINDOW)), "\n", 1)
-        before = F.when(F.length(before) == WINDOW, F.regexp_replace(before, rf"^{_LETTER}+", "")).otherwise(before)
-        after = F.when(F.length(after) == WINDOW, F.regexp_replace(after, rf"{_LETTER}+$", "")).otherwise(after)
-        return F.struct(F.concat_ws(":", x["kind"], x["match"]).alias("entity"), F.split(F.lower(F.concat(before, F.lit(" \x01 "), after)), rf"[^\p{{L}}\p{{N}}\x01]+").alias("words"))
 
-    return F.transform(spans, around)
+def _outside(text: Column) -> Column:
+    """The text with a sign for each match of a pattern."""
+    for pattern in PATTERNS.values():
+        text = F.regexp_replace(text, pattern, " \x01 ")
+    return text
 
 
 def _read(documents: DataFrame) -> DataFrame:
@@ -139,32 +138,54 @@ def _read(documents: DataFrame) -> DataFrame:
     return rows.withColumn("base", base_spans(F.col("text")))
 
 
-def _near(read: DataFrame) -> DataFrame:
-    """doc_id, key, entity, term and the words beside the term."""
-    each = read.filter(F.size("base") > 0).select("doc_id", "key", F.explode(_windows(F.col("text"), F.col("base"))).alias("w"))
-    beside = F.transform("w.words", lambda x, i: F.struct(x.alias("term"), F.get(F.col("w.words"), i - 1).alias("left"), F.get(F.col("w.words"), i + 1).alias("right")))
-    words = each.select("doc_id", "key", "w.entity", F.explode(beside).alias("x")).select("doc_id", "key", "entity", "x.*")
-    return words.filter((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}"))
+def _members(texts: DataFrame) -> DataFrame:
+    """key, class and c_e: entities that the same texts hold are one class, with the number of those texts."""
+    entities = F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["kind"], x["match"])))
+    held = durable(texts.select("key", F.explode(entities).alias("entity")))
+    classes = held.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 24)).alias("y"))
+    classes = classes.select("entity", F.xxhash64("c_e", "x", "y").alias("class"), "c_e")
+    return durable(held.join(classes, "entity").select("key", "class", "c_e").distinct())
+
+
+def _near(texts: DataFrame) -> DataFrame:
+    """key, term and hashes of the words beside the term at its places outside the matches."""
+    each = texts.select("key", _words(_outside(F.col("text"))).alias("words"))
+    beside = F.transform("words", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get(F.col("words"), i - 1), F.get(F.col("words"), i + 1)).alias("beside")))
+    places = each.select("key", F.explode(beside).alias("x")).select("key", "x.*")
+    return places.filter((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}")).groupBy("key", "term").agg(F.collect_set("beside").alias("beside"))
 
 
 def disclosing(documents: DataFrame, read: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame | None:
-    """doc_id, key and terms to sanitise, or None where no term has the support."""
-    near = durable(_near(read).distinct())
-    local = near.select("entity", "term", "left", "right").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
-    strong = durable(local.filter(F.col("support") >= support).select("entity", "term"))
-    if strong.isEmpty():
+    """doc_id, key and terms to sanitise, or None where there are none."""
+    texts = read.dropDuplicates(["key"])
+    members = _members(texts)
+    if members.isEmpty():
         return None
-    total = documents.count()
-    own = near.select("doc_id", "key", "entity", "term").distinct()
-    both = own.join(strong, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"))
-    entities = read.select("doc_id", "key", F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], x["match"])))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    words = documents.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    words = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).join(strong.select("term").distinct(), "term", "left_semi")
-    scored = both.join(entities, "entity").join(words, "term")
-    pmi = F.log2(F.col("c_te") * F.lit(float(total)) / (F.col("c_t") * F.col("c_e")))
-    told = scored.filter((pmi > 0) & (pmi >= disclosure * F.log2(F.lit(float(total)) / F.col("c_e")))).select("entity", "term")
-    return durable(own.join(told, ["entity", "term"], "left_semi").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    keyed = documents.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    total = float(keyed.select("key").distinct().count())
+
+    def reach(c_e) -> Column:
+        """Texts that a term can be in and still reach the disclosure: c(t,e) is c(e) at most."""
+        return (1 - disclosure) * F.log2(F.lit(total)) + disclosure * F.log2(c_e) + 1e-9
+
+    tops = members.groupBy("key").agg(F.max("c_e").alias("top"))
+    near = _near(texts).join(tops, "key").filter((F.size("beside") >= support) | (F.col("top") > 1))
+    near = durable(near.withColumn("word", F.xxhash64("term")))
+    words = keyed.select("key", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x)))).alias("word"))
+    counted = lambda rows: rows.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c_t"))
+    # words that a part of the texts shows to be too common need no count over all
+    common = counted(words.filter(F.col("key") % 16 == 0)).filter(F.log2("c_t") > reach(F.lit(1.0)))
+    asked = near.groupBy("word").agg(F.max("top").alias("top")).join(common, "word", "left")
+    asked = durable(asked.filter(F.col("c_t").isNull() | (F.log2("c_t") <= reach(F.col("top")))).select("word"))
+    rare = counted(words.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "word", "left_semi"))
+    near = near.join(rare, "word").filter(F.log2("c_t") <= reach(F.col("top"))).select("key", "term", F.explode("beside").alias("beside"), "c_t")
+    both = durable(near.join(members, "key").filter(F.log2("c_t") <= reach(F.col("c_e"))))
+    counts = both.groupBy("class", "term").agg(F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"), F.count_distinct("key").alias("c_te"), F.count_distinct("beside").alias("support"))
+    pmi = F.log2(F.col("c_te") * F.lit(total) / (F.col("c_t") * F.col("c_e")))
+    shared = (F.col("c_e") > 1) & (F.col("c_te") >= F.least(F.lit(support), F.col("c_e")))
+    told = counts.filter(((F.col("support") >= support) | shared) & (pmi > 0) & (pmi >= disclosure * F.log2(F.lit(total) / F.col("c_e")))).select("class", "term")
+    terms = durable(both.join(told, ["class", "term"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    return None if terms.isEmpty() else durable(read.select("doc_id", "key").distinct().join(terms, "key"))
 
 
 def _all_spans(documents: DataFrame, columns: list[Column | str], support: int, disclosure: float) -> DataFrame:

@@ -70,3 +70,12 @@ def test_sanitised_texts(telling):
 def test_native_and_empty(telling):
     assert not re.search("Python|Pandas|Arrow|MapPartitions", pii.sanitised(telling)._jdf.queryExecution().toString())
     assert pii.found(telling.limit(0)).count() == 0 and pii.sanitised(telling.limit(0)).count() == 0
+
+
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    one = "Ada Quill signed\nmail ada@x.org once\nthen Quill left, and Quill alone knew"
+    two = ["first Borage\nwrote bor@x.org down", "second page\nbor@x.org knew Borage"]
+    rows = [one, *two, *["one copied Wombat cat@y.org passage"] * 4, *[f"the plain words of text{i}" for i in range(200)]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: {rows[r["doc_id"]][a:b] for a, b in ((int(m[1]), int(m[2])) for m in re.finditer(r"term:(\d+):(\d+)", r["spans"]))} for r in pii.found(frame).collect()}
+    assert {i: t for i, t in got.items() if t} == {0: {"Quill"}, 1: {"Borage"}, 2: {"Borage"}}
