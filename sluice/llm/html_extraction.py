@@ -1,9 +1,11 @@
 """Main text of pages by equivalence-class template deduction.
 
-Tokens are container paths (tags with class and id) and text blocks. Over the pages of a host each has an
-occurrence vector; tokens with equal vectors form a class. A class that occurs in most pages, once in each,
-is valid and nests into the host's template: of its containers the deepest that holds most of the
-remaining text is the main slot, and its text blocks are template text. What is extracted is the text in the
+Tokens are container paths (tags with class and id) and text blocks at their paths. Over the pages of a host
+each has an occurrence vector; pages with the same longest block have the same main content and count once. Tokens that
+occur once in each of their pages and have equal vectors form a class. Of the containers in at least half of the
+pages the deepest that holds most of the text is the main slot. A class of at least SIZE tokens in half of the
+pages is valid if its members stand in one order in all pages and its texts nest in a container of the class; these
+texts are template. Text in an article or main element never is. What is extracted is the text in the
 main slot, less boilerplate elements and template text. Vectors are kept as a support count and a
 fingerprint, summed up before anything is shuffled, so a host of any size is no hot group.
 
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from sluice.llm.common import blocks, durable
 
 #: Share of a host's pages that a template token is on, and pages that a host must have for template text.
-SUPPORT, TEXT_SUPPORT, TEXT_PAGES = 0.5, 0.9, 5
+SUPPORT, TEXT_PAGES = 0.5, 5
+#: Tokens that a valid class has at least.
+SIZE = 3
 #: Share of a host's remaining text that the main slot holds; an article or main element needs less.
 SHARE, NAMED_SHARE = 0.7, 0.3
 #: Template rows up to which they are broadcast to the pages; more are joined by host.
@@ -46,11 +50,6 @@ HINTS = re.compile(
 NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def host_of(url: str | None) -> str:
-    found = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)", url or "")
-    return found[1].lower() if found else ""
-
-
 def read_page(text: str | None) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """Blocks outside boilerplate, as (container path, text), and how often each container path opens."""
     text = text or ""
@@ -180,6 +179,36 @@ def slot_chars(found: list[tuple[str, str]]) -> dict[str, int]:
 TOKENS = "host string, kind string, token bigint, path string, pages bigint, total bigint, vector bigint, chars bigint"
 
 
+_ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[.#/]|$)")
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)"
+
+
+def with_host(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("_host"))
+
+
+def text_token(path: str, block: str) -> int:
+    return token("text", f"{path}\0{block}")
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """One page of each host and longest block: key, host and html. Only pages with copies are dealt out."""
+    rows = with_host(pages).select(F.col("_host").alias("host"), "html", F.xxhash64("_host", "html", "page_id").alias("id"))
+
+    def main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "html", 8 << 20):
+                keys = [token("main", max((b for _, b in read_page(x)[0]), key=lambda b: (len(b), b), default="")) for x in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("id"), pa.array(keys, pa.int64())], names=["host", "id", "key"])
+
+    each = durable(rows.mapInArrow(main, "host string, id bigint, key bigint"))
+    groups = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copied = durable(each.join(groups, ["host", "key"]).select("id", "key").distinct())
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST else copied
+    one = rows.join(copied, "id").groupBy("host", "key").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("one"))
+    return rows.join(copied, "id", "left_anti").select("host", F.col("id").alias("key"), "html").union(durable(one.select("host", "key", "one.html")))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
     """Each host's tokens with support, count, fingerprint of the occurrence vector and characters, summed per batch."""
 
@@ -187,14 +216,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "html", 8 << 20):
                 sums: dict[tuple, list[int]] = {}
-                for page, url, text in zip(*(part.column(x).to_pylist() for x in ("page_id", "url", "html"))):
-                    host, (found, opened) = host_of(url), read_page(text)
+                for page, host, text in zip(*(part.column(x).to_pylist() for x in ("key", "host", "html"))):
+                    found, opened = read_page(text)
                     chars, texts = slot_chars(found), {}
-                    for _, block in found:
-                        texts[block] = texts.get(block, 0) + 1
+                    for at in found:
+                        if not _ARTICLE.search(at[0]):
+                            texts[at] = texts.get(at, 0) + 1
                     rows = [("page", 0, "", 1, sum(len(x) for _, x in found))]
                     rows += [("path", token("path", p), p, c, chars.get(p, 0)) for p, c in opened.items()]
-                    rows += [("text", token("text", b), "", c, 0) for b, c in texts.items()]
+                    rows += [("text", text_token(p, b), p, c, 0) for (p, b), c in texts.items()]
                     for kind, key, path, c, size in rows:
                         x = sums.setdefault((host, kind, key, path), [0, 0, 0, 0])
                         x[0] += 1
@@ -205,36 +235,68 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
-    each = pages.select("page_id", "url", "html").mapInArrow(count, TOKENS)
+    each = pages.mapInArrow(count, TOKENS)
     return each.groupBy("host", "kind", "token", "path").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
 
 
+def joined(pages: DataFrame, known: DataFrame, size, how: str) -> DataFrame:
+    """The pages with what is known of their hosts; a small table is broadcast."""
+    small = known.select(size).groupBy().sum().first()[0] or 0
+    known = known.withColumnRenamed("host", "_host")
+    return pages.join(F.broadcast(known) if small <= BROADCAST else known, "_host", how)
+
+
+def ordered(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """host and vector of the classes whose members stand in one order in all pages."""
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "html", 8 << 20):
+                ends: dict[tuple, list[int]] = {}
+                for host, text, members in zip(*(part.column(x).to_pylist() for x in ("_host", "html", "members"))):
+                    of = {m["token"]: m["vector"] for m in members}
+                    found, opened = read_page(text)
+                    lines: dict[int, list[int]] = {}
+                    for key in [*(token("path", p) for p in opened), *(text_token(p, b) for p, b in found)]:
+                        if key in of:
+                            lines.setdefault(of[key], []).append(key)
+                    for vector, line in lines.items():
+                        now = xxhash.xxh3_64_intdigest(repr(line)) >> 1
+                        x = ends.setdefault((host, vector), [now, now])
+                        x[:] = min(x[0], now), max(x[1], now)
+                columns = list(zip(*((*k, *v) for k, v in ends.items()))) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 3))], names=["host", "vector", "low", "high"])
+
+    of_host = durable(classes.select("host", F.explode("members").alias("m"), "vector").groupBy("host").agg(F.collect_list(F.struct("m.token", "vector")).alias("members")))
+    rows = joined(pages.withColumnRenamed("host", "_host").select("_host", "html"), of_host, F.size("members") + 1, "inner")
+    lines = rows.mapInArrow(order, "host string, vector bigint, low bigint, high bigint").groupBy("host", "vector").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return lines.filter("low = high").select("host", "vector")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """For each host its template: the paths of valid classes with the text that they hold, and the template texts.
+    """For each host the containers that may be its main slot with the text that they hold, and the texts of its valid classes.
 
     Rows are at most 1 / SUPPORT times a page's containers and texts for each host.
     """
-    tokens = durable(occurrences(pages))
+    distinct = distinct_pages(pages)
+    tokens = durable(occurrences(distinct))
     hosts = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"))
-    rows = tokens.filter("kind <> 'page' AND total = pages").join(hosts, "host")
-    few = F.when(F.col("kind") == "text", (F.col("n") >= TEXT_PAGES) & (F.col("pages") >= TEXT_SUPPORT * F.col("n"))).otherwise(F.col("pages") >= SUPPORT * F.col("n"))
-    valid = rows.filter(few)
-    classes = valid.groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("kind", "token", "path", "chars")).alias("members"), F.first("all_chars").alias("all_chars"))
-    return classes.select("host", "all_chars", F.explode("members").alias("m")).groupBy("host").agg(
-        F.first("all_chars").alias("all_chars"),
-        F.collect_list(F.when(F.col("m.kind") == "path", F.struct("m.path", "m.chars"))).alias("slots"),
-        F.collect_list(F.when(F.col("m.kind") == "text", F.col("m.token"))).alias("texts"),
-    )
+    rows = tokens.filter("kind <> 'page' AND total = pages").join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("n"))
+    member = F.struct("kind", "token", "path")
+    classes = rows.filter(F.col("n") >= TEXT_PAGES).groupBy("host", "vector", "pages").agg(F.collect_list(member).alias("members"))
+    kind = lambda x: F.filter("members", lambda m: m["kind"] == x)
+    classes = durable(classes.filter((F.size("members") >= SIZE) & (F.size(kind("path")) > 0) & (F.size(kind("text")) > 0)))
+    inside = lambda m: F.exists(kind("path"), lambda c: (m["path"] == c["path"]) | F.startswith(m["path"], F.concat(c["path"], F.lit("/"))))
+    valid = classes.join(ordered(distinct, classes), ["host", "vector"], "left_semi")
+    texts = valid.select("host", F.explode(F.filter(kind("text"), inside)).alias("m")).groupBy("host").agg(F.collect_set("m.token").alias("texts"))
+    slots = rows.filter("kind = 'path'").groupBy("host").agg(F.first("all_chars").alias("all_chars"), F.collect_list(F.struct("path", "chars")).alias("slots"))
+    return slots.join(texts, "host", "left").select("host", "all_chars", "slots", F.coalesce("texts", F.array().cast("array<bigint>")).alias("texts"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     known = durable(templates(pages))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("_host"))
-    small = known.select(F.size("slots") + F.size("texts") + 1).groupBy().sum().first()[0] or 0
-    known = known.withColumnRenamed("host", "_host")
-    rows = rows.join(F.broadcast(known) if small <= BROADCAST else known, "_host", "left")
+    rows = joined(with_host(pages), known, F.size("slots") + F.size("texts") + 1, "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +310,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                         slot = best_slot(slot_chars(found), sum(len(b) for _, b in found))
                         own = [(p, b) for p, b in found if within(p, slot)]
                     gone = set(common or ())
-                    texts.append("\n".join(b for _, b in own if not gone or token("text", b) not in gone))
+                    texts.append("\n".join(b for p, b in own if not gone or text_token(p, b) not in gone))
                 arrays = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 

@@ -29,3 +29,12 @@ def test_join_by_host_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST", 0)
     assert texts(spark, [(i, "http://b.com/", FRAME.format(f"<article><p>t{i}</p></article>")) for i in range(9)]) == {i: f"t{i}" for i in range(9)}
     assert texts(spark, []) == {}
+
+
+def test_classes_decide_what_is_template(spark):
+    box = '<div class="box"><p>Follow us</p><p>Contact</p></div>'
+    mixed = ["<p>Red</p><p>Blue</p>", "<p>Blue</p><p>Red</p>"]
+    page = lambda i: f'<div class="story">{box if i < 6 else ""}<p>{f"words of page {i} and more " * 20}</p>{"<div class=pair>" + mixed[i % 2] + "</div>" if i > 2 else ""}</div>'
+    got = texts(spark, [(i, f"http://b.com/{i}", FRAME.format(page(i))) for i in range(10)])
+    assert not any("Follow us" in x or "Contact" in x for x in got.values())
+    assert all("Red" in got[i] and "Blue" in got[i] for i in range(3, 10))
