@@ -31,6 +31,16 @@ def test_join_by_host_and_empty_table(spark, monkeypatch):
     assert texts(spark, []) == {}
 
 
+def test_repeated_pages_keep_their_text(spark):
+    same = FRAME.format('<article><h1>Head</h1><p>the only article</p></article>')
+    lead = lambda i: f"<article><p>Lead of all</p><p>{f'own words {i} ' * 9}</p></article>"
+    plain = FRAME.format('<div class="story"><p>one text in many copies</p></div>')
+    rows = [(i, "http://a.com/", same) for i in range(6)] + [(10 + i, "http://b.com/", FRAME.format(lead(i))) for i in range(6)] + [(20 + i, "http://c.com/", plain) for i in range(6)]
+    got = texts(spark, rows)
+    assert {got[i] for i in range(6)} == {"Head\nthe only article"} and {got[20 + i] for i in range(6)} == {"one text in many copies"}
+    assert all(got[10 + i].startswith("Lead of all\nown words") for i in range(6))
+
+
 def test_classes_decide_what_is_template(spark):
     box = '<div class="box"><p>Follow us</p><p>Contact</p></div>'
     mixed = ["<p>Red</p><p>Blue</p>", "<p>Blue</p><p>Red</p>"]
