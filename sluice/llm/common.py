@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="shared")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of what is executed inside are deleted at its end: the rows lie in the shared folder then."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; lost executors cost no recomputation of what led here."""
-    context = df.sparkSession.sparkContext
-    gc.collect()  # what earlier checkpoints replaced is unreferenced now: Spark deletes its shuffle files
-    context._jvm.System.gc()
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(spark))
+    with cleaned(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,16 +159,22 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def keys(df: DataFrame, *columns: str) -> DataFrame:
-    """Checkpointed integer columns whose partitioning Spark does not rely on: a join with them deals both sides
+def free(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows, with integer columns whose partitioning Spark does not rely on: a join on them deals both sides
     anew and may split a hot key, which it could not below an aggregate or on a side that lies partitioned."""
-    return durable(df.select(*columns)).select(*(F.col(c).bitwiseXOR(F.lit(0)).alias(c) for c in columns))
+    return df.select(*(F.col(c).bitwiseXOR(F.lit(0)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def keys(df: DataFrame, *columns: str) -> DataFrame:
+    """Checkpointed integer columns, free of their partitioning."""
+    return free(durable(df.select(*columns)), *columns)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, and its path for `dropped`."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 

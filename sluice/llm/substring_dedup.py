@@ -1,17 +1,20 @@
 """Repeated byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut each text into overlapping phrases: the trigger of a string of `length` bytes is
-its gram with the smallest hash, and a phrase is the stretch that all strings with one trigger cover. So
-each string lies whole in exactly one phrase, and equal strings have equal triggers. The dictionary is
-the distinct phrases. What the suffix arrays of dictionary and parse would bring next to each other,
-cut off at `length` bytes, is grouped here by 64-bit fingerprints under the trigger's own: a phrase
-that occurs twice has all its strings repeated; of the other phrases with a trigger that occurs elsewhere,
-the suffixes of the dictionary are compared, each of which is a string.
-
-Triggers with few phrases are sorted together into tasks; those with more than HOT phrases are spread
-string by string. Texts longer than SEGMENT bytes are read in overlapping segments. Null text
-is empty and texts shorter than `length` lose nothing; repeated rows repeat each other's strings. An
-empty table gives no rows. Other columns are ignored.
+Parse: the trigger of a string of `length` bytes is its gram with the smallest rolling hash, and a phrase is the stretch
+that all neighbouring strings with one trigger cover. So phrases overlap, each string lies whole in exactly one of them, and
+equal strings have equal triggers. Phrases whose trigger stands nowhere else hold nothing repeated and go at once. The
+dictionary is the distinct phrases; of the parse, the occurrences of each phrase.
+
+Corpus order: the suffixes of the dictionary are sorted on their bytes by prefix doubling to a depth of `length`
+(`suffix_ranks`), a suffix array of each part of the dictionary, parts being whole triggers, since only suffixes under
+one trigger can agree so far. Since no string reaches beyond its phrase, the suffix array of the parse is asked
+for its first symbol only: a suffix stands in the order once for each occurrence of its phrase. Suffixes with equal
+rank, or of a phrase that occurs twice, are repeated strings.
+
+A trigger with more than HOT phrases is dealt to parts of at most so many; what stands once in its part is then
+counted over the trigger's parts by a hash of the string. Null text is empty and texts shorter than `length` lose
+nothing; texts of any length are read whole, in overlapping segments of SEGMENT bytes; repeated rows repeat
+each other's strings, with or without doc_id. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Prefix, blocks, dropped, durable, mix, stored, text_bytes
+from sluice.llm.common import Prefix, blocks, dropped, durable, free, keys, mix, stored, text_bytes
 
 LENGTH = 200
 GRAM = 32
-#: Phrases of one trigger that a task may hold together.
+#: Phrases of one trigger in one part of the dictionary.
 HOT = 5_000
 SEGMENT = 1 << 20
+#: Bytes of dictionary that a task sorts at once, and one part more at most.
+SORTED = 4 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -79,10 +85,14 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kd"), F.xxhash64(text).alias("th"))
 
 
+PARSED = "rid bigint, kd bigint, th bigint, low array<int>, high array<int>, g array<bigint>, e array<bigint>"
+
+
 def parse(rows: DataFrame, length: int, gram: int, segment: int = SEGMENT) -> DataFrame:
-    """kd, th, low, high, g (trigger) and e (phrase) of each phrase."""
+    """rid, kd, th and the phrases of each text that has any: first and last string start, trigger g and phrase hash e."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in blocks(batch, "text", segment):
                 raw, offsets = text_bytes(part.column("text"))
@@ -96,17 +106,70 @@ def parse(rows: DataFrame, length: int, gram: int, segment: int = SEGMENT) -> Da
                             _, low, high, g, e = phrases(piece, np.array([0, len(piece)]), length, gram)
                             found.append((np.full(len(low), i), low + (a - offsets[i]), high + (a - offsets[i]), g, e))
                 text, low, high, g, e = (np.concatenate(x) for x in zip(*found))
-                kd, th = part.column("kd").to_numpy()[text], part.column("th").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kd, th, low.astype(np.int32), high.astype(np.int32), g.view(np.int64), e.view(np.int64))], names=["kd", "th", "low", "high", "g", "e"])
-
-    return rows.select("kd", "th", "text").mapInArrow(make, "kd bigint, th bigint, low int, high int, g bigint, e bigint")
+                own = np.flatnonzero(np.bincount(text, minlength=len(offsets) - 1))
+                first = np.append(np.searchsorted(text, own), len(text)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(first, x) for x in (low.astype(np.int32), high.astype(np.int32), g.view(np.int64), e.view(np.int64))]
+                arrays = [pa.array(rid + np.arange(len(own))), part.column("kd").take(pa.array(own)), part.column("th").take(pa.array(own)), *lists]
+                rid += len(own)
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "kd", "th", "low", "high", "g", "e"])
+
+    return rows.select("kd", "th", "text").mapInArrow(make, PARSED)
+
+
+def suffix_ranks(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each start its place in the order of the strings of `length` bytes, equal strings having the same; -1 where a string is alone.
+
+    Prefix doubling: places by the first 8 bytes, then by 16, 32 and so on. Suffixes that stand alone keep their place.
+    """
+    n = len(raw)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+    depth = min(8, length)
+    first = np.zeros(n, dtype=np.uint64)
+    for j in range(depth):
+        first = (first << np.uint64(8)) | padded[j : j + n]
+    order = np.argsort(first, kind="stable")
+    _, ranks, open_ = _places(order, first[order], np.zeros(n, np.int64), n)
+    while depth < length:
+        step = min(depth, length - depth)
+        at = np.flatnonzero(open_) if depth + step < length else starts[open_[starts]]
+        key = ranks[at] * (n + 1) + np.where(at + step < n, ranks[np.minimum(at + step, n - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        next_ = ranks.copy()
+        _, held, still = _places(at, key, ranks, n)
+        next_[at], open_ = held[at], np.zeros(n, bool)
+        open_[at] = still[at]
+        ranks = next_
+        depth += step
+    if length <= 8:  # other suffixes than strings were in the order to its end
+        _, back, counts = np.unique(ranks[starts], return_inverse=True, return_counts=True)
+        return np.where(counts[back] > 1, ranks[starts], -1)
+    return np.where(open_[starts], ranks[starts], -1)
+
+
+def _places(at: np.ndarray, key: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys at positions `at`: firsts, new place of each position within that before, and whether another has it."""
+    ranks, shared = before.copy(), np.zeros(n, bool)
+    if not len(at):
+        return at, ranks, shared
+    index = np.arange(len(at))
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    old = np.concatenate([[True], before[at][1:] != before[at][:-1]])
+    run = np.maximum.accumulate(np.where(new, index, 0))
+    ranks[at] = before[at] + run - np.maximum.accumulate(np.where(old, index, 0))
+    same = ~new
+    same[:-1] |= ~new[1:]
+    shared[at] = same
+    return index[new], ranks, shared
+
+
+#: decided stretches (rid, start, stop), or strings under a dealt trigger that are yet to count: g, h, and rid and start where they may go.
+FOUND = "rid bigint, start int, stop int, g bigint, h bigint"
+PART = "g bigint, salt int, parts int, rid bigint, low int, single boolean, bytes binary"
 
 
-STRINGS = "kd bigint, th bigint, start int, stop int"
-
-
-def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
-    """For all strings of the phrases: phrase, place in it, hash."""
+def repeated_strings(table: pa.Table, length: int) -> pa.RecordBatch:
+    """One part of the dictionary: its suffixes in order, and those of phrases that occur once which another phrase has too."""
     held = pa.concat_arrays(table.column("bytes").cast(pa.large_binary()).chunks)
     offsets = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
     raw = np.frombuffer(held.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -114,90 +177,104 @@ def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     phrase = np.repeat(np.arange(len(many)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     start = (offsets - offsets[0])[phrase] + place
-    return phrase, place, Prefix(raw)(start, start + length)
-
-
-def repeated_strings(table: pa.Table, length: int) -> pa.RecordBatch:
-    """Stretches of single phrases (kd, th, start, stop) whose strings occur in another phrase with the same trigger."""
-    phrase, place, h = _strings(table, length)
-    key = mix(h ^ mix(table.column("g").to_numpy().view(np.uint64)[phrase]))
-    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero((counts[back] > 1) & table.column("single").to_numpy(zero_copy_only=False)[phrase])
+    ranks = suffix_ranks(raw, start, length)
+    column = lambda x: table.column(x).to_numpy(zero_copy_only=False)
+    single, rid, low, g, dealt = column("single"), column("rid"), column("low"), column("g"), column("parts") > 1
+    hit = np.flatnonzero((ranks >= 0) & single[phrase])
     cut = np.flatnonzero((np.diff(phrase[hit]) != 0) | (np.diff(place[hit]) != 1)) + 1
     first, last = (hit[np.concatenate([[0], cut])], hit[np.concatenate([cut - 1, [len(hit) - 1]])]) if len(hit) else (hit, hit)
-    own, low = phrase[first], table.column("low").to_numpy()
-    values = (table.column("kd").to_numpy()[own], table.column("th").to_numpy()[own], (low[own] + place[first]).astype(np.int32), (low[own] + place[last] + length).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["kd", "th", "start", "stop"])
-
-
-def compared(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches where each trigger has few phrases: tasks take whole triggers, in sorted order."""
+    own = phrase[first]
+    decided = [rid[own], low[own] + place[first], low[own] + place[last] + length, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)]
+    rest = np.flatnonzero(dealt[phrase])
+    if len(rest):  # once for each different string
+        alone = rest[ranks[rest] < 0]
+        shared = rest[ranks[rest] >= 0]
+        rest = np.concatenate([alone, shared[np.unique(ranks[shared], return_index=True)[1]]])
+        ask = single[phrase[rest]] & (ranks[rest] < 0)
+        h = Prefix(raw)(start[rest], start[rest] + length).view(np.int64)
+        begin = low[phrase[rest]] + place[rest]
+        other = [rid[phrase[rest]], np.where(ask, begin, -1), np.where(ask, begin + length, -1), g[phrase[rest]], h]
+        decided = [np.concatenate(x) for x in zip(decided, other)]
+        undecided = np.concatenate([np.zeros(len(own), bool), np.ones(len(rest), bool)])
+    else:
+        undecided = np.zeros(len(own), bool)
+    kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
+    arrays = [pa.array(x.astype(k)) for x, k in zip(decided[:3], kinds)] + [pa.array(x.astype(np.int64), mask=~undecided) for x in decided[3:]]
+    return pa.RecordBatch.from_arrays(arrays, names=["rid", "start", "stop", "g", "h"])
+
+
+def sorted_parts(rows: DataFrame, length: int, most: int = SORTED) -> DataFrame:
+    """What `repeated_strings` finds: tasks take whole parts, in sorted order, as many at once as make `most` bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            g = held.column("g").to_numpy()
-            end = int(np.flatnonzero(g != g[-1])[-1]) + 1 if len(g) and (g != g[-1]).any() else 0
-            if end:
-                yield repeated_strings(held.slice(0, end), length)
-                held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield repeated_strings(held, length)
+            held.append(batch)
+            size += batch.column("bytes").nbytes
+            if size > most:
+                table = pa.Table.from_batches(held)
+                g, salt = table.column("g").to_numpy(), table.column("salt").to_numpy()
+                other = np.flatnonzero((g != g[-1]) | (salt != salt[-1]))
+                end = int(other[-1]) + 1 if len(other) else 0
+                if end:
+                    yield repeated_strings(table.slice(0, end), length)
+                    held = pa.concat_tables([table.slice(end)]).combine_chunks().to_batches()
+                    size = sum(x.column("bytes").nbytes for x in held)
+        if sum(x.num_rows for x in held):
+            yield repeated_strings(pa.Table.from_batches(held), length)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(make, STRINGS)
-
+    return rows.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(make, FOUND)
 
-def spread(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches where a trigger has very many phrases: counted string by string."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                table = pa.Table.from_batches([batch.slice(a, 2000)])
-                phrase, place, h = _strings(table, length)
-                column = lambda x: table.column(x).to_numpy(zero_copy_only=False)[phrase]
-                values = (column("g"), h.view(np.int64), column("single"), column("kd"), column("th"), (column("low") + place).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["g", "h", "single", "kd", "th", "start"])
-
-    each = rows.mapInArrow(make, "g bigint, h bigint, single boolean, kd bigint, th bigint, start int")
-    twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g", "h")
-    return each.filter("single").join(twice, ["g", "h"]).select("kd", "th", "start", (F.col("start") + length).cast("int").alias("stop"))
-
-
-def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
-    """Stretches (kd, th, start, stop) that are repeated, and the texts that have any candidates (kd, th, text)."""
-    rows = keyed(documents)
-    parsed, path = stored(parse(rows, length, gram, segment), "phrases")
-    common = parsed.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
-    found = durable(parsed.join(common, "g"))
-    dropped(documents.sparkSession, path)
-    dictionary = durable(found.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("kd", "th", "low", "high")).alias("x")))
-    whole = found.join(dictionary.filter("c > 1").select("g", "e"), ["g", "e"]).select("kd", "th", F.col("low").alias("start"), (F.col("high") + length).cast("int").alias("stop"))
-    mixed = dictionary.groupBy("g").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("phrases")).filter("least = 1 AND phrases > 1").select("g", "phrases")
-    doubtful = dictionary.join(mixed, "g").select("g", "phrases", (F.col("c") == 1).alias("single"), "x.*")
-    by_text = doubtful.groupBy("kd", "th").agg(F.collect_list(F.struct("g", "phrases", "single", "low", "high")).alias("asked"))
-    wanted = found.select("kd", "th").distinct().join(by_text, ["kd", "th"], "left")
-
-    texts, _ = stored(rows.select("kd", "th", "text").join(wanted, ["kd", "th"]), "texts")
+def cut_out(documents: DataFrame, parsed: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
+    """The bytes of the doubtful phrases (g, salt, parts, single, rid, low, high), read from the texts."""
+    asked = doubtful.groupBy("rid").agg(F.collect_list(F.struct("g", "salt", "parts", "single", "low", "high")).alias("asked"))
+    asked = durable(parsed.select("rid", "kd", "th").join(asked, "rid"))
+    once = asked.groupBy("kd", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         for batch in batches:
             for part in blocks(batch, "text"):
                 out = []
-                for kd, th, text, asked in zip(*(part.column(x).to_pylist() for x in ("kd", "th", "text", "asked"))):
+                for rid, text, found in zip(*(part.column(x).to_pylist() for x in ("rid", "text", "asked"))):
                     data = text.encode()
-                    out += [(kd, th, x["low"], x["g"], x["phrases"], x["single"], data[x["low"] : x["high"] + length]) for x in asked]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=["kd", "th", "low", "g", "phrases", "single", "bytes"])
+                    out += [(x["g"], x["salt"], x["parts"], rid, x["low"], x["single"], data[x["low"] : x["high"] + length]) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=[x.split()[0] for x in PART.split(", ")])
+
+    texts = keyed(documents).select("kd", "th", "text").join(asked, ["kd", "th"]).select("rid", "text", "asked")
+    return (texts if once else texts.dropDuplicates(["rid"])).mapInArrow(cut, PART)
+
 
-    schema = "kd bigint, th bigint, low int, g bigint, phrases bigint, single boolean, bytes binary"
-    asked = texts.filter("asked IS NOT NULL").dropDuplicates(["kd", "th"]).mapInArrow(cut, schema)
-    few = compared(asked.filter(F.col("phrases") <= hot), length)
-    many = spread(asked.filter(F.col("phrases") > hot), length)
-    return whole.union(few).union(many), texts.select("kd", "th", "text")
+def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
+    """kd, th and spans (start, stop) of what is repeated in each text."""
+    spark = documents.sparkSession
+    parsed, path = stored(parse(keyed(documents), length, gram, segment), "parse")
+    each = parsed.select("rid", F.explode(F.arrays_zip("low", "high", "g", "e")).alias("x")).select("rid", "x.*")
+    common = keys(parsed.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "g")
+    found = durable(each.join(common, "g"))
+
+    dictionary = durable(found.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "low", "high")).alias("x")).select("g", "e", "c", "x.*"))
+    twice = keys(dictionary.filter("c > 1"), "g", "e")
+    whole = free(found, "g", "e").join(twice, ["g", "e"]).select("rid", F.col("low").alias("start"), (F.col("high") + length).cast("int").alias("stop"))
+    mixed = dictionary.groupBy("g").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("phrases")).filter("least = 1 AND phrases > 1").select("g", "phrases")
+    parts = F.ceil(F.col("phrases") / hot).cast("int")
+    doubtful = free(dictionary, "g").join(keys(mixed, "g", "phrases"), "g").withColumn("parts", parts)
+    doubtful = doubtful.select("g", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int").alias("salt"), "parts", (F.col("c") == 1).alias("single"), "rid", "low", "high")
+    bytes_, bytes_path = stored(cut_out(documents, parsed, doubtful, length), "phrases")
+    ordered = durable(sorted_parts(bytes_, length))
+    dropped(spark, bytes_path)
+
+    dealt = ordered.filter("g IS NOT NULL")
+    again = keys(dealt.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "g", "h")
+    merged = free(dealt.filter("start >= 0"), "g", "h").join(again, ["g", "h"]).select("rid", "start", "stop")
+    spans = whole.union(ordered.filter("g IS NULL").select("rid", "start", "stop")).union(merged)
+    spans = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = durable(parsed.select("rid", "kd", "th").join(spans, "rid").select("kd", "th", "spans"))
+    dropped(spark, path)
+    return spans
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -216,20 +293,20 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per document."""
-    spans, texts = repeats(documents, length, gram, hot, segment)
-    spans = spans.groupBy("kd", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeats(documents, length, gram, hot, segment)
+    if not spans.groupBy("kd", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        spans = durable(spans.dropDuplicates(["kd", "th"]))  # repeated rows have the same spans
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for kd, th, text, found in zip(*(batch.column(x).to_pylist() for x in ("kd", "th", "text", "spans"))):
-                data = text.encode()
-                kept, runs = without(data, [(x["start"], x["stop"]) for x in found])
-                out.append((kd, th, len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=["kd", "th", "n_removed", "n_spans", "kept"])
-
-    changed = texts.dropDuplicates(["kd", "th"]).join(spans, ["kd", "th"]).mapInArrow(remove, "kd bigint, th bigint, n_removed bigint, n_spans bigint, kept string")
-    rows = keyed(documents).select("doc_id", "kd", "th", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("whole"))
-    out = rows.join(changed, ["kd", "th"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+            for part in blocks(batch, "text"):
+                out = []
+                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                    data = text.encode()
+                    kept, runs = without(data, [(x["start"], x["stop"]) for x in found or ()])
+                    out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = keyed(documents).join(free(spans, "kd", "th"), ["kd", "th"], "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
