@@ -1,39 +1,49 @@
 """Near duplicates by bottom-k sketches.
 
-One hash function; the sketch of a text is the k smallest hashes of its shingles. Equal shingle sets
-collapse to one representative. Inverted lists hold, of each sketch, only the rarest retained values
-that a partner must meet: two sets with Jaccard J share at least t retained values, t being all that
-J demands where both sketches are whole sets and otherwise so small that a true pair falls below
-it with probability MISS, so with rare values first the first |sketch| - t + 1 of either
-must share one. The sketch of the union estimates J and filters; exact Jaccard on full sets decides.
-
-No list is expanded into all its pairs: each text is first held against two leaders of each of its lists, linked
-texts become one component, and only pairs between different components remain, so a group of
-thousands of near copies costs about its size. Links within one component are not needed there.
-
-Null texts and texts without words have no shingles and are linked with nothing; repeated rows are copies
-of each other; rows without doc_id are never kept. An empty table gives no rows. Other columns are ignored.
+One hash function; the sketch of a text is the SKETCH smallest hashes of its shingles, the whole set where it is no
+larger. Equal shingle sets collapse to one representative. Inverted lists are kept not of single retained
+values, which common words fill, but of triples of them: the hashes of a sketch fall into segments, and the smallest three
+of a segment are one key (`Plan`). Two sets with the asked Jaccard share a key but for a chance of MISS.
+
+1. Overlaps with the leader of each list, the member of the most and largest lists, are counted; each text is held against the
+   TRIED leaders that it shares most lists with. Linked texts become one component.
+2. Texts in lists that still hold several components are put into lists once more, of single retained values, rarest
+   first, only so many that two linked texts must meet in one. The place where they first meet bounds what they can
+   share. Pairs are formed there, once, of different components only, and not within a list's largest one.
+
+Candidates of either step pass the estimate of J from the sketch of their union, then exact Jaccard on full sets decides. So a
+group of thousands of near copies costs about its size, and no list is expanded into all its pairs.
+
+Null texts and texts without words have no shingles and are linked with nothing; texts of any length are read whole; of
+equal leaders the largest node number leads; repeated rows are copies of each other; rows without doc_id are never kept by `near_duplicates`.
+An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from dataclasses import dataclass
+from itertools import combinations
+from math import ceil, comb, exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import blocks, durable, keys, mix, shingles, text_bytes, word_hashes
+from sluice.llm.common import blocks, durable, free, keys, mix, shingles, text_bytes, word_hashes
 from sluice.llm.graph import components
 
-SKETCH = 64
-#: Chance that a true pair shares fewer retained values than the lists ask for.
+SKETCH = 512
+#: Chance that a true pair shares no key, or fewer retained values than the lists ask for.
 MISS = 1e-8
+#: Retained values in one key.
+TUPLE = 3
+#: Sets of at most so many shingles have keys of all triples among those that a partner must share.
+SMALL = 16
 #: Rows of wanted ids (32 bytes each) up to which they are broadcast to the texts; more are joined by shuffling.
 BROADCAST = 100_000
-#: Leaders that a text is verified against before the remaining pairs between components are all tried.
+#: Leaders that a text is verified against.
 TRIED = 3
 
 
@@ -47,6 +57,89 @@ def least_shared(size: int, percent: int, miss: float = MISS) -> int:
     return size
 
 
+def _untouched_empty(differing: int, shared: int, segments: int) -> float:
+    """Chance that every segment that no differing value falls into is empty."""
+    chance = [1.0] + [0.0] * segments  # by number of segments touched
+    for _ in range(differing):
+        chance = [0.0] + [chance[j] * j / segments + chance[j - 1] * (segments - j + 1) / segments for j in range(1, segments + 1)]
+    return sum(c * (j / segments) ** shared for j, c in enumerate(chance))
+
+
+def _matching(mean: float, p: float) -> float:
+    """Chance that a segment of so many values on average has equal and not empty smallest values."""
+    return sum(exp(-mean) * mean**x / factorial(x) * p ** min(x, TUPLE) for x in range(1, 60))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How keys are formed, by size of the set: (least size, segments, segmentations).
+
+    Sets of up to SMALL shingles use the exact prefix rule: of the smallest size - shared + 3 values of either, three are
+    common. Up to 63 shingles there are about as many segments as shingles that may differ, so some segment is whole and
+    equal, over as many segmentations as bring the chance of a miss below MISS. Beyond, segments are so many that
+    three smallest values agree in one. Sets of either side of a border have the keys of both.
+    """
+
+    percent: int
+    levels: tuple[tuple[int, int, int], ...]
+
+    @classmethod
+    def of(cls, percent: int) -> Plan:
+        p, levels = percent / 100, []
+        for low in (SMALL + 1, 2 * SMALL):
+            segments = max(2, ceil(2 * low * (1 - p) / p) + (low <= SMALL + 1))
+            miss = max(_untouched_empty(int(n * (1 - p) / p + 1e-9), ceil(n * p), segments) for n in range(low, 2 * low))
+            levels.append((low, segments, max(1, ceil(log(MISS) / log(min(miss, 0.99))))))
+        segments = ceil(log(MISS) / log(1 - p**TUPLE))
+        while (1 - _matching(4 * SMALL / segments, p)) ** segments > MISS:
+            segments += 1
+        return cls(percent, (*levels, (4 * SMALL, segments, 1)))
+
+    def shared(self, n: np.ndarray) -> np.ndarray:
+        return -(-n * self.percent // 100)
+
+    def keys(self, sketches: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all sketches, sketch by sketch, and the first key of each (one more at the end)."""
+        level = lambda x: np.searchsorted([a for a, _, _ in self.levels], x, "right")
+        own, other = level(n), level(self.shared(n))
+        found: list[tuple[np.ndarray, np.ndarray]] = [self._small(sketches, n, np.flatnonzero((n > 0) & (other == 0)))]
+        for i, (_, segments, times) in enumerate(self.levels, 1):
+            rows = np.flatnonzero((own == i) | (other == i))
+            if len(rows):
+                values = np.concatenate([sketches[r] for r in rows])
+                owner = np.repeat(rows, [len(sketches[r]) for r in rows])
+                found += [self._segmented(values, owner, segments, 16 * i + t) for t in range(times)]
+        owner, out = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(owner, kind="stable")
+        return out[order], np.searchsorted(owner[order], np.arange(len(n) + 1))
+
+    @staticmethod
+    def _segmented(values: np.ndarray, owner: np.ndarray, segments: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        group = owner * segments + (mix(values ^ np.uint64(0x9E3779B9 * (salt + 1))) % np.uint64(segments)).astype(np.int64)
+        order = np.argsort(group, kind="stable")  # values stay ascending within a segment
+        group, values = group[order], values[order]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        out = group[first].astype(np.uint64) % np.uint64(segments) + np.uint64(salt << 16)
+        for j in range(TUPLE):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(size > j, values[np.minimum(first + j, len(values) - 1)], np.uint64(j)))
+        return owner[order][first], out
+
+    def _small(self, sketches: list[np.ndarray], n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in np.unique(n[rows]).tolist():
+            same = rows[n[rows] == size]
+            values = np.stack([sketches[r] for r in same])
+            prefix = min(size, size - int(self.shared(np.int64(size))) + TUPLE)
+            for chosen in combinations(range(prefix), min(TUPLE, prefix)):
+                out = np.full(len(same), np.uint64(7))
+                for j in chosen:
+                    out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, j])
+                owners.append(same)
+                found.append(out)
+        return np.concatenate(owners), np.concatenate(found)
+
+
 def shingle_sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words are one shingle of their own."""
     raw, offsets = text_bytes(part.column("text"))
@@ -61,42 +154,47 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).astype(np.int64)), int(two.sum(dtype=np.uint64).astype(np.int64))
 
 
-def sketches(documents: DataFrame, k: int, size: int = SKETCH) -> DataFrame:
-    """doc_id, n, f1, f2 (a 128-bit hash of the set) and the sketch."""
+def _signed(values: np.ndarray) -> np.ndarray:
+    """The same order as signed integers."""
+    return (values ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and h: rows with equal doc_id and h are repeated rows."""
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+
+def sketches(documents: DataFrame, k: int, plan: Plan, size: int = SKETCH) -> DataFrame:
+    """doc_id, h, n, f1, f2 (a 128-bit hash of the set) and the keys of the sketch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                sets = list(shingle_sets(part, k))
-                prints = [_fingerprint(x) for x in sets]
-                low = [x[:size].view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([x for x, _ in prints], pa.int64()),
-                        pa.array([x for _, x in prints], pa.int64()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32), np.concatenate(low)),
-                    ],
-                    names=["doc_id", "n", "f1", "f2", "sketch"],
-                )
-
-    return documents.select("doc_id", "text").mapInArrow(make, "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
+                low, prints, n = [], [], []
+                for x in shingle_sets(part, k):
+                    low.append(x[:size].copy())
+                    prints.append(_fingerprint(x))
+                    n.append(len(x))
+                found, first = plan.keys(low, np.array(n, dtype=np.int64))
+                arrays = [part.column("doc_id"), part.column("h"), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*prints)), pa.ListArray.from_arrays(first.astype(np.int32), found.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n", "f1", "f2", "keys"])
+
+    return _keyed(documents).mapInArrow(make, "doc_id bigint, h bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and full shingle set of the wanted representatives (node, doc_id, f1, f2)."""
+    """node, n and full shingle set, ascending, of the wanted representatives (node, doc_id, h), once for each row that has both."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                keys = [part.column(x).to_pylist() for x in ("node", "f1", "f2")]
-                rows = [(node, own.view(np.int64)) for node, f1, f2, own in zip(*keys, shingle_sets(part, k)) if _fingerprint(own) == (f1, f2)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["node", "own"])
+                found = [_signed(own) for own in shingle_sets(part, k)]
+                arrays = [part.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "own"])
 
-    asked = wanted.withColumnRenamed("doc_id", "d")
-    rows = documents.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("d")))
-    return rows.select("node", "f1", "f2", "text").mapInArrow(make, "node bigint, own array<bigint>")
+    asked = wanted.select("node", F.col("doc_id").alias("d"), F.col("h").alias("g"))
+    rows = _keyed(documents).join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    return rows.select("node", "text").mapInArrow(make, "node bigint, n bigint, own array<bigint>")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -108,98 +206,134 @@ class Linker:
 
     def __init__(self, documents: DataFrame, k: int, percent: int, size: int = SKETCH):
         self.documents, self.k, self.percent, self.size = documents, k, percent, size
-        self.rows = durable(sketches(documents, k, size).withColumn("node", F.monotonically_increasing_id()))
-        firsts = self.rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("rep"))
-        self.firsts = durable(firsts)
-        self.reps = self.rows.join(self.firsts.select("rep"), F.col("node") == F.col("rep"), "left_semi")
         self.low = least_shared(size, percent)
-        self.sets: DataFrame | None = None
-
-    def need(self, n: Column) -> Column:
-        """Retained values that a partner of a set of n shingles shares at least."""
-        whole = F.ceil(n * self.percent / 100)
-        return F.when(n * 100 <= self.size * self.percent, whole).otherwise(F.least(whole, F.lit(self.low)))
-
-    def postings(self) -> DataFrame:
-        """value, node, n: the retained values of each representative that a partner must meet, rarest first."""
-        each = self.reps.select("node", F.explode("sketch").alias("value"))
-        often = keys(each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value", "df")
-        shared = each.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
-        shared = shared.join(self.rows.select("node", "n"), "node").filter(F.size("held") >= self.need(F.col("n")))
-        size = F.least(F.col("n"), F.lit(self.size))
-        most = (size - self.need(F.col("n")) + 1) - (size - F.size("held"))  # values that no other sketch has come first
-        cut = shared.withColumn("most", most.cast("int")).filter("most > 0")
-        cut = cut.select("node", "n", F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("weight"), F.transform(F.slice("held", F.lit(1), F.col("most")), lambda x: x["value"]).alias("prefix"))
-        cut = durable(cut)
-        self.prefixes = cut.select("node", "prefix")
-        out = cut.select("node", "n", "weight", F.explode("prefix").alias("value"))
-        met = keys(out.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "value")
-        out = durable(out.join(met, "value"))
-        self.near = durable(self.reps.join(out.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "f1", "f2", "sketch"))
-        return out
+        made = durable(sketches(documents, k, Plan.of(percent), size).withColumn("node", F.monotonically_increasing_id()))
+        self.rows = made.drop("keys")
+        firsts = made.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("node", "doc_id", "h")).alias("x"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+        self.firsts = durable(firsts.select("f1", "f2", "n", "x.node", "x.doc_id", "x.h", "copies", "keys"))
+
+    def lists(self) -> DataFrame:
+        """key, node, n, weight: the keys that several representatives have; the weight of a node sums up its lists' lengths."""
+        each = self.firsts.select("node", "n", F.explode("keys").alias("key"))
+        met = keys(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key", "c")
+        out = durable(each.join(met, "key").distinct())
+        weights = out.groupBy("node").agg(F.sum("c").alias("weight"))
+        return durable(out.drop("c").join(weights, "node"))
+
+    def read_sets(self, nodes: DataFrame) -> None:
+        """The full sets of the nodes. Repeated rows of a text would give a set twice."""
+        wanted = durable(self.firsts.select("node", "doc_id", "h").join(nodes, "node", "left_semi"))
+        count = wanted.count()
+        found = durable(full_sets(self.documents, F.broadcast(wanted) if count <= BROADCAST else wanted, self.k))
+        self.sets = found if found.count() == count else durable(found.dropDuplicates(["node"]))
+
+    def _both(self, pairs: DataFrame, values: Column) -> DataFrame:
+        held = self.sets.select("node", values.alias("own"))
+        one, two = (held.select(F.col("node").alias(x), F.col("own").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        return free(free(pairs, "u").join(free(one, "u"), "u"), "v").join(free(two, "v"), "v")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose union's sketch leaves them possible, with the number of its values that both have."""
-        own = self.near.select("node", "sketch")
-        both = pairs.join(own.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+        """Pairs (u, v) that the sketch of their union leaves possible."""
+        both = self._both(pairs, F.slice("own", 1, self.size))
         union = F.slice(F.sort_array(F.array_union("a", "b")), 1, self.size)
         both = both.withColumn("union", union).withColumn("x", F.size(F.array_intersect(F.array_intersect("a", "b"), "union")))
         enough = F.when(F.size("union") < self.size, 100 * F.col("x") >= self.percent * F.size("union")).otherwise(F.col("x") >= self.low)
-        return both.filter(enough).select("u", "v", "x")
+        return durable(both.filter(enough).select("u", "v"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose full sets are as alike as asked. Texts are read of those that are not held yet."""
-        pairs = durable(pairs.select("u", "v"))
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = durable(self.near.join(nodes, "node", "left_semi").select("node", "doc_id", "f1", "f2"))
-        if count := wanted.count():
-            more = durable(full_sets(self.documents, F.broadcast(wanted) if count <= BROADCAST else wanted, self.k).dropDuplicates(["node"]))
-            self.sets = more if self.sets is None else self.sets.union(more)
-        if self.sets is None:
-            return pairs
-        both = pairs.join(self.sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(self.sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-        both = both.withColumn("i", F.size(F.array_intersect("a", "b")))
+        """Pairs (u, v) whose full sets are as alike as asked."""
+        both = self._both(self.estimated(durable(pairs)), F.col("own")).withColumn("i", F.size(F.array_intersect("a", "b")))
         return durable(both.filter(100 * F.col("i") >= self.percent * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v"))
 
-    def classes(self) -> DataFrame:
-        """node and component of the representatives that have a link.
-
-        The leaders of a list are the member whose values are the most common, which lies in the middle of
-        a group of near copies, and one by hash. Each text is verified against the TRIED most alike
-        of its leaders. Then every pair between components that still share a list is tried, once,
-        at the first value that their prefixes share.
-        """
-        lists = self.postings()
-        by_weight = F.max(F.struct("weight", F.xxhash64("node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"))).alias("a")
-        by_hash = F.max(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"))).alias("b")
-        leaders = lists.groupBy("value").agg(by_weight, by_hash)
-        leaders = leaders.select("value", F.explode(F.array(F.struct("a.v", "a.m"), F.struct("b.v", "b.m"))).alias("x")).select("value", "x.v", "x.m")
-        pairs = lists.join(keys(leaders, "value", "v", "m"), "value").filter((F.col("node") != F.col("v")) & _alike(F.col("n"), F.col("m"), self.percent))
-        pairs = self.estimated(pairs.select(F.col("node").alias("u"), "v").distinct())
-        tried = pairs.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("x", "v")), False), 1, TRIED).alias("best"))
-        links = self.verified(tried.select("u", F.explode("best").alias("x")).select("u", "x.v"))
+    def led(self, lists: DataFrame) -> DataFrame:
+        """Pairs of each node and the leaders that it shares most lists with."""
+        leaders = lists.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("v"), F.col("n").alias("m"))).alias("x")).select("key", "x.v", "x.m")
+        met = free(lists, "key").join(keys(leaders, "key", "v", "m"), "key").filter((F.col("node") != F.col("v")) & _alike(F.col("n"), F.col("m"), self.percent))
+        shared = met.groupBy("node", "v").agg(F.count(F.lit(1)).alias("c"))
+        best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "v")), False), 1, TRIED).alias("best"))
+        return best.select(F.col("node").alias("u"), F.explode("best").alias("x")).select("u", "x.v")
+
+    def need(self, n: Column) -> Column:
+        """Retained values that a partner of a set of n shingles shares at least."""
+        whole = F.ceil(n * self.percent / 100)
+        return F.when(n * 100 <= self.size * self.percent, whole).otherwise(F.least(whole, F.lit(self.low)))
+
+    def rare(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs of different components that share a list and, of their rarest retained values, one that they must share."""
+        now = durable(free(lists, "node").join(free(found, "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+        mixed = now.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
+        open_ = durable(free(now, "key").join(keys(mixed, "key"), "key").select("node", "c").distinct())
+        held = durable(free(self.sets, "node").select("node", "n", F.slice("own", 1, self.size).alias("own")).join(free(open_, "node"), "node"))
+        each = held.select("node", F.explode("own").alias("value"))
+        often = keys(each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value", "df")
+        shared = each.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        size, n = F.least(F.col("n"), F.lit(self.size)), F.col("n")
+        most = (F.size("held") - self.need(n) + 1).cast("int")  # values that no other sketch has come first
+        first = held.select("node", "n", "c").join(shared, "node").withColumn("most", most).filter("most > 0")
+        places = F.transform(F.slice("held", F.lit(1), F.col("most")), lambda x, i: F.struct(x["value"].alias("value"), (F.size("held") - i).cast("bigint").alias("left"), F.transform(F.slice(F.col("held"), F.lit(1), i), lambda y: y["value"]).alias("before")))
+        out = durable(first.select("node", "n", "c", F.explode(places).alias("x")).select("node", "n", "c", "x.value", "x.left", "x.before"))
+        counted = out.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+        tops = keys(counted.filter("kinds > 1").select("value", F.col("top.c").alias("main")), "value", "main")
+        minor = durable(free(out, "value").join(tops, "value").filter("c <> main"))
+        other = free(out, "value").select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("rest"), F.col("before").alias("past"))
+        m = F.col("m")
+        whole = (n <= self.size) & (m <= self.size)
+        need = F.when(whole, F.ceil((n + m) * self.percent / (100 + self.percent))).otherwise(F.least(F.ceil(F.greatest(n, m) * self.percent / 100), F.lit(self.low)))
+        apart = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("node") < F.col("v")))
+        first = ~F.coalesce(F.arrays_overlap("before", "past"), F.lit(False))
+        met = free(minor, "value").join(other, "value").filter(apart & _alike(n, m, self.percent) & (F.least("left", "rest") >= need) & first)
+        return met.select(F.col("node").alias("u"), "v")
 
+    def classes(self) -> DataFrame:
+        """node and component of the representatives that have a link."""
+        lists = self.lists()
+        self.read_sets(lists.select("node").distinct())
+        links = self.verified(self.led(lists))
         found = durable(components(links, "u", "v"))
-        now = lists.join(found, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("c"))
-        mixed = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
-        left = durable(now.join(keys(mixed, "value"), "value").join(self.prefixes, "node"))
-        right = left.select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("prefix").alias("other"))
-        own = (F.col("left.value") == F.col("right.value")) & (F.col("node") < F.col("v")) & (F.col("c") != F.col("d")) & _alike(F.col("n"), F.col("m"), self.percent)
-        own = own & (F.get(F.array_intersect("prefix", "other"), F.lit(0)) == F.col("left.value"))
-        rest = left.alias("left").join(right.alias("right"), own).select(F.col("node").alias("u"), "v")
-        more = self.verified(self.estimated(rest))
+        more = self.verified(self.rare(lists, found))
         return durable(components(links.union(more), "u", "v"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept, one row per document."""
-    linker = Linker(documents, k, percent)
-    found = linker.classes()
-    classes = linker.firsts.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("c"))
-    rows = linker.rows.select("doc_id", "node", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").withColumn("c", F.coalesce("c", "node"))
-    rows = durable(rows.select("doc_id", "n", "c"))
-    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "c")
+    out = grouped(documents, k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def grouped(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n, c (null: alone) and component_id, one row per document."""
+    linker = Linker(documents, k, percent)
+    found = linker.classes().withColumnRenamed("node", "member")
+    firsts = linker.firsts.select("f1", "f2", "n", "node", "copies")
+    classes = firsts.join(found, F.col("node") == F.col("member"), "left").filter("copies > 1 OR component IS NOT NULL")
+    classes = keys(classes.withColumn("c", F.coalesce("component", "node")), "f1", "f2", "n", "c")
+    rows = durable(free(linker.rows, "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "h", "n", "c"))
+    least = keys(rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least")), "c", "least")
+    out = free(rows, "c").join(least, "c", "left")
+    return out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+
+
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with their columns, of which one of each group of near duplicates stays: that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so different texts that share an id, or have none, are different documents; of
+    repeated rows of the one that stays, one stays. Rows without doc_id stay only if their group has no other.
+    """
+    rows = grouped(documents, k, percent).filter("c IS NOT NULL").select("doc_id", "h", "c")
+    rows = durable(rows.groupBy("c", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")))
+    first = keys(rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("c", F.col("x.doc_id").alias("d"), F.col("x.h").alias("g")), "c", "d", "g")
+    kept = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    judged = durable(free(rows, "c").join(first, "c").select("doc_id", "h", "times", kept.alias("kept")))
+    gone, twice = judged.filter("NOT kept"), judged.filter("kept AND times > 1")
+    columns = documents.columns
+    held = documents.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
+
+    def joined(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        own = some.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
+        own = F.broadcast(own) if some.count() <= BROADCAST else own
+        return left.join(own, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("g")), how)
+
+    out = joined(held, gone, "left_anti")
+    if not twice.isEmpty():
+        out = joined(out, twice, "left_anti").unionByName(joined(held, twice, "left_semi").dropDuplicates(["_d", "_h"]))
+    return out.select("_row.*")

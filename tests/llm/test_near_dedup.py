@@ -77,6 +77,33 @@ def test_least_shared():
     assert (draws < t).sum() == 0 and N.least_shared(64, 80, 1e-2) > t
 
 
+@pytest.mark.parametrize("n", [4, 5, 9, 16, 17, 20, 31, 40, 63, 64, 79, 100, 127, 200, 700])
+def test_pairs_at_the_threshold_share_a_key(n):
+    """Sets of n values and of up to n / 0.8 with just the asked Jaccard, the larger one on either side of a level's border."""
+    draw, plan, missed = np.random.default_rng(n), N.Plan.of(80), 0
+    for _ in range(400):
+        more = int(draw.integers(0, n // 4 + 1))  # values of the other set alone
+        values = draw.integers(0, 2**64, n + more, dtype=np.uint64)
+        gone = min(n // 4 - more, int(n - 0.8 * (n + more)))
+        a, b = np.unique(values[:n]), np.unique(values[max(0, gone) : n + more])
+        assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        held, first = plan.keys([a[: N.SKETCH], b[: N.SKETCH]], np.array([len(a), len(b)]))
+        missed += not set(held[: first[1]].tolist()) & set(held[first[1] :].tolist())
+    assert missed == 0
+
+
+def test_one_of_each_group_stays_and_nothing_else_goes(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base, "x"), (5, base + " x", "x"), (5, "other text of its own", "x"), (7, "lonely words", None), (None, base + " y", "x")]
+    rows += [(None, "no id but two copies " * 3, "x")] * 2 + [(8, "the same row twice here", "x")] * 2 + [(9, None, "x"), (9, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, c string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in N.one_of_each(frame).collect())
+    want = [(3, base), (5, "other text of its own"), (7, "lonely words"), (None, "no id but two copies " * 3), (8, "the same row twice here"), (9, None), (9, "")]
+    assert got == sorted((str(a), str(b)) for a, b in want)
+    assert N.one_of_each(frame).columns == frame.columns
+    assert N.one_of_each(frame.limit(0)).count() == 0
+
+
 def test_empty_table_and_no_links(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).count() == 0

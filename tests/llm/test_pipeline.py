@@ -38,3 +38,22 @@ def test_stage_decisions_take_effect(spark, folder, tmp_path):
 def test_run(spark, folder):
     out = P.run(spark, folder).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 1024 and len(out.doc_id.unique()) == 42
+
+
+def test_documents_are_told_apart_by_text_too(spark, tmp_path):
+    prose = lambda i: " ".join(f"word{i}x{j} and{'.' if j % 8 == 7 else ''}" for j in range(60)) + " end."
+    rows = [(3, prose(0)), (5, prose(0) + " x."), (5, prose(1)), (7, prose(2)), (None, prose(3)), (None, prose(3))]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2) for i, t in rows], "doc_id long, text string, lang string, node long, c long")
+    got = P.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t in [(3, prose(0)), (5, prose(1)), (7, prose(2)), (None, prose(3))])
+
+
+def test_empty_tables_and_long_texts(spark, tmp_path):
+    for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+    long = " ".join(f"word{j} item{j} of{'.' if j % 8 == 7 else ''}" for j in range(60_000)) + " end."
+    spark.createDataFrame([(1, long, "en", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path)).toPandas()
+    assert len(out) > 200 and out.length.iloc[1:].eq(1024).sum() >= len(out) - 2
