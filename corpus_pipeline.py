@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame
 that is written as Parquet and read again. All but the last return the columns of documents.
-Rows without doc_id cannot be told apart as near duplicates and stay; of rows that share a doc_id one stays.
+Documents are told apart by doc_id and text: different texts stay though they share an id or have none, and of
+repeated rows one stays. Null and empty texts fail the quality rules; very long texts pass through whole. Empty tables give no rows. Of
+ties the smallest doc_id stays. Other columns, whatever their names, are carried along up to packing.
 """
 
 from __future__ import annotations
@@ -10,11 +12,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluice.llm.common import shared_folder, table
 from sluice.llm.decontamination import clean
-from sluice.llm.near_dedup import near_duplicates
+from sluice.llm.near_dedup import one_of_each
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii import sanitised
 from sluice.llm.quality_rules import filtered
@@ -26,12 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, k=5, percent=80)
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    return one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
