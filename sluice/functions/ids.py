@@ -57,10 +57,10 @@ def video_key(namespace: str, video: Column | str, path_pattern: str) -> Column:
     return F.concat(F.lit(f"{namespace}:"), media_identity(video, "video", path_pattern))
 
 
-def ranked_key(namespace: str, explicit: Column, video: Column, preview: Column, status: Column, fallback: Column) -> Column:
-    """Explicit id, video identity unless it is the preview's, preview identity, status id, fallback."""
-    own = F.when(~video.eqNullSafe(preview), video)
-    return F.concat(F.lit(f"{namespace}:"), F.coalesce(F.concat(F.lit("id:"), explicit), own, preview, F.concat(F.lit("status:"), status), fallback))
+def ranked_key(namespace: str, explicit: Column, video: str, preview: str, status: str, video_path: str, preview_path: str) -> Column:
+    """Explicit id, identity of the video unless its URL is the preview's, identity of the preview, status id."""
+    own = F.when(~F.col(video).eqNullSafe(F.col(preview)), media_identity(video, "video", video_path))
+    return F.concat(F.lit(f"{namespace}:"), F.coalesce(F.concat(F.lit("video-id:"), explicit), own, media_identity(preview, "preview", preview_path), F.concat(F.lit("tweet-status:"), status_id(status)), F.concat(F.lit("fallback:"), url_without_query(video))))
 
 
 def ranked_title(rank: Column | str, *options: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The white space that browsers' regular expressions and trim know.
 JS_WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same, letter by letter.
+WS_LETTERS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: The same in the spelling of RE2, for oracles.
 RE2_WS = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: The entities that are decoded, in this order, so that &amp;lt; becomes <.
@@ -19,7 +21,7 @@ def col(x: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{JS_WS}+|{JS_WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_LETTERS))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -67,7 +69,15 @@ def first_match(pattern: str, c: Column | str, group: int = 1) -> Column:
 
 def attribute_anywhere(c: Column | str, name: str) -> Column:
     """Value of name="..." wherever it stands, also as the end of data-name."""
-    return F.regexp_extract(col(c), rf"""(?i){name}=["']([^"']*)["']""", 1)
+    return F.regexp_extract(col(c), rf"""(?i){name}=["']([^"']+)["']""", 1)
+
+
+def loose_attribute(c: Column | str, name: str) -> Column:
+    """Quoted value (may be empty), else bare value, of name = ... wherever it stands; empty where it is absent."""
+    c = col(c)
+    quoted = rf"""(?i){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    bare = F.regexp_extract(c, rf"(?i){name}\s*=\s*([^\s>]+)", 1)
+    return F.when(c.rlike(quoted), F.concat(F.regexp_extract(c, quoted, 1), F.regexp_extract(c, quoted, 2))).otherwise(bare)
 
 
 def attribute(c: Column | str, name: str) -> Column:
@@ -113,3 +123,28 @@ def section_label(c: Column | str, names: dict[str, str]) -> Column:
     for key, name in reversed(names.items()):
         out = F.when(F.contains(c, F.lit(key)), F.lit(name)).otherwise(out)
     return out
+
+
+#: What is shown for each error code, and for any other.
+MESSAGES = {
+    "TAB_NOT_FOUND": "활성 탭을 찾지 못했습니다. 탭을 선택한 뒤 다시 시도하세요.",
+    "TAB_URL_MISMATCH": "선택한 사이트와 현재 탭 URL이 다릅니다. 먼저 사이트를 열어주세요.",
+    "CONTENT_SCRIPT_UNAVAILABLE": "HTML 수집에 실패했습니다. 페이지를 새로고침 후 다시 시도하세요.",
+    "PARSE_FAILED": "페이지 구조를 파싱하지 못했습니다. 사이트 구조 변경 여부를 확인하세요.",
+    "PRIVACY_BLUR_FAILED": "브라우저 화면 흐림 처리에 실패했습니다.",
+    "NO_ITEMS": "수집 가능한 아이템이 없습니다.",
+    "INVALID_REQUEST": "요청 형식이 올바르지 않습니다.",
+}
+OTHER_MESSAGE = "알 수 없는 오류가 발생했습니다."
+
+
+def error_message(code: Column | str) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.coalesce(col(code), F.lit(""))), F.lit(OTHER_MESSAGE))
+
+
+def shown_time(ms: Column | str) -> Column:
+    """Milliseconds as a short Korean date and time of day in the session's time zone: 24. 1. 15. 오후 3:04:05."""
+    at = F.timestamp_millis(col(ms))
+    half = F.when(F.hour(at) < 12, "오전").otherwise("오후")
+    return F.concat(F.date_format(at, "yy. M. d. "), half, F.date_format(at, " h:mm:ss"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sluice.functions.text import blank_to_null, col, trim_ws
+from sluice.functions.text import blank_to_null, col, plain_tags, trim_ws
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 #: Ports that a serialised URL leaves out.
@@ -132,6 +132,37 @@ def label_contains(labels: Column, names: dict[str, str]) -> Column:
     return F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0))
 
 
+#: Views and periods by URL, and by the labels of the active tab and button, in the order of asking.
+VIEWS = ("ranking", "realtime", "recent")
+VIEW_LABELS = {"실시간": "realtime", "신규": "recent", "인기": "ranking"}
+PERIOD_PARAMS = ("period", "time", "range", "filter")
+PERIODS = {"hour": "hourly", "hourly": "hourly", "day": "daily", "daily": "daily", "week": "weekly", "weekly": "weekly", "month": "monthly", "monthly": "monthly"}
+PERIOD_LABELS = {"1달": "monthly", "1개월": "monthly", "1주": "weekly", "24시간": "daily", "1일": "daily", "1시간": "hourly"}
+ACTIVE_TAB = r"""(?i)<(?:button|a)\b[^>]*class=["'][^"']*(?:tab-active|bg-violet-500/20)[^"']*["'][^>]*>([\s\S]*?)</(?:button|a)>"""
+ACTIVE_PERIOD = r"""(?i)<button\b[^>]*class=["'][^"']*shadow-violet-500/50[^"']*["'][^>]*>([\s\S]*?)</button>"""
+
+
+def _labels(html: Column | str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(col(html), F.lit(pattern), F.lit(1)), plain_tags)
+
+
+def active_view(html: Column | str, url: Column | str) -> Column:
+    """The view that the URL names, else the first active tab's with a known label, else ranking."""
+    return F.coalesce(first_segment_in(url, VIEWS), label_contains(_labels(html, ACTIVE_TAB), VIEW_LABELS), F.lit("ranking"))
+
+
+def active_period(html: Column | str, url: Column | str) -> Column:
+    """The period that the URL names, else the first active button's with a known label, else hourly."""
+    return F.coalesce(first_alias(url, PERIOD_PARAMS, PERIODS), label_contains(_labels(html, ACTIVE_PERIOD), PERIOD_LABELS), F.lit("hourly"))
+
+
+def active_api_url(html: Column | str, url: Column | str) -> Column:
+    """The API address of what a page shows; only the ranking has a period. Null where the URL is none."""
+    view = active_view(html, url)
+    period = F.when(view == "ranking", F.concat(F.lit("?period="), active_period(html, url))).otherwise("")
+    return F.concat(origin(url), F.lit("/api/tw/"), view, period)
+
+
 def api_url(page: Column | str, view: Column | str, period: Column | str | None = None, prefix: str = "/api/") -> Column:
     out = F.concat(origin(page), F.lit(prefix), col(view))
     return F.concat(out, F.coalesce(F.concat(F.lit("?period="), col(period)), F.lit(""))) if period is not None else out

@@ -16,8 +16,17 @@ from pyspark.sql.types import StringType
 from sluice.functions import ids, text, urls
 from sluice.operators.dedupe import keep_best, keep_first, link_key
 
-#: Characters after a card's anchor in which its preview is sought.
+#: Characters from the start of a card's anchor in which its preview is sought.
 LOOK_AHEAD = 4000
+#: Hosts and paths of the served pages, and what identifies a video, a preview and a post.
+VIDEO_LINK, IMAGE_LINK, POST_LINK = r"https?://video\.twimg\.com/", r"https?://pbs\.twimg\.com/", r"https?://x\.com/"
+VIDEO_PATH, PREVIEW_PATH = r"(?i)/(?:amplify_video|ext_tw_video)/(\d+)/", r"(?i)/(?:amplify_video_thumb|ext_tw_video_thumb)/(\d+)/"
+POST_PREFIX = "https://x.com/i/status/"
+VIDEO_LABELS = r"(?:동영상\s*URL|動画\s*URL|Video\s*URL)"
+#: Section labels, the section taken where a URL names none, and the end of a title made of a name.
+SECTIONS = {"오늘의 베스트": "일간 베스트", "주간 베스트": "주간 베스트"}
+DEFAULT_SECTION = "pornvideo"
+NAME_SUFFIX = "님의 동영상"
 COLUMNS = ("page_id", "pos", "title", "url", "dedupe_key", "preview_image_url", "summary", "price", "raw_html_snippet")
 
 
@@ -52,15 +61,26 @@ def list_links(pages: DataFrame) -> DataFrame:
     return firsts(_links(pages, r'(?i)<li><a\s+href="([^"]*)"[^>]*>([\s\S]*?)</a>'))
 
 
+def addressed(raw: Column | str, base: str = "url") -> Column:
+    """The address as it stands, entities and all, against its page."""
+    return urls.resolved_url(text.trim_ws(raw), F.col(base))
+
+
+def _titled(pages: DataFrame, pattern: str) -> DataFrame:
+    """Matches with address and label; the label is also the snippet."""
+    rows = found(pages, pattern, href=1, label=2)
+    title = text.clean_text("label")
+    return firsts(rows.select("page_id", "pos", title.alias("title"), addressed("href").alias("url"), title.alias("raw_html_snippet")))
+
+
 def titleline_rows(pages: DataFrame) -> DataFrame:
-    rows = _links(pages, r'(?i)<tr[^>]*class="[^"]*\bathing\b[^"]*"[^>]*>[\s\S]*?class="[^"]*\btitleline\b[^"]*"[^>]*>\s*<a[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>')
-    return firsts(rows.withColumn("summary", F.col("title")))
+    return _titled(pages, r"""<tr class=["']athing["'][\s\S]*?<span class=["']titleline["'][^>]*>\s*<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>""")
 
 
 def article_links(pages: DataFrame) -> DataFrame:
     """Anchors with an article-link id; headline anchors on pages that have none."""
-    first = firsts(_links(pages, r'(?i)<a(?=[^>]*\bid="article-link-[^"]*")[^>]*\bhref="([^"]*)"[^>]*>([\s\S]*?)</a>'))
-    other = firsts(_links(pages, r'(?i)<h2[^>]*>\s*<a[^>]*\bhref="([^"]*)"[^>]*>([\s\S]*?)</a>'))
+    first = _titled(pages, r"""<a[^>]*id=["']article-link-[^"']+["'][^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>""")
+    other = _titled(pages, r"""<h2[^>]*>[\s\S]*?<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>[\s\S]*?</h2>""")
     return fallback_union(first, other)
 
 
@@ -70,47 +90,44 @@ def fallback_union(primary: DataFrame, fallback: DataFrame, done: DataFrame | No
     return primary.unionByName(fallback.join(pages, "page_id", "left_anti").select(*primary.columns))
 
 
-def _images(c: Column | str, *names: str) -> Column:
-    """First image address that is no data: URL; the last named attribute of a tag counts."""
-    each = F.transform(F.regexp_extract_all(text.col(c), F.lit("(?i)<img\\b[^>]*>"), F.lit(0)), lambda x: F.coalesce(*(F.nullif(text.attribute_anywhere(x, n), F.lit("")) for n in names)))
-    return F.get(F.filter(each, lambda x: x.isNotNull() & ~F.lower(x).startswith("data:")), F.lit(0))
-
-
 def thumb_cards(pages: DataFrame) -> DataFrame:
-    rows = found(pages, r'(?i)<div[^>]*class="[^"]*\bthumb\b[^"]*\bthumb_rel\b[^"]*\bitem\b[^"]*"[^>]*>\s*(<a\b[^>]*>)([\s\S]*?)</a>', tag=1, inner=2)
-    href, title = text.attribute_anywhere("tag", "href"), text.attribute("tag", "title")
-    label = F.coalesce(title, F.regexp_extract("inner", r'(?i)<div[^>]*class="[^"]*\btitle\b[^"]*"[^>]*>([\s\S]*?)</div>', 1))
+    """Cards of a linked image: titled by attribute, else by the inner title; the first image that is no data: address."""
+    rows = found(pages, r'(?i)<div class="thumb\s+thumb_rel\s+item[^"]*"[\s\S]*?<a\s+([^>]*?)>([\s\S]*?)</a>[\s\S]*?</div>', tag=1, inner=2)
+    href, title = text.attribute_anywhere("tag", "href"), text.blank_to_null(text.attribute_anywhere("tag", "title"))
+    label = F.coalesce(title, F.regexp_extract("inner", r'(?i)<div class="title"[^>]*>([\s\S]*?)</div>', 1))
+    images = F.transform(F.regexp_extract_all("inner", F.lit(r"""(?i)<img[^>]+(?:data-original|src)=["']([^"']+)["'][^>]*>"""), F.lit(1)), text.trim_ws)
+    image = F.get(F.filter(images, lambda x: (x != "") & ~x.startswith("data:")), F.lit(0))
     rows = rows.filter(F.contains(href, F.lit("/video/")))
-    return firsts(rows.select("page_id", "pos", text.clean_text(label).alias("title"), resolved(href).alias("url"), urls.resolved_url(_images("inner", "data-original", "src"), F.col("url")).alias("preview_image_url")))
+    return firsts(rows.select("page_id", "pos", text.clean_text(label).alias("title"), addressed(href).alias("url"), urls.resolved_url(image, F.col("url")).alias("preview_image_url")))
 
 
 def poster_cards(pages: DataFrame) -> DataFrame:
-    pattern = r'(?i)<div[^>]*class="[^"]*\bitem\b[^"]*"[^>]*>[\s\S]*?<a[^>]*href="([^"]*)"[^>]*class="[^"]*\bposter\b[^"]*"[^>]*>[\s\S]*?<img[^>]*src="([^"]*)"[\s\S]*?<a[^>]*href="([^"]*)"[^>]*class="[^"]*\btitle\b[^"]*"[^>]*>([\s\S]*?)</a>'
+    pattern = r'(?i)<div class="item">[\s\S]*?<a href="([^"]+)" class="poster">[\s\S]*?<img[^>]+src="([^"]+)"[^>]*>[\s\S]*?<a href="([^"]+)" class="title">([\s\S]*?)</a>[\s\S]*?</div>\s*</div>'
     rows = found(pages, pattern, poster=1, image=2, href=3, label=4)
     href = F.coalesce(F.nullif(text.trim_ws("href"), F.lit("")), text.trim_ws("poster"))
-    return firsts(rows.filter(F.contains(href, F.lit("/v/"))).select("page_id", "pos", text.clean_text("label").alias("title"), resolved(href).alias("url"), urls.resolved_url(F.col("image"), F.col("url")).alias("preview_image_url")))
+    return firsts(rows.filter(F.contains(href, F.lit("/v/"))).select("page_id", "pos", text.clean_text("label").alias("title"), addressed(href).alias("url"), addressed("image").alias("preview_image_url")))
 
 
-def sectioned_list(pages: DataFrame, labels: dict[str, str]) -> DataFrame:
+def sectioned_list(pages: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Rows of sections whose label is known; the summary is the label and the number of comments."""
-    sections = found(pages, r'(?i)<div[^>]*class="[^"]*\bboard-hot-title\b[^"]*"[^>]*>([\s\S]*?)</div>[\s\S]*?<ul[^>]*class="[^"]*\bpost-list\b[^"]*"[^>]*>([\s\S]*?)</ul>', label=1, body=2)
-    sections = sections.withColumn("section", text.section_label("label", labels)).filter("section IS NOT NULL").withColumnRenamed("pos", "section_pos").drop("_match", "label")
-    rows = found(sections, r'(?i)<li[^>]*class="[^"]*\bpost-row\b[^"]*"[^>]*>[\s\S]*?<a[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>', "body", href=1, inner=2)
-    comments = text.first_match(r'(?i)class="[^"]*\bcount\b[^"]*"[^>]*>\s*(\+?\d+)', "inner")
-    label = F.regexp_replace("inner", r'(?i)<span[^>]*class="[^"]*\bcount\b[^"]*"[^>]*>[\s\S]*?</span>', " ")
-    rows = rows.select("page_id", "section_pos", "pos", text.without_badge(label).alias("title"), resolved("href").alias("url"), F.concat_ws(" ", "section", comments).alias("summary"))
+    sections = found(pages, r'(?i)<div class="board-hot-title">([\s\S]*?)</div>\s*<div class="miso-post-list">[\s\S]*?<ul class="post-list">([\s\S]*?)</ul>', label=1, body=2)
+    sections = sections.withColumn("section", text.section_label("label", labels or SECTIONS)).filter("section IS NOT NULL").withColumnRenamed("pos", "section_pos").drop("_match", "label")
+    rows = found(sections, r'(?i)<li class="post-row">[\s\S]*?<a href="([^"]+)"[^>]*>([\s\S]*?)</a>\s*</li>', "body", href=1, inner=2)
+    comments = F.concat(F.lit("댓글 +"), text.first_match(r'(?i)<span class="count[^"]*">\s*\+?(\d+)\s*</span>', "inner"))
+    rows = rows.filter(text.trim_ws("href") != "").select("page_id", "section_pos", "pos", text.without_badge("inner").alias("title"), resolved("href").alias("url"), F.concat_ws(" · ", "section", comments).alias("summary"))
     order = Window.partitionBy("page_id").orderBy("section_pos", "pos")
     return firsts(rows.withColumn("pos", F.row_number().over(order) - 1))
 
 
 def ranked_rows(pages: DataFrame) -> DataFrame:
     """Lists of cells: the title link, and the plain cells rank and date as 'N위 · date'."""
-    rows = found(pages, r'(?i)<ul[^>]*class="[^"]*\btd\b[^"]*\bufl\b[^"]*"[^>]*>([\s\S]*?)</ul>', body=1)
-    cells = F.regexp_extract_all("body", F.lit("(?i)<li>([\\s\\S]*?)</li>"), F.lit(1))
-    link = r'(?i)<li[^>]*class="[^"]*\btit\b[^"]*"[^>]*>[\s\S]*?<a[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
-    rank, date = text.optional_text(F.get(cells, F.lit(0))), text.optional_text(F.get(cells, F.lit(1)))
+    rows = found(pages, r'(?i)<ul class="td ufl">([\s\S]*?)</ul>', body=1)
+    cells = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)<li>\s*([^<]+?)\s*</li>"), F.lit(1)), text.clean_text)
+    link = r'(?i)<li class="tit[^"]*">\s*<a href="([^"]+)">([\s\S]*?)</a>\s*</li>'
+    rank, date = (text.blank_to_null(F.get(cells, F.lit(i))) for i in (0, 1))
     summary = F.concat_ws(" · ", F.concat(rank, F.lit("위")), date)
-    return firsts(rows.select("page_id", "pos", text.clean_text(F.regexp_extract("body", link, 2)).alias("title"), resolved(F.regexp_extract("body", link, 1)).alias("url"), summary.alias("summary")))
+    rows = rows.withColumn("href", text.trim_ws(F.regexp_extract("body", link, 1))).filter("href <> ''")
+    return firsts(rows.select("page_id", "pos", text.clean_text(F.regexp_extract("body", link, 2)).alias("title"), addressed("href").alias("url"), summary.alias("summary")))
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -120,85 +137,111 @@ def _best(rows: DataFrame) -> DataFrame:
     return shaped(kept.withColumn("pos", F.row_number().over(order) - 1))
 
 
-def ranked_anchors(pages: DataFrame, namespace: str = "ranked", video: str = r"(?i)/video/(\d+)", prefix: str = "https://example.com/i/status/") -> DataFrame:
-    """Video anchors with the last rank marker before them (the first where none is), and that segment's status and preview."""
-    marker = r'(?i)(?=<img[^>]*src="[^"]*rank\d+\.\w+"[^>]*>)'
-    segments = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.split("html", marker, -1)).alias("seg", "part"))
-    rank = F.regexp_extract("part", r'(?i)^<img[^>]*src="[^"]*rank\d+\.\w+"[^>]*>\s*(\d+)위', 1).try_cast("bigint")
+def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
+    """Video anchors with the last rank marker before them (the first where none is), and that segment's post and preview.
+
+    A rank of 0 stays in the title and orders as the entry's place.
+    """
+    marker = r"""(?i)(?=<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*\d+\s*위)"""
+    html = F.replace("html", F.lit("\r\n"), F.lit("\n"))
+    segments = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.split(html, marker, -1)).alias("seg", "part"))
+    rank = F.regexp_extract("part", r"""(?i)^<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*(\d+)\s*위""", 1).try_cast("bigint")
+    segments = segments.withColumn("rank", rank)
     w = Window.partitionBy("page_id").orderBy("seg")
-    lead = lambda c: F.when((F.col("seg") == 0) & ~F.col("part").rlike(f"^{marker}") & F.lead("seg").over(w).isNotNull(), F.lead(c).over(w)).otherwise(F.col(c))
-    segments = segments.withColumn("rank", rank).withColumn("context", lead("part")).withColumn("rank", lead("rank"))
-    shown_images = F.regexp_replace("context", r'(?i)<img[^>]*src="[^"]*rank\d+\.\w+"[^>]*>', "")
-    rows = found(segments, r'(?i)<a[^>]*href="([^"]*)"[^>]*>\s*VideoURL\s*</a>', "part", href=1)
+    lead = lambda c: F.when(F.col("rank").isNull() & F.lead("seg").over(w).isNotNull(), F.lead(c).over(w)).otherwise(F.col(c))
+    segments = segments.select("page_id", "page_url", "seg", "part", lead("part").alias("context"), lead("rank").alias("rank"))
+    rows = found(segments, rf"""(?i)<a\s+[^>]*href=["']({VIDEO_LINK}[^"']+)["'][^>]*>\s*{VIDEO_LABELS}\s*</a\s*>""", "part", href=1)
     order = Window.partitionBy("page_id").orderBy("seg", "pos")
-    rows = rows.withColumn("entry", F.row_number().over(order)).withColumn("pos", F.col("entry") - 1)
-    status = text.first_match(r'(?i)<a[^>]*href="([^"]*/status/\d+[^"]*)"', "context")
-    rows = rows.withColumn("status", ids.status_url(status, prefix)).withColumn("url", resolved("href", "page_url"))
-    shown = F.coalesce("rank", F.col("entry").cast("bigint"))
-    return _best(rows.select("page_id", "pos", F.when(shown > 0, shown).otherwise(F.col("entry")).alias("rank_order"), ids.ranked_title(shown, F.col("status"), F.col("url")).alias("title"), "url", ids.video_key(namespace, "url", video).alias("dedupe_key"), F.col("status").alias("summary"), _images(shown_images, "src").alias("preview_image_url")))
-
-
-def ranked_articles(pages: DataFrame, namespace: str = "articles", video: str = r"(?i)/video/(\d+)", prefix: str = "https://example.com/i/status/") -> DataFrame:
-    rows = found(pages, r"(?i)<article\b[^>]*>([\s\S]*?)</article>", body=1)
-    tag = F.regexp_extract("body", r"(?i)<video\b[^>]*>", 0)
-    source = text.trim_ws(text.decode_entities(F.coalesce(text.attribute(tag, "src"), F.lit(""))))
-    rows = rows.withColumn("source", source).filter("source <> ''")
+    rows = rows.withColumn("entry", F.row_number().over(order).cast("bigint")).withColumn("pos", F.col("entry") - 1)
+    status = ids.status_url(text.first_match(rf"""(?i)href=["']({POST_LINK}[^"']+)["']""", "context"), POST_PREFIX)
+    image = text.first_match(rf"""(?i)<img\s+[^>]*src=["']({IMAGE_LINK}[^"']+)["'][^>]*>""", "context")
+    rows = rows.withColumn("status", status).withColumn("url", addressed("href", "page_url"))
+    shown = F.coalesce("rank", "entry")
+    return _best(rows.select("page_id", "pos", F.when(shown > 0, shown).otherwise(F.col("entry")).alias("rank_order"), ids.ranked_title(shown, F.col("status"), F.col("url")).alias("title"), "url", ids.video_key(namespace, "url", VIDEO_PATH).alias("dedupe_key"), F.col("status").alias("summary"), addressed(image, "page_url").alias("preview_image_url")))
+
+
+def ranked_articles(pages: DataFrame, namespace: str = "xranking") -> DataFrame:
+    """Articles with a video: badge rank (0 counts) or place, post and its text, poster; the snippet is the view count."""
+    rows = found(pages, r"(?i)<article\b[\s\S]*?</article>")
+    of = lambda name: text.trim_ws(F.regexp_extract("_match", rf"""(?i)<video\b[^>]*\b{name}=["']([^"']+)["'][^>]*>""", 1))
+    rows = rows.withColumn("source", of("src")).filter("source <> ''")
     rows = rows.withColumn("entry", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    rank = F.coalesce(text.parse_int(text.first_match(r'(?i)class="[^"]*\btop-3\b[^"]*\bleft-3\b[^"]*"[^>]*>\s*(\d+)', "body")), F.col("entry").cast("bigint"))
-    anchor = r'(?i)<a[^>]*href="([^"]*/status/\d+[^"]*)"[^>]*>([\s\S]*?)</a>'
-    status = ids.status_url(text.blank_to_null(text.decode_entities(F.regexp_extract("body", anchor, 1))), prefix)
-    views = F.concat(F.lit("조회수 "), F.replace(text.first_match(r"(?i)lucide-eye[\s\S]*?<span[^>]*>\s*([\d,]+)", "body"), F.lit(","), F.lit("")))
-    rows = rows.withColumn("rank_order", rank).withColumn("status", status).withColumn("video", urls.resolved_url(F.col("source"), F.col("url")))
-    card = text.optional_text(F.regexp_extract("body", anchor, 2))
-    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", card, F.col("status"), F.col("video")).alias("title"), F.col("video").alias("url"), ids.video_key(namespace, "video", video).alias("dedupe_key"), urls.resolved_url(text.attribute(tag, "poster"), F.col("url")).alias("preview_image_url"), F.concat_ws(" · ", F.col("status"), views).alias("summary")))
-
-
-def json_ranking(pages: DataFrame, namespace: str = "api", video: str = r"(?i)/video/(\d+)", prefix: str = "https://example.com/i/status/", suffix: str = " 영상") -> DataFrame:
-    """Rows of an API array, bare or under data; ids may be numbers or texts."""
-    parsed = F.try_parse_json("api_payload")
-    root = pages.withColumn("_v", parsed).withColumn("_v", F.when(F.schema_of_variant("_v").startswith("ARRAY"), F.col("_v")).otherwise(F.try_variant_get("_v", "$.data", "variant")))
-    root = root.filter(F.schema_of_variant("_v").startswith("ARRAY"))
-    each = root.select("page_id", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("pos", "v"))
+    badge = text.first_match(r"""(?i)<div[^>]*class=["'][^"']*absolute\s+top-3\s+left-3[^"']*["'][^>]*>\s*(\d+)\s*</div>""", "_match")
+    rank = F.coalesce(badge.try_cast("bigint"), F.col("entry").cast("bigint"))
+    anchor = rf"""(?i)<a[^>]*href=["']({POST_LINK}(?:[^"'/]+/status/\d+|i/status/\d+)[^"']*)["'][^>]*>([\s\S]*?)</a>"""
+    status = ids.status_url(text.blank_to_null(text.decode_entities(F.regexp_extract("_match", anchor, 1))), POST_PREFIX)
+    views = F.concat(F.lit("조회수 "), text.first_match(r"(?i)lucide-eye[\s\S]*?<span>\s*(\d+)\s*</span>", "_match"))
+    rows = rows.withColumn("rank_order", rank).withColumn("status", status).withColumn("video", resolved("source"))
+    card = text.optional_text(F.regexp_extract("_match", anchor, 2))
+    key = ids.video_key(namespace, "video", VIDEO_PATH)
+    poster = resolved(text.blank_to_null(of("poster")))
+    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", card, F.col("status"), F.col("video")).alias("title"), F.col("video").alias("url"), key.alias("dedupe_key"), poster.alias("preview_image_url"), F.col("status").alias("summary"), views.alias("raw_html_snippet")))
+
+
+def _payload_rows(pages: DataFrame) -> DataFrame:
+    """The pages with their payload's array, bare or under data, as variant _v; null where there is none."""
+    parsed = F.try_parse_json(F.when(text.trim_ws("api_payload").rlike(r"^[{\[]"), F.col("api_payload")))
+    is_array = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    inner = F.try_variant_get("_v", "$.data", "variant")
+    return pages.withColumn("_v", parsed).withColumn("_v", F.when(is_array("_v"), F.col("_v")).when(is_array(inner), inner))
+
+
+def json_ranking(pages: DataFrame, namespace: str = "nimi", suffix: str = NAME_SUFFIX) -> DataFrame:
+    """Rows of an API array, bare or under data; ids may be numbers or texts. The snippet is the view count."""
+    root = _payload_rows(pages).filter("_v IS NOT NULL")
+    each = root.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("pos", "v"))
     get = lambda path: F.try_variant_get("v", path, "string")
-    rows = each.withColumn("direct", text.trim_ws(get("$.direct_url"))).filter("direct <> ''")
+    rows = each.withColumn("direct", text.trim_ws(get("$.direct_url"))).filter("direct <> ''").withColumn("direct", addressed("direct", "page_url"))
     rows = rows.withColumn("entry", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint"))
     posts = F.transform(F.coalesce(F.try_variant_get("v", "$.posts", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.try_variant_get(p, "$.id", "string"))
-    status = F.concat(F.lit(prefix), ids.first_digits_id(posts))
-    name = F.coalesce(text.optional_text(get("$.title")), F.concat(text.optional_text(get("$.posts[0].uploader.display_name")), F.lit(suffix)), F.concat(text.optional_text(get("$.posts[0].uploader.handle")), F.lit(suffix)))
-    rows = rows.withColumn("rank_order", text.rank_or(get("$.ranking"), "entry")).withColumn("status", status).withColumn("thumb", text.blank_to_null(text.trim_ws(get("$.thumbnail_url"))))
-    key = ids.ranked_key(namespace, ids.explicit_id(get("$.video_id"), get("$.id")), ids.media_identity("direct", "video", video), ids.media_identity("thumb", "preview", video), ids.status_id("status"), F.col("direct"))
-    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", name, F.col("status"), F.col("direct")).alias("title"), F.col("direct").alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.concat_ws(" · ", F.col("status"), text.views_snippet(F.try_variant_get("v", "$.play_count", "variant"))).alias("summary")))
+    status = F.concat(F.lit(POST_PREFIX), ids.first_digits_id(posts))
+    by = lambda field: F.concat(text.optional_text(get(f"$.posts[0].uploader.{field}")), F.lit(suffix))
+    name = F.coalesce(text.optional_text(get("$.title")), by("display_name"), by("handle"))
+    thumb = addressed(text.blank_to_null(text.trim_ws(get("$.thumbnail_url"))), "page_url")
+    rows = rows.withColumn("rank_order", text.rank_or(get("$.ranking"), "entry")).withColumn("status", status).withColumn("thumb", thumb)
+    key = ids.ranked_key(namespace, ids.explicit_id(get("$.video_id"), get("$.id")), "direct", "thumb", "status", VIDEO_PATH, PREVIEW_PATH)
+    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", text.optional_text(name), F.col("status"), F.col("direct")).alias("title"), F.col("direct").alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.col("status").alias("summary"), text.views_snippet(F.try_variant_get("v", "$.play_count", "variant")).alias("raw_html_snippet")))
+
+
+#: Where a card shows its views, the first that matches counts.
+VIEWS = (r"(?i)조회수\s*([\d,]+)", r"(?i)lucide-eye[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>", r"(?i)<svg[^>]*[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>")
+
+
+def shown_views(c: Column | str) -> Column:
+    """'조회수 n' without thousands separators."""
+    return F.concat(F.lit("조회수 "), F.replace(F.coalesce(*(text.first_match(x, c) for x in VIEWS)), F.lit(","), F.lit("")))
 
 
-def image_chunk_ranking(pages: DataFrame, namespace: str = "api", video: str = r"(?i)/video/(\d+)", prefix: str = "https://example.com/i/status/", compat_s_class: bool = False) -> DataFrame:
-    """Each image with src and alt owns the text between its neighbours; rank before it, video after it.
+def image_chunk_ranking(pages: DataFrame, namespace: str = "nimi", compat_s_class: bool = True) -> DataFrame:
+    """Each card image owns the text between its neighbours: rank before it, video and views after it.
 
-    compat_s_class ends addresses at the letter s instead of at white space.
+    Addresses in script literals end at the letter s, a backslash, a quote or <, as the class that they are read with says;
+    compat_s_class=False ends them at white space instead of the letter.
     """
-    stop = r"""[^"'\s<]""" if not compat_s_class else r"""[^"'\\sS<]"""
-    image = r"(?i)<img(?=[^>]*\bsrc=)(?=[^>]*\balt=)[^>]*>"
+    stop = r"""[^"'\\<s]""" if compat_s_class else r"""[^"'\\<\s]"""
+    image = rf"""(?i)<img\b(?=[^>]*src=["']{IMAGE_LINK}[^"']+["'])(?=[^>]*alt=["'][^"']*["'])[^>]*>"""
     pieces = F.split("html", image, -1)
     tags = F.regexp_extract_all("html", F.lit(image), F.lit(0))
-    chunk = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+    chunk = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(pieces, i).alias("before"), F.concat(t, F.get(pieces, i + 1)).alias("after")))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(chunk).alias("pos", "c")).select("page_id", "page_url", "pos", "c.*")
     rows = rows.withColumn("entry", (F.col("pos") + 1).cast("bigint"))
-    ranks = F.filter(F.transform(F.regexp_extract_all("before", F.lit(r">\s*(\d{1,3})\s*<"), F.lit(1)), lambda x: x.cast("bigint")), lambda x: x > 0)
+    ranks = F.filter(F.transform(F.regexp_extract_all("before", F.lit(r"(?i)>(\d{1,3})(?:\s*위)?\s*</(?:div|span|strong|p|b)>"), F.lit(1)), lambda x: x.cast("bigint")), lambda x: x > 0)
     rank = F.coalesce(F.try_element_at(ranks, F.lit(-1)), F.col("entry"))
-    address = lambda c, pattern: text.first_match(rf"(?i)(https?://{stop}*{pattern}{stop}*)", c)
-    movie = F.coalesce(address("after", r"(?:/video/|\.mp4)"), address("before", r"(?:/video/|\.mp4)"))
-    status = ids.status_url(F.coalesce(address("before", r"/status/\d+"), address("after", r"/status/\d+")), prefix)
-    views = F.concat(F.lit("조회수 "), F.replace(F.coalesce(text.first_match(r"(?i)lucide-eye[\s\S]*?<span[^>]*>\s*([\d,]+)", "after"), text.first_match(r"조회수\s*([\d,]+)", "after")), F.lit(","), F.lit("")))
-    rows = rows.withColumn("rank_order", rank).withColumn("movie", movie).withColumn("status", status).withColumn("thumb", urls.resolved_url(text.decode_entities(text.attribute("tag", "src")), F.col("page_url")))
-    target = F.coalesce("movie", "status", "thumb")
-    key = ids.ranked_key(namespace, F.lit(None).cast("string"), ids.media_identity("movie", "video", video), ids.media_identity("thumb", "preview", video), ids.status_id("status"), target)
-    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", text.optional_text(text.attribute("tag", "alt")), F.col("status"), target).alias("title"), target.alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.concat_ws(" · ", F.col("status"), views).alias("summary")))
+    movie_at, status_at = rf"(?i)({VIDEO_LINK}{stop}+)", rf"""(?i)({POST_LINK}(?:[^"'/]+/status/\d+|i/status/\d+){stop}*)"""
+    movie = resolved(F.coalesce(text.first_match(movie_at, "after"), text.first_match(movie_at, "before")), "page_url")
+    status = ids.status_url(F.coalesce(text.first_match(status_at, "before"), text.first_match(status_at, "after")), POST_PREFIX)
+    thumb = resolved(text.first_match(rf"""(?i)\bsrc=["']({IMAGE_LINK}[^"']+)["']""", "tag"), "page_url")
+    rows = rows.withColumn("rank_order", rank).withColumn("movie", movie).withColumn("status", status).withColumn("thumb", thumb)
+    rows = rows.withColumn("target", F.coalesce("movie", "thumb"))
+    alt = text.optional_text(text.clean_text(text.decode_entities(text.attribute_anywhere("tag", "alt"))))
+    key = ids.ranked_key(namespace, F.lit(None).cast("string"), "target", "thumb", "status", VIDEO_PATH, PREVIEW_PATH)
+    return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", alt, F.col("status"), F.col("thumb")).alias("title"), F.col("target").alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.col("status").alias("summary"), shown_views("after").alias("raw_html_snippet")))
 
 
 def api_or_images(pages: DataFrame, **more) -> DataFrame:
     """The API's rows; the images' only on pages whose payload is no array at all, so an empty array gives no rows."""
-    parsed = F.try_parse_json("api_payload")
-    valid = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY") | F.schema_of_variant(F.try_variant_get(parsed, "$.data", "variant")).startswith("ARRAY"), F.lit(False))
-    return json_ranking(pages.filter(valid), **more).unionByName(image_chunk_ranking(pages.filter(~valid), **more))
+    valid = _payload_rows(pages)
+    return json_ranking(valid.filter("_v IS NOT NULL").drop("_v"), **more).unionByName(image_chunk_ranking(valid.filter("_v IS NULL").drop("_v"), **more))
 
 
 def _unescape(chunk: str | None) -> str | None:
@@ -250,7 +293,7 @@ def decode_packed(packed: pd.Series) -> pd.Series:
 
 
 _TEXT = r'((?:[^"\\]|\\.)*+)'
-_PUSH = r"""self\.__next_f\.push\(\[1,(?:'((?:[^'\\]|\\[\s\S])*+)'|"((?:[^"\\]|\\[\s\S])*+)")\]\)"""
+_PUSH = r"""self\.__next_f\.push\(\[\s*1\s*,\s*(?:'((?:[^'\\]|\\[\s\S])*+)'|"((?:[^"\\]|\\[\s\S])*+)")\s*,?\s*\]\)"""
 
 
 def packed_payload(pages: DataFrame) -> DataFrame:
@@ -259,28 +302,31 @@ def packed_payload(pages: DataFrame) -> DataFrame:
     chunks = chunks.withColumn("t", decode_chunk(F.coalesce(text.first_match(_PUSH, "c", 1), text.first_match(_PUSH, "c", 2))))
     joined = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "").alias("payload"))
     whole = pages.join(joined, "page_id", "left").withColumn("payload", F.coalesce(F.nullif("payload", F.lit("")), "html"))
-    pattern = rf'"id":\{{"__t":"u","v":"([^"]+)"\}}[\s\S]*?"title":"{_TEXT}"[\s\S]*?"preview":"{_TEXT}"'
-    rows = found(whole, pattern, "payload", key=1, label=2, image=3)
-    path = F.concat(F.lit("/s/"), F.coalesce(F.nullif(F.regexp_extract(urls.path_of("url"), "^/s/([^/]+)", 1), F.lit("")), F.lit("all")), F.lit("/"), F.col("key"))
-    rows = rows.select("page_id", "pos", text.clean_text(decode_packed("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), decode_packed("image").alias("preview_image_url"))
-    return firsts(rows.filter("preview_image_url <> ''"))
+    rows = found(whole, rf'"id":\{{"__t":"u","v":"([^"]+)"\}},"title":"{_TEXT}"[\s\S]*?"preview":"{_TEXT}"', "payload", key=1, label=2, image=3)
+    rows = rows.withColumn("image", text.trim_ws("image")).withColumn("key", text.trim_ws("key")).filter("key <> '' AND image <> ''")
+    section = F.coalesce(F.nullif(F.regexp_extract(urls.path_of("url"), "^/s/([^/]+)", 1), F.lit("")), F.lit(DEFAULT_SECTION))
+    path = F.concat(F.lit("/s/"), section, F.lit("/"), F.col("key"))
+    return firsts(rows.select("page_id", "pos", text.clean_text(decode_packed("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), addressed("image").alias("preview_image_url")))
 
 
 def dom_anchor_cards(pages: DataFrame) -> DataFrame:
-    """Titled anchors to /s/x/y; preview from the text after the anchor, else from the image with the title as alt."""
-    anchor = r"(?i)<a\b(?=[^>]*\btitle=)(?=[^>]*\bhref=)[^>]*>"
-    pieces, tags = F.split("html", anchor, -1), F.regexp_extract_all("html", F.lit(anchor), F.lit(0))
-    base = pages.select("page_id", F.col("url").alias("page_url"), "html", pieces.alias("pieces"), F.posexplode(tags).alias("pos", "tag"))
-    ahead = F.substring(F.concat("tag", F.array_join(F.slice("pieces", F.col("pos") + 2, LOOK_AHEAD // 16), "<a>")), F.length("tag") + 1, F.lit(LOOK_AHEAD))
-    rows = base.withColumn("href", text.decode_entities(text.attribute("tag", "href"))).withColumn("title", text.clean_text(text.attribute("tag", "title")))
-    rows = rows.withColumn("near", _images(ahead, "src")).withColumn("target", urls.resolved_url(F.col("href"), F.col("page_url")))
-    rows = rows.filter(urls.path_of("target").rlike("^/s/[^/]+/[^/]+/?$"))
-    images = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?i)<img\\b[^>]*>"), F.lit(0))).alias("n", "img"))
-    images = images.withColumn("alt", F.lower(text.clean_text(text.attribute("img", "alt")))).withColumn("src", text.attribute("img", "src")).filter("alt <> '' AND src <> ''")
+    """Titled anchors to /s/x/y; preview from the first image within LOOK_AHEAD characters of the anchor, else the first with the title as alt."""
+    anchor = rf"(?i)(?=(<a\b[\s\S]{{0,{LOOK_AHEAD - 2}}}))(<a\b[^>]*>)"
+    part = lambda i: F.regexp_extract_all("html", F.lit(anchor), F.lit(i))
+    each = F.arrays_zip(part(1).alias("ahead"), part(2).alias("tag"))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(each).alias("pos", "c")).select("page_id", "page_url", "pos", "c.ahead", "c.tag")
+    near = text.trim_ws(text.loose_attribute(F.regexp_extract("ahead", r"(?i)<img\b[^>]*>", 0), "src"))
+    rows = rows.select("page_id", "page_url", "pos", text.decode_entities(text.loose_attribute("tag", "href")).alias("href"), text.clean_text(text.decode_entities(text.loose_attribute("tag", "title"))).alias("title"), F.when((near != "") & ~near.startswith("data:"), near).alias("near"))
+    rows = rows.filter((F.col("title") != "") & F.regexp_replace("href", r"(?i)^https?://[^/]+", "").rlike(r"(?i)^/?s/[^/?#]+/[^/?#]+"))
+    rows = rows.withColumn("target", urls.resolved_url(F.col("href"), F.col("page_url")))
+    images = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("n", "img"))
+    images = images.withColumn("alt", F.lower(text.clean_text(text.decode_entities(text.loose_attribute("img", "alt"))))).withColumn("src", text.trim_ws(text.loose_attribute("img", "src"))).filter("alt <> '' AND src <> ''")
     lookup = keep_first(images, ["page_id"], F.col("alt"), "n").select("page_id", "alt", "src")
     rows = rows.withColumn("alt", F.lower("title")).join(lookup, ["page_id", "alt"], "left").withColumn("preview_image_url", F.coalesce("near", "src")).filter("preview_image_url IS NOT NULL")
     mode = F.coalesce(urls.query_param("target", "mode"), urls.query_param("page_url", "mode"))
-    return firsts(rows.select("page_id", "pos", "title", urls.article_url("target", urls.path_of("target"), mode).alias("url"), urls.resolved_url(F.col("preview_image_url"), F.col("page_url")).alias("preview_image_url")))
+    path = F.regexp_extract(urls.path_of("target"), "^/s/[^/]+/[^/]+", 0)
+    url = F.when(path != "", urls.article_url("page_url", path, mode)).otherwise(F.col("target"))
+    return firsts(rows.select("page_id", "pos", "title", url.alias("url"), urls.resolved_url(F.col("preview_image_url"), F.col("page_url")).alias("preview_image_url")))
 
 
 def payload_or_anchors(pages: DataFrame) -> DataFrame:
@@ -288,7 +334,7 @@ def payload_or_anchors(pages: DataFrame) -> DataFrame:
 
 
 #: Extractors by name; others may be added.
-REGISTRY: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (list_links, titleline_rows, article_links, thumb_cards, poster_cards, ranked_rows, ranked_anchors, ranked_articles, api_or_images, json_ranking, image_chunk_ranking, packed_payload, dom_anchor_cards, payload_or_anchors)}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (list_links, titleline_rows, article_links, thumb_cards, poster_cards, sectioned_list, ranked_rows, ranked_anchors, ranked_articles, api_or_images, json_ranking, image_chunk_ranking, packed_payload, dom_anchor_cards, payload_or_anchors)}
 
 
 def extract(parser: str, pages: DataFrame, **more) -> DataFrame:

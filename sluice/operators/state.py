@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.ids import item_id
-from sluice.functions.text import clip_snippet, trim_ws
+from sluice.functions.text import blank_to_null, clip_snippet, trim_ws
 from sluice.functions.urls import normalized_url, preview_url
 from sluice.operators.dedupe import keep_last
 
@@ -28,7 +28,7 @@ def normalised(parsed: DataFrame, crawled_at: int) -> DataFrame:
     rows = parsed.withColumn("title", trim_ws("title")).withColumn("url", normalized_url("url")).filter("title <> '' AND url <> ''")
     return rows.select(
         item_id("site_id", "url", "title", "dedupe_key").alias("id"), "site_id", "pos", "title", "url",
-        preview_url("preview_image_url").alias("preview_image_url"), clip_snippet("summary").alias("summary"),
+        preview_url("preview_image_url").alias("preview_image_url"), blank_to_null(trim_ws("summary")).alias("summary"),
         F.col("price").cast("double").alias("price"), clip_snippet("raw_html_snippet").alias("raw_html_snippet"), F.lit(crawled_at).cast("bigint").alias("crawled_at"),
     )
 

@@ -28,13 +28,45 @@ def counts(rows: DataFrame, sites: DataFrame) -> DataFrame:
     return sites.join(rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_items")), "site_id", "left").select("site_id", F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"))
 
 
-def matching_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages with the sites whose (configured) origin or a glob pattern they match. The site table is a small dimension."""
-    from sluice.functions.urls import glob_pattern, same_origin
+def run_history(runs: DataFrame, k: int = HISTORY_SIZE) -> DataFrame:
+    """Latest k runs of every site."""
+    return top_of_each(runs, "started_at", "run_id", k)
+
+
+def site_of(rows: DataFrame, sites: DataFrame, *columns: str) -> DataFrame:
+    """The rows with columns of their site, null where it is unknown; of sites that share an id the least counts."""
+    one = sites.groupBy("id").agg(F.min(F.struct(*columns)).alias("_site"))
+    return rows.join(one.withColumnRenamed("id", "site_id"), "site_id", "left").select(*rows.columns, *(F.col(f"_site.{c}").alias(c) for c in columns))
 
-    known = sites.select(F.col("id").alias("site_id"), F.coalesce("configured_url", "url").alias("site_url"), F.transform("match_patterns", glob_pattern).alias("patterns"))
-    hit = same_origin("site_url", "url") | F.coalesce(F.exists("patterns", lambda p: F.rlike(F.col("url"), p)), F.lit(False))
-    return pages.join(known, hit)
+
+def matching_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Pages with the sites whose (configured) origin or a glob pattern they match, each once.
+
+    Origins join by key. A pattern is tried on the pages that hold its longest whole literal segment between slashes; patterns
+    that have none are tried on all pages.
+    """
+    from sluice.functions.urls import glob_pattern, origin
+
+    known = sites.select(F.col("id").alias("site_id"), origin(F.coalesce("configured_url", "url")).alias("_origin"), "match_patterns")
+    columns = [*pages.columns, "site_id"]
+    hits = pages.withColumn("_origin", origin("url")).join(known.select("site_id", "_origin"), "_origin").select(*columns)
+    pattern = known.select("site_id", F.explode("match_patterns").alias("_glob")).distinct()
+    literal = F.filter(F.split("_glob", "/"), lambda x: (x != "") & ~F.contains(x, F.lit("*")) & ~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:$"))
+    longest = F.array_max(F.transform(literal, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    pattern = pattern.select("site_id", glob_pattern("_glob").alias("_rx"), longest.alias("_segment"))
+    tried = pages.withColumn("_segment", F.explode(F.array_distinct(F.split("url", "/")))).join(pattern.filter("_segment IS NOT NULL"), "_segment")
+    hits = hits.union(tried.filter(F.rlike("url", F.col("_rx"))).select(*columns))
+    loose = pattern.filter("_segment IS NULL")
+    if not loose.isEmpty():
+        hits = hits.union(pages.join(loose, F.rlike("url", F.col("_rx"))).select(*columns))
+    return hits.distinct()
+
+
+def overrides(settings: DataFrame, column: str = "settings") -> DataFrame:
+    """id and override_url out of settings texts: the string values of a JSON object; corrupt texts give none."""
+    held = F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>")
+    each = settings.select(F.explode(held).alias("id", "v"))
+    return each.filter(F.schema_of_variant("v") == "STRING").select("id", F.try_variant_get("v", "$", "string").alias("override_url"))
 
 
 def configured(sites: DataFrame, overrides: DataFrame) -> DataFrame:

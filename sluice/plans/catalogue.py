@@ -10,6 +10,7 @@ from sluice.functions.text import RE2_WS
 from sluice.operators import extract, views
 from sluice.operators.dedupe import keep_best, keep_first, keep_last, link_key
 from sluice.operators.state import decide, run_status
+from sluice.plans import listings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -113,14 +114,14 @@ def item_id(spark, sf_dir):
     return pages.select("page_id", ids.item_id(F.lit("site"), "url", "title").alias("id"))
 
 
-@query("""WITH sites AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS site_url, '.*/' || split_part(regexp_extract(url, '^https?://([^/?#]+)', 1), '.', 1) || '/.*' AS rx, min(page_id) AS first FROM pages GROUP BY ALL ORDER BY first LIMIT 20)
+@query("""WITH sites AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' AS site_url, '.*/' || split_part(regexp_extract(url, '^https?://([^/?#]+)', 1), '.', 1) || '/.*' AS rx, count(*) AS n FROM pages GROUP BY ALL)
 SELECT page_id, id AS site_id FROM pages, sites WHERE regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) = regexp_extract(lower(site_url), '^(https?://[^/?#]+)', 1) OR regexp_full_match(url, rx)""")
 def site_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    sites = pages.groupBy(host.alias("id")).agg(F.min("page_id").alias("first")).orderBy("first").limit(20)  # the registered sites: a dimension
+    sites = pages.select(host.alias("id")).distinct()
     sites = sites.select("id", F.concat(F.lit("https://"), "id", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("configured_url"), F.array(F.concat(F.lit("*/"), F.split_part("id", F.lit("."), F.lit(1)), F.lit("/*"))).alias("match_patterns"))
-    return views.matching_sites(pages.select("page_id", "url"), F.broadcast(sites)).select("page_id", "site_id")
+    return views.matching_sites(pages.select("page_id", "url"), sites).select("page_id", "site_id")
 
 
 _BATCH = "WITH ev AS (SELECT event_type || ':' || user_id::VARCHAR AS id, event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS t, user_id FROM events), old AS (SELECT id, min(site_id) AS site_id, min(t) AS t0, max(t) AS t1, count(*)::BIGINT AS n, min(user_id) AS u FROM ev WHERE t < 1705276800000 GROUP BY id), batch AS (SELECT id, min(site_id) AS site_id FROM ev WHERE t >= 1705276800000 GROUP BY id), items AS (SELECT * FROM old WHERE u % 5 <> 0), log AS (SELECT * FROM old WHERE u % 7 <> 0)"
@@ -286,11 +287,99 @@ def same_origin(spark, sf_dir):
     return pages.join(other, "page_id").select("page_id", urls.same_origin("url", "next_url").alias("same"))
 
 
-@query()
+_NORMAL = "CASE WHEN regexp_full_match(url, 'https?://[^/?#]+') THEN url || '/' ELSE url END"
+
+
+@query(f"SELECT page_id, {_NORMAL} AS url, CASE WHEN page_id % 3 = 1 THEN {_NORMAL} END AS preview_url FROM pages")
 def normalized_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.normalized_url("url").alias("url"), urls.preview_url("url").alias("preview_url"))
+    pages = table(spark, sf_dir, "pages")
+    preview = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" Data:"), "url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("\t"), "url", F.lit(" "))).otherwise(" ")
+    shown = F.regexp_replace("url", "^https://", "HTTPS://")
+    return pages.select("page_id", urls.normalized_url(shown).alias("url"), urls.preview_url(preview).alias("preview_url"))
 
 
-@query()
+_ENCODED = "url_encode(url)"
+for _letter in "/:?=&#%@+,;~":
+    _ENCODED = f"replace({_ENCODED}, '%{ord(_letter):02X}', '{_letter}')"
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, title, {_ENCODED} AS url, NULL::VARCHAR AS dedupe_key, NULL::VARCHAR AS preview_image_url, NULL::VARCHAR AS summary, NULL::DOUBLE AS price, NULL::VARCHAR AS raw_html_snippet FROM firsts")
 def list_links(spark, sf_dir):
     return extract.list_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT page_id, {_clean_sql('html')} AS words FROM pages")
+def page_words(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text("html").alias("words"))
+
+
+_IDENT = f"'s' || (doc_id % 3) || ':' || {_hash_sql(chr(39) + chr(39) + ' || key')}"
+
+
+@query(f"""SELECT {_IDENT} AS id, 's' || (doc_id % 3) AS site_id, doc_id AS pos, title, url, CASE WHEN doc_id % 2 = 0 THEN 'https://i.example/' || doc_id END AS preview_image_url, {_TRIMMED} AS summary, doc_id / 4.0::DOUBLE AS price,
+CASE WHEN length({_TRIMMED}) <= 280 THEN {_TRIMMED} ELSE left({_TRIMMED}, 277) || '...' END AS raw_html_snippet, 7::BIGINT AS crawled_at
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'dedupe:key ' || doc_id ELSE lower(url) || '|' || lower(title) END AS key FROM (SELECT *, 'Title ' || doc_id AS title, 'https://a.example/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '?Q' ELSE '/' END AS url FROM documents)) WHERE doc_id % 9 <> 0""")
+def normalised_items(spark, sf_dir):
+    """Parsed rows as items: whole summaries, clipped snippets."""
+    from sluice.operators.state import normalised
+
+    key = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("site_id"), F.col("doc_id").alias("pos"),
+        F.when(F.col("doc_id") % 9 == 0, F.lit(" 　")).otherwise(F.concat(F.lit("﻿ Title "), key, F.lit("\n"))).alias("title"),
+        F.concat(F.lit(" HTTPS://A.example:443/x/../"), key, F.when(F.col("doc_id") % 5 == 0, "?Q").otherwise("/")).alias("url"),
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" KEY "), key)).otherwise(" ").alias("dedupe_key"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://i.example/"), key)).otherwise("data:x").alias("preview_image_url"),
+        F.col("text").alias("summary"), (F.col("doc_id") / 4).alias("price"), F.col("text").alias("raw_html_snippet"),
+    )
+    return normalised(rows, 7)
+
+
+@query("SELECT event_id AS run_id, event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS started_at, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 20")
+def run_history(spark, sf_dir):
+    return views.run_history(_rows(spark, sf_dir).select(F.col("id").alias("run_id"), "site_id", F.col("crawled_at").alias("started_at")))
+
+
+@query("SELECT c.c_custkey AS id, n.n_name AS site_name, n.n_regionkey AS region FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 7 <> 0")
+def site_lookup(spark, sf_dir):
+    sites = table(spark, sf_dir, "nation").filter("n_nationkey % 7 <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("site_id"))
+    return views.site_of(rows, sites, "name", "region").select("id", F.col("name").alias("site_name"), "region")
+
+
+@query(f"""SELECT page_id, view, period, CASE WHEN view = 'ranking' THEN o || '/api/tw/ranking?period=' || period ELSE o || '/api/tw/' || view END AS api_url FROM (
+SELECT page_id, {_ORIGIN} AS o, CASE WHEN page_id % 4 = 0 THEN ['ranking', 'realtime', 'recent'][page_id // 4 % 3 + 1] ELSE ['realtime', 'recent', 'ranking', 'ranking'][page_id % 4 + 1] END AS view,
+CASE WHEN page_id % 5 = 0 THEN ['hourly', 'daily', 'weekly', 'monthly'][page_id // 5 % 4 + 1] ELSE ['monthly', 'monthly', 'weekly', 'daily', 'daily', 'hourly', 'hourly'][page_id % 7 + 1] END AS period FROM pages)""")
+def shown_view(spark, sf_dir):
+    """View and period by URL, else by the labels of the active tab and button."""
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, pick(("/Ranking", "/realtime", "/a/recent "), F.floor(k / 4) % 3)).otherwise("/start")
+    asked = F.when(k % 5 == 0, pick(("?time=Hour", "?period=zz&range=day", "?filter=WEEKLY", "?period=month"), F.floor(k / 5) % 4)).otherwise("?q=1")
+    tab = pick(("실시간 인기", "<b>신규</b>", "인기", "없음"), k % 4)
+    button = pick(("1달", "1개월 전체", "1주", "24시간", "1일", "1시간", "기타"), k % 7)
+    html = F.concat(F.lit('<a class="tab" href="x">신규</a><a class="x tab-active y" href="x"> </a><button class="bg-violet-500/20"><i>'), tab, F.lit('</i></button><button class="shadow-violet-500/50 b"> '), button, F.lit("</button>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), path, asked).alias("url"), html.alias("html"))
+    return pages.select("page_id", urls.active_view("html", "url").alias("view"), urls.active_period("html", "url").alias("period"), urls.active_api_url("html", "url").alias("api_url"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '수집 가능한 아이템이 없습니다.' WHEN 1 THEN '페이지 구조를 파싱하지 못했습니다. 사이트 구조 변경 여부를 확인하세요.' ELSE '알 수 없는 오류가 발생했습니다.' END AS message,
+strftime(ts, '%y. %-m. %-d. ') || CASE WHEN hour(ts) < 12 THEN '오전' ELSE '오후' END || strftime(ts, ' %-I:%M:%S') AS shown FROM events""")
+def shown_runs(spark, sf_dir):
+    code = F.get(F.array(F.lit("NO_ITEMS"), F.lit("PARSE_FAILED"), F.lit("SOMETHING"), F.lit(None).cast("string")), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.error_message(code).alias("message"), text.shown_time(F.unix_millis(F.col("ts").cast("timestamp"))).alias("shown"))
+
+
+@query("SELECT n_name AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'https://o.example/' || n_nationkey ELSE 'https://' || lower(n_name) || '.example' END AS configured_url FROM nation")
+def settings_merge(spark, sf_dir):
+    """Overrides out of settings texts: blank, numeric and corrupt ones leave the default."""
+    nation = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("string")
+    value = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit('" https://o.example/'), k, F.lit('"'))).when(F.col("n_nationkey") % 4 == 1, F.lit('"  "')).when(F.col("n_nationkey") % 4 == 2, F.lit("5")).otherwise(F.lit('"https://o.example'))
+    settings = nation.select(F.concat(F.lit('{"'), "n_name", F.lit('":'), value, F.lit("}")).alias("settings"))
+    sites = nation.select(F.col("n_name").alias("id"), F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example")).alias("url"))
+    return views.configured(sites, views.overrides(settings)).select("id", "configured_url")
+
+
+QUERIES |= listings.QUERIES
+ORACLES |= listings.ORACLES

@@ -15,61 +15,75 @@ def rows(df, *columns):
 
 
 def test_titleline_rows(pages):
-    one = '<tr class="athing"><td><span class="titleline"><a href="item?id=1">A <b>x</b></a></span></tr>'
-    assert rows(X.titleline_rows(pages(one + one.replace("A", "a"))), "title", "url", "summary") == [("A x", "https://x.org/s/sub/item?id=1", "A x")]
+    one = "<tr class='athing'><td><span class=\"titleline\"><a href='item?id=1&amp;x'>A <b>x</b></a></span></tr>"
+    got = rows(X.titleline_rows(pages(one + one.replace("A", "a") + one.replace("athing", "athing b"))), "title", "url", "summary", "raw_html_snippet")
+    assert got == [("A x", "https://x.org/s/sub/item?id=1&amp;x", None, "A x")]
 
 
 def test_article_links_fall_back_by_page(pages):
     got = X.article_links(pages('<a id="article-link-1" href="/u">T</a><h2><a href="/no">n</a></h2>', '<h2><a href="/v">V</a></h2>'))
-    assert rows(got, "page_id", "url") == [(0, "https://x.org/u"), (1, "https://x.org/v")]
+    assert rows(got, "page_id", "url", "raw_html_snippet") == [(0, "https://x.org/u", "T"), (1, "https://x.org/v", "V")]
 
 
 def test_cards(pages):
-    thumb = '<div class="thumb thumb_rel item"><a href="/video/1/" title="T"><img src="data:x"><img data-original="I.jpg"></a></div>'
+    thumb = '<div class="thumb thumb_rel item"><a href="/video/1/" title="T"><img src="data:x"><img src="S.jpg" data-original="I.jpg"></a></div>'
     assert rows(X.thumb_cards(pages(thumb)), "title", "url", "preview_image_url") == [("T", "https://x.org/video/1/", "https://x.org/s/sub/I.jpg")]
-    poster = '<div class="item"><a href="/v/1" class="poster"><img src="I"></a><div><a href="" class="title">T</a></div></div>'
+    poster = '<div class="item"><a href="/v/1" class="poster"><img src="I"></a><div><a href=" " class="title">T</a></div></div>'
     assert rows(X.poster_cards(pages(poster)), "title", "url") == [("T", "https://x.org/v/1")]
 
 
 def test_sections_and_ranked_rows(pages):
-    html = '<div class="board-hot-title">Hot {0}</div><div><ul class="post-list"><li class="post-row"><a href="U{0}">+3 T<span class="count">+9</span></a></li></ul></div>'
-    assert rows(X.sectioned_list(pages(html.format("L") + html.format("Z")), {"L": "Label"}), "title", "summary") == [("T", "Label +9")]
-    ranked = '<ul class="td ufl"><li>1</li><li class="tit"><a href="U">T</a></li><li>12.11</li></ul>'
+    html = '<div class="board-hot-title">Hot {0}</div><div class="miso-post-list"><ul class="post-list"><li class="post-row"><a href="U{0}">+3 T<span class="count">+9</span></a></li><li class="post-row"><a href="V">W</a></li></ul></div>'
+    assert rows(X.sectioned_list(pages(html.format("L") + html.format("Z")), {"L": "Label"}), "title", "summary") == [("T +9", "Label · 댓글 +9"), ("W", "Label")]
+    ranked = '<ul class="td ufl"><li>1</li><li><b>no</b></li><li class="tit"><a href="U">T</a></li><li>12.11</li></ul>'
     assert rows(X.ranked_rows(pages(ranked)), "title", "summary") == [("T", "1위 · 12.11")]
 
 
+STATUS = "https://x.com/i/status/"
+
+
 def test_ranked_anchors_take_the_marker_before_them(pages):
-    anchor = '<a href="https://v.co/video/{}">VideoURL</a>'
-    html = anchor.format(4) + '<img src="rank1.png">1위 <img src="p.jpg"><a href="https://t.co/i/status/11">s</a>' + anchor.format(5) + '<img src="rank2.png">2위 <a href="https://t.co/i/status/12">s</a>' + anchor.format(5) + anchor.format(6)
-    got = rows(X.ranked_anchors(pages(html)), "dedupe_key", "title", "preview_image_url")
-    status = "위 - https://example.com/i/status/"
-    assert got == [("ranked:video-id:4", f"1{status}11", "p.jpg"), ("ranked:video-id:5", f"1{status}11", "p.jpg"), ("ranked:video-id:6", f"2{status}12", None)]
+    anchor = '<a href="https://video.twimg.com/ext_tw_video/{}/a.mp4">VideoURL</a>'
+    html = anchor.format(4) + '<img src="rank1.png">1위 <img src="https://pbs.twimg.com/p.jpg"><a href="https://x.com/u/status/11?s=1">s</a>' + anchor.format(5) + '<img src="rank2.png">2위 <a href="https://x.com/i/status/12">s</a>' + anchor.format(5) + anchor.format(6)
+    got = rows(X.ranked_anchors(pages(html)), "dedupe_key", "title", "preview_image_url", "summary")
+    image = "https://pbs.twimg.com/p.jpg"
+    assert got == [("twidouga:video-id:4", f"1위 - {STATUS}11", image, f"{STATUS}11"), ("twidouga:video-id:5", f"1위 - {STATUS}11", image, f"{STATUS}11"), ("twidouga:video-id:6", f"2위 - {STATUS}12", None, f"{STATUS}12")]
+    plain = rows(X.ranked_anchors(pages(anchor.format(8))), "title", "url")
+    assert plain == [("1위 - https://video.twimg.com/ext_tw_video/8/a.mp4", "https://video.twimg.com/ext_tw_video/8/a.mp4")]
 
 
 def test_ranked_articles(pages):
-    card = '<article><div class="absolute top-3 left-3">{0}</div><video src="https://v/video/{1}" poster="p.jpg"></video><a href="https://t/status/1">T{0}</a><i class="lucide-eye"></i><span>1,099</span></article>'
-    got = rows(X.ranked_articles(pages(card.format(2, 7) + card.format(1, 7) + card.format(3, 8) + "<article>none</article>")), "title", "dedupe_key", "summary")
-    assert got == [("1위 - T1", "articles:video-id:7", "https://example.com/i/status/1 · 조회수 1099"), ("3위 - T3", "articles:video-id:8", "https://example.com/i/status/1 · 조회수 1099")]
+    card = '<article><div class="absolute top-3 left-3">{0}</div><video src="https://v/amplify_video/{1}/a" poster="p.jpg"></video><a href="https://x.com/i/status/1?s=2">T{0}</a><i class="lucide-eye"></i><span>{2}</span></article>'
+    got = rows(X.ranked_articles(pages(card.format(2, 7, 5) + card.format(1, 7, 99) + card.format(3, 8, "1,099") + "<article>none</article>" + card.format(0, 9, 4))), "title", "dedupe_key", "summary", "raw_html_snippet")
+    assert got == [("0위 - T0", "xranking:video-id:9", f"{STATUS}1", "조회수 4"), ("1위 - T1", "xranking:video-id:7", f"{STATUS}1", "조회수 99"), ("3위 - T3", "xranking:video-id:8", f"{STATUS}1", None)]
 
 
 def test_api_rows_and_fallback(pages):
     api = '{"success":true,"data":[{"id":5,"direct_url":"https://d/video/9","ranking":"2x","play_count":12,"title":"Q","posts":[{"id":"77"}]},{"id":"6","direct_url":"https://d/video/8","ranking":1,"play_count":"12","posts":[{"id":78,"uploader":{"display_name":"N"}}]},{"title":"no"},null]}'
-    assert rows(X.api_or_images(pages("", api=api)), "title", "dedupe_key") == [("1위 - N 영상", "api:id:6"), ("2위 - Q", "api:id:5")]
-    image = '<div>1</div><a href="https://t/i/status/5"><img src="https://i/1.jpg" alt="x"></a><a href="https://v/video/4.mp4">v</a>'
-    assert rows(X.api_or_images(pages(image, api="nope")), "title", "url") == [("1위 - x", "https://v/video/4.mp4")]
+    assert rows(X.api_or_images(pages("", api=api)), "title", "dedupe_key", "summary", "raw_html_snippet") == [("1위 - N님의 동영상", "nimi:video-id:6", f"{STATUS}78", None), ("2위 - Q", "nimi:video-id:5", f"{STATUS}77", "조회수 12")]
+    image = '<div>1</div><a href="https://x.com/i/status/5"><img src="https://pbs.twimg.com/amplify_video_thumb/3/1.jpg" alt="x"></a><svg></svg><span>1,379</span>'
+    shot = "https://pbs.twimg.com/amplify_video_thumb/3/1.jpg"
+    assert rows(X.api_or_images(pages(image, api="nope")), "title", "url", "dedupe_key", "raw_html_snippet") == [("1위 - x", shot, "nimi:preview-id:3", "조회수 1379")]
     assert rows(X.api_or_images(pages(image, api="[]")), "title") == [] and rows(X.api_or_images(pages(image, api="{}")), "pos") == [(0,)]
-    s = '<img src="https://i/1.jpg" alt="x"> https://h/video/abSc.mp4'
-    assert rows(X.image_chunk_ranking(pages(s)), "url") == [("https://h/video/abSc.mp4",)] and rows(X.image_chunk_ranking(pages(s), compat_s_class=True), "url") != [("https://h/video/abSc.mp4",)]
+    s = '<img src="https://pbs.twimg.com/1.jpg" alt="x"> https://video.twimg.com/abSc.mp4 '
+    assert rows(X.image_chunk_ranking(pages(s)), "url") == [("https://video.twimg.com/ab",)] and rows(X.image_chunk_ranking(pages(s), compat_s_class=False), "url") == [("https://video.twimg.com/abSc.mp4",)]
 
 
 def test_packed_chunks_and_anchors(pages):
     packed = """<script>self.__next_f.push([1,'{"id":{"__t":"u","v":"a1"},"title":"T \\\\u0041","prev'])</script><script>self.__next_f.push([1,"iew\\":\\"I.jpg\\"}"])</script>"""
     cards = '<a title="T" href="/s/x/y?p=1&amp;mode=new"><img src="data:x" alt="no"></a><img alt="t" src="I">'
     got = rows(X.payload_or_anchors(pages(packed, cards)), "page_id", "title", "url", "preview_image_url")
-    assert got == [(0, "T A", "https://x.org/s/sub/a1?mode=hot", "I.jpg"), (1, "T", "https://x.org/s/x/y?mode=new", "https://x.org/s/sub/I")]
+    assert got == [(0, "T A", "https://x.org/s/sub/a1?mode=hot", "https://x.org/s/sub/I.jpg"), (1, "T", "https://x.org/s/x/y?mode=new", "https://x.org/s/sub/I")]
     assert X._unescape("a\\x41\\u0042\\n\\q\\\r\nz\\") == "aAB\nqz\\" and X._unpack('a\\"b') == 'a\\"b' and X._unpack("\\u0041") == "A"
 
 
+def test_anchor_cards_look_at_the_raw_page(pages):
+    far = '<a title="A" href="s/x/y/z"><i></i>' + "<a>" * 1400 + '<img src="/late"><img alt="A" src="/by-title">'
+    near = "<a title='B' href='https://x.org/s/q/r?mode=new&amp;p=2'>" + "<a>" * 1000 + "<img src='/near'>"
+    got = rows(X.dom_anchor_cards(pages(far, near, url="https://x.org/?mode=hot")), "title", "url", "preview_image_url")
+    assert got == [("A", "https://x.org/s/x/y?mode=hot", "https://x.org/by-title"), ("B", "https://x.org/s/q/r?mode=new", "https://x.org/near")]
+
+
 def test_registry(pages):
     assert X.extract("list_links", pages('<li><a href="/a">A</a></li>')).count() == 1
     with pytest.raises(KeyError):

@@ -62,7 +62,21 @@ def test_identity_prefers_the_dedupe_key_and_keeps_sites_apart(spark):
 
 def test_normalised_fields(spark):
     row = batch(spark, 1, {"summary": " " + "x" * 300, "preview": "data:image/png", "title": " T\t"}).first()
-    assert row["summary"] == "x" * 277 + "..." and row["preview_image_url"] is None and row["title"] == "T"
+    assert row["summary"] == "x" * 300 and row["preview_image_url"] is None and row["title"] == "T"
+
+
+def test_commits_touch_only_their_buckets_and_old_snapshots_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), parts=16)
+    store.upsert(batch(spark, 100, *({"url": f"https://a.org/{i}"} for i in range(40))))
+    before = store._manifest()["tables"]["items"]
+    store.upsert(batch(spark, 200, {"url": "https://a.org/new"}))
+    after = store._manifest()["tables"]["items"]
+    assert len(before) > 8 and sum(before.get(b) != p for b, p in after.items()) == 1
+    for i in range(4):
+        store.upsert(batch(spark, 300 + i, {"url": "https://a.org/new"}))
+    assert len(store._pointers()) == 2 and len(list((tmp_path / "store").glob("manifest-*.json"))) == 2
+    assert store.read("items").count() == 41 and Store(spark, str(tmp_path / "store"), parts=3).parts == 16
+    assert store.read("item_log").filter("seen_count = 5").count() == 1
 
 
 def test_runs_are_put_by_id(spark, store):
@@ -88,4 +102,26 @@ def test_stream_equals_the_fold_of_its_files(spark, tmp_path):
     store, seen = Store(spark, str(tmp_path / "store"), parts=2), []
     ingest(stream, store, state.normalised, str(tmp_path / "ck"), clock=lambda i: 100 * (i + 1), views=lambda s: seen.append(s.read("items").count())).awaitTermination()
     assert store.read("items").count() == 3 and sum(r[2] for r in log(store)) == 5
-    assert sorted(r["run_id"] for r in store.read("crawl_runs").collect()) == ["batch-0", "batch-1", "batch-2"] and seen[-1] == 3
+    runs = store.read("crawl_runs").orderBy("run_id").collect()
+    assert [(r["run_id"], r["site_id"], r["item_count"], r["status"]) for r in runs] == [("batch-0:s", "s", 2, "success"), ("batch-1:s", "s", 0, "partial"), ("batch-2:s", "s", 1, "success")] and seen[-1] == 3
+
+
+def test_a_crash_between_commit_and_checkpoint_counts_once(spark, tmp_path):
+    from sluice.streaming.ingest import ingest
+
+    rows = pd.DataFrame({"site_id": ["s", "z"], "pos": [0, 1], "title": "T", "url": "https://a.org/1"}).assign(dedupe_key=None, preview_image_url=None, summary=None, price=None, raw_html_snippet=None)
+    spark.createDataFrame(rows, PARSED).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = Store(spark, str(tmp_path / "store"), parts=2)
+
+    def run(views=None):
+        stream = spark.readStream.schema(PARSED).parquet(str(tmp_path / "in"))
+        ingest(stream, store, state.normalised, str(tmp_path / "ck"), views=views).awaitTermination()
+
+    def crash(_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run(crash)
+    run()
+    assert [r[2] for r in log(store)] == [1, 1] and store.read("items").count() == 2
+    assert sorted(r["run_id"] for r in store.read("crawl_runs").collect()) == ["batch-0:s", "batch-0:z"]
