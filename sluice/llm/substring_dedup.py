@@ -33,10 +33,10 @@ from sluice.llm.common import Prefix, blocks, dropped, durable, free, keys, mix,
 LENGTH = 200
 GRAM = 32
 #: Phrases of one trigger in one part of the dictionary.
-HOT = 5_000
+HOT = 2_000
 SEGMENT = 1 << 20
 #: Bytes of dictionary that a task sorts at once, and one part more at most.
-SORTED = 4 << 20
+SORTED = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
