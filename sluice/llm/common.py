@@ -170,6 +170,18 @@ def keys(df: DataFrame, *columns: str) -> DataFrame:
     return free(durable(df.select(*columns)), *columns)
 
 
+#: Rows of 16 bytes up to which they are broadcast to documents; more are joined by shuffling.
+FEW = 1_000_000
+
+
+def by_content(documents: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """left_anti or left_semi: documents without or with those whose doc_id and xxhash64(text) are among `some` (doc_id, h)."""
+    own = some.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    own = F.broadcast(own) if own.count() <= FEW else own
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    return rows.join(own, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_h")), how).select("_row.*")
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, and its path for `dropped`."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import blocks, durable, free, keys, mix, shingles, text_bytes, word_hashes
+from sluice.llm.common import blocks, by_content, durable, free, keys, mix, shingles, text_bytes, word_hashes
 from sluice.llm.graph import components
 
 SKETCH = 512
@@ -325,15 +325,8 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     kept = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
     judged = durable(free(rows, "c").join(first, "c").select("doc_id", "h", "times", kept.alias("kept")))
     gone, twice = judged.filter("NOT kept"), judged.filter("kept AND times > 1")
-    columns = documents.columns
-    held = documents.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
-
-    def joined(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        own = some.select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
-        own = F.broadcast(own) if some.count() <= BROADCAST else own
-        return left.join(own, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("g")), how)
-
-    out = joined(held, gone, "left_anti")
-    if not twice.isEmpty():
-        out = joined(out, twice, "left_anti").unionByName(joined(held, twice, "left_semi").dropDuplicates(["_d", "_h"]))
-    return out.select("_row.*")
+    out = by_content(documents, gone, "left_anti")
+    if twice.isEmpty():
+        return out
+    once = by_content(documents, twice, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*documents.columns)
+    return by_content(out, twice, "left_anti").unionByName(once)

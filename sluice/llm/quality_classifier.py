@@ -2,10 +2,11 @@
 
 The heuristic labellers of quality_rules overlap; expectation-maximisation over the counts of their vote
 patterns, over all documents, estimates their accuracies and gives each document a posterior label. A
-linear scorer over hashed words and word shapes is trained on the posteriors of at most SAMPLE documents, those
+linear scorer over hashed words, word shapes and repetitions is trained on the posteriors of at most SAMPLE documents, those
 with the smallest hash of doc_id, and scores every whole text. No labelled table is read.
 
-Null text is empty; a text without words has the score of the bias. Repeated rows are scored each. An empty table gives no
+Null text is empty; a text without words has the score of the bias; texts of any length are scored whole. A score of just the
+threshold keeps. Repeated rows are scored each, rows without doc_id too, which are not trained on. An empty table gives no
 rows. Other columns are ignored.
 """
 
@@ -25,6 +26,8 @@ SAMPLE = 6_000
 BITS = 18
 EPOCHS, RATE, RIDGE = 12, 0.5, 1e-4
 KEEP_AT = 0.5
+#: Words back in which a word is looked for.
+NEAR = 8
 
 
 def _shapes() -> np.ndarray:
@@ -39,7 +42,7 @@ _SHAPE = _shapes()
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and of the shape of its ends, and where each text's begin (one more at the end)."""
+    """Four buckets for each word, of itself, the shapes of its ends and how near before it stood, and where each text's begin (one more at the end)."""
     raw, offsets = text_bytes(texts)
     starts, ends, first = words(raw, offsets)
     shape = Prefix(_SHAPE[raw])
@@ -48,8 +51,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     own = Prefix(raw, lower=True)(starts, ends)
     tail = shape(np.maximum(starts, ends - 3), ends) * np.uint64(0x9E3779B97F4A7C15) + np.minimum(size, 12).astype(np.uint64)
     front = shape(starts, np.minimum(starts + 2, ends)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = np.stack([own, tail * np.uint64(0xD6E8FEB86659FD93), front * np.uint64(0xFF51AFD7ED558CCD)], axis=1)
-    return (mixed >> shift).astype(np.int64).ravel(), 3 * first
+    text = np.searchsorted(first, np.arange(len(own)), "right")
+    near = np.zeros(len(own), dtype=np.uint64)
+    for j in range(NEAR, 0, -1):
+        near[j:][(own[j:] == own[:-j]) & (text[j:] == text[:-j])] = j
+    again = (near + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
+    mixed = np.stack([own, tail * np.uint64(0xD6E8FEB86659FD93), front * np.uint64(0xFF51AFD7ED558CCD), again], axis=1)
+    return (mixed >> shift).astype(np.int64).ravel(), 4 * first
 
 
 def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:

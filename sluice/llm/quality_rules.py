@@ -5,8 +5,10 @@ patterns estimates how each rule votes on good and on bad documents; the posteri
 of good replaces "all rules must pass". The patterns are at most 3^(number of rules) rows, whatever the
 corpus, so that their counts are all that reaches the driver.
 
-Null text is empty. Documents without words fail the base. Repeated rows count each. An empty table
-gives no rows and the prior. Other columns are ignored by `judge` and kept by `filtered`.
+Rules abstain where they cannot tell. No two look at one signal alone, and none repeats the base. Null text is empty. Documents
+without words fail the base; texts of any length are read whole. Repeated rows count each and fare alike, with or without doc_id. A
+posterior of just the threshold keeps. An empty table gives no rows and the prior. Other columns, whatever their
+names, are ignored by `judge` and kept by `filtered`.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
+from sluice.llm.common import by_content, durable
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CLOSING = ".!?:;\"')]»”。！？"
+#: Words without letter or digit, and three of one sign in a row.
+WORDLESS, RUNS = r"(?<!\S)[^\p{L}\p{N}\s]++(?!\S)", r"([#*$%&|<>=~_^!?.-])\1\1"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 KEEP_AT = 0.5
 ROUNDS = 60
-#: How often a rule that votes is taken to vote bad, on good and on bad documents, before any vote is seen, and
-#: the weights of these beliefs against all documents: a defect that a rule is made to see is rare in good ones.
-FALSE_ALARMS, ALARMS = (0.005, 0.5), (0.3, 0.05)
+#: Before any vote is seen: how often a rule that votes is taken to vote bad, on good and on bad documents, and as how many
+#: votes each belief counts against those that are seen.
+FALSE_ALARMS, ALARMS = (0.005, 100), (0.3, 20)
 SHARE_GOOD = 0.9
 
 
@@ -64,7 +68,9 @@ def features(documents: DataFrame) -> DataFrame:
         (length - lacking(text, UPPER)).cast("bigint").alias("n_upper"),
         (length - lacking(text, "!?")).cast("bigint").alias("n_shouts"),
         (length - lacking(text, "0123456789")).cast("bigint").alias("n_digits"),
-        (length - lacking(text, "|{}[]\\^~`_=<>")).cast("bigint").alias("n_markup"),
+        F.size(F.array_distinct("_w")).cast("bigint").alias("n_distinct"),
+        F.regexp_count(text, F.lit(WORDLESS)).cast("bigint").alias("n_wordless"),
+        F.regexp_count(text, F.lit(RUNS)).cast("bigint").alias("n_runs"),
     )
 
 
@@ -75,15 +81,15 @@ def vote(bad: Column, good: Column) -> Column:
 def rules() -> dict[str, Column]:
     c = F.col
     return {
-        "v_length": vote(c("n_words") < 50, c("n_words") >= 80),
         "v_symbols": vote(20 * c("n_symbols") > c("word_chars"), 200 * c("n_symbols") <= c("word_chars")),
-        "v_many_symbols": vote(9 * c("n_symbols") > c("word_chars"), c("n_symbols") == 0),
-        "v_open_lines": vote(2 * c("n_closed_lines") < c("n_lines"), 5 * c("n_closed_lines") >= 4 * c("n_lines")),
+        "v_wordless": vote(10 * c("n_wordless") > c("n_words"), 50 * c("n_wordless") <= c("n_words")),
+        "v_runs": vote(20 * c("n_runs") > c("n_words"), 200 * c("n_runs") <= c("n_words")),
+        "v_open_lines": vote((2 * c("n_closed_lines") < c("n_lines")) & (c("n_lines") >= 3), 5 * c("n_closed_lines") >= 4 * c("n_lines")),
         "v_repeats": vote(3 * c("n_repeat_words") > c("n_words"), 20 * c("n_repeat_words") <= c("n_words")),
+        "v_variety": vote((c("n_distinct") * c("n_distinct") < 4 * c("n_words")) & (c("n_words") >= 20), c("n_distinct") * c("n_distinct") >= 16 * c("n_words")),
         "v_lines": vote((c("n_dup_lines") >= 3) & (3 * c("n_dup_lines") > c("n_lines")), c("n_dup_lines") == 0),
         "v_upper": vote(3 * c("n_upper") > c("word_chars"), 10 * c("n_upper") <= c("word_chars")),
         "v_shouts": vote(5 * c("n_shouts") > c("n_words"), 50 * c("n_shouts") <= c("n_words")),
-        "v_markup": vote(8 * c("n_markup") > c("n_words"), c("n_markup") == 0),
         "v_word_length": vote((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), c("word_chars").between(3 * c("n_words"), 9 * c("n_words"))),
     }
 
@@ -106,7 +112,7 @@ def fit(counts: dict[tuple[int, ...], int], n_rules: int, rounds: int = ROUNDS)
     share, rates = SHARE_GOOD, ([FALSE_ALARMS[0]] * n_rules, [ALARMS[0]] * n_rules)
     for _ in range(rounds):
         ratios = [{1: math.log((1 - f) / (1 - a)), -1: math.log(f / a), 0: 0.0} for f, a in zip(*rates)]
-        sums = [[(rate * weight * total + 1e-2, weight * total + 2e-2) for _ in range(n_rules)] for rate, weight in (FALSE_ALARMS, ALARMS)]
+        sums = [[(rate * weight, weight) for _ in range(n_rules)] for rate, weight in (FALSE_ALARMS, ALARMS)]
         good = 0.0
         for pattern, n in counts.items():
             odds = math.log(share / (1 - share)) + sum(ratio[v] for ratio, v in zip(ratios, pattern))
@@ -143,9 +149,10 @@ def judge(documents: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
 
 
 def filtered(documents: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that are kept, with their columns. The rules run twice, which is less than moving the texts."""
-    inner = documents.select(F.struct(*documents.columns).alias("_row"), F.col("text"))
+    """The documents that are kept, with their columns. The rules run once; what they reject is told by doc_id and text."""
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
     names = list(rules())
-    prior, ratios = fit(pattern_counts(votes(documents.select("text")), names), len(names))
-    held = votes(inner).withColumn("_once", F.monotonically_increasing_id())  # keeps the filter above the counts, which run once then
-    return held.filter((F.col("_once") >= 0) & ~base_failed() & (posterior(names, prior, ratios) >= keep_at)).select("_row.*")
+    voted = durable(votes(rows).select("doc_id", "h", base_failed().alias("base_failed"), *names))
+    prior, ratios = fit(pattern_counts(voted, names), len(names))
+    gone = voted.filter(F.col("base_failed") | (posterior(names, prior, ratios) < keep_at))
+    return by_content(documents, gone, "left_anti")

@@ -13,7 +13,9 @@ def test_means():
 def test_features_follow_the_words_of_each_text():
     one, first = C.features(pa.array(["a bc", None, "", "Bc!! \n a"]))
     alone = [C.features(pa.array([x]))[0].tolist() for x in ("a bc", "Bc!! \n a")]
-    assert first.tolist() == [0, 6, 6, 6, 12] and one.tolist() == alone[0] + alone[1]
+    assert first.tolist() == [0, 8, 8, 8, 16] and one.tolist() == alone[0] + alone[1]
+    again = C.features(pa.array(["x y x x", "x"]))[0].reshape(-1, 4)[:, 3]
+    assert again[0] == again[1] == again[4] and len({*again[[0, 2, 3]].tolist()}) == 3
 
 
 def corpus(n):
@@ -36,6 +38,20 @@ def test_junk_is_told_from_prose(spark):
     assert sum(right) == 400
 
 
+def test_scores_are_the_mean_weight_of_hashed_words(spark):
+    frame = spark.createDataFrame(corpus(60) + [(1000, None)], "doc_id long, text string")
+    weights, bias = C.train(frame)
+    got = {r["doc_id"]: r["score"] for r in C.score(frame, weights, bias).collect()}
+    for i, text in [*corpus(60), (1000, "")]:
+        words, buckets = text.split(), []
+        for j, w in enumerate(words):
+            near = next((d for d in range(1, C.NEAR + 1) if j >= d and words[j - d].lower() == w.lower()), 0)
+            again = C.features(pa.array([" ".join([w, *(["-"] * (near - 1)), w])]))[0].reshape(-1, 4)[-1, 3] if near else C.features(pa.array([w]))[0][3]
+            buckets += [*C.features(pa.array([w]))[0][:3].tolist(), int(again)]
+        want = 1 / (1 + np.exp(-(sum(weights[b] for b in buckets) / max(1, len(buckets)) + bias)))
+        assert abs(got[i] - want) < 1e-9
+
+
 def test_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -43,7 +59,7 @@ def test_held_out_labels(spark):
     rows = C.classified(documents).join(labels, "doc_id").join(documents.select("doc_id", "text"), "doc_id").collect()
     rows = [r for r in rows if len(r["text"].split()) >= 50]
     good, bad = [r["kept"] for r in rows if r["quality"]], [r["kept"] for r in rows if not r["quality"]]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.02 * len(bad)
 
 
 def test_empty_table(spark):

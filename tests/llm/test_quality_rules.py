@@ -27,7 +27,7 @@ def base(text):
 @pytest.fixture(scope="module")
 def frame(spark):
     rows = [(i, x, "en", 1) for i, x in enumerate(TEXTS)] + [(100 + i, PROSE.replace("word", f"w{i}"), "xx", 2) for i in range(60)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_words string, v_length int")
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words string, v_lines int")
 
 
 def test_base_counts_equal_brute_force(frame):
@@ -59,8 +59,63 @@ def test_expectation_maximisation_finds_the_accuracies():
     for _ in range(20_000):
         good = draw.random() < 0.8
         counts[tuple(0 if draw.random() < 0.3 else (-1 if draw.random() < (0.02 if good else 0.6) else 1) for _ in range(6))] += 1
-    prior, ratios = Q.fit(counts, 6)  # the prior belief in few false alarms pulls the rates down
-    assert abs(prior - 1.39) < 0.5 and all(-4.8 < x[-1] < -3.2 and x[0] == 0 for x in ratios)
+    prior, ratios = Q.fit(counts, 6)
+    assert abs(prior - 1.386) < 0.1 and all(abs(x[-1] + 3.4) < 0.3 and abs(x[1] - 0.896) < 0.1 and x[0] == 0 for x in ratios)
+
+
+def votes(text):
+    """The rules, read off the text letter by letter."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = base(text)
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    closed = sum(x.rstrip(" \t\n\x0b\x0c\r")[-1] in Q.CLOSING for x in lines)
+    upper, shouts = sum("A" <= c <= "Z" for c in text), sum(c in "!?" for c in text)
+    wordless = sum(not any(c.isalnum() for c in w) for w in re.findall(WORD, text))
+    distinct = len(set(re.findall(WORD, text)))
+    runs = len(re.findall(r"([#*$%&|<>=~_^!?.-])\1\1", text))
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    return (
+        vote(20 * symbols > chars, 200 * symbols <= chars), vote(10 * wordless > n, 50 * wordless <= n), vote(20 * runs > n, 200 * runs <= n),
+        vote(2 * closed < len(lines) and len(lines) >= 3, 5 * closed >= 4 * len(lines)), vote(3 * repeat > n, 20 * repeat <= n), vote(distinct**2 < 4 * n and n >= 20, distinct**2 >= 16 * n), vote(dup >= 3 and 3 * dup > len(lines), dup == 0),
+        vote(3 * upper > chars, 10 * upper <= chars), vote(5 * shouts > n, 50 * shouts <= n), vote(chars < 2 * n or chars > 14 * n, 3 * n <= chars <= 9 * n),
+    )
+
+
+def brute_verdicts(texts):
+    """Expectation-maximisation over documents one by one."""
+    import math
+
+    voted = [votes(x) for x in texts]
+    m, share = len(voted[0]), Q.SHARE_GOOD
+    good, bad = [Q.FALSE_ALARMS[0]] * m, [Q.ALARMS[0]] * m
+    for rounds in range(Q.ROUNDS + 1):
+        q = []
+        for v in voted:
+            odds = math.log(share / (1 - share))
+            for x, g, b in zip(v, good, bad):
+                odds += math.log(g / b) if x < 0 else math.log((1 - g) / (1 - b)) if x > 0 else 0
+            q.append(1 / (1 + math.exp(-odds)))
+        if rounds == Q.ROUNDS:
+            return q
+        for rates, (rate, weight), p in ((good, Q.FALSE_ALARMS, q), (bad, Q.ALARMS, [1 - x for x in q])):
+            rates[:] = [(rate * weight + sum(x for x, v in zip(p, voted) if v[j] < 0)) / (weight + sum(x for x, v in zip(p, voted) if v[j])) for j in range(m)]
+        share = min(0.999, max(0.5, (sum(q) + 9) / (len(q) + 10)))
+
+
+def test_votes_and_verdict_equal_brute_force(frame):
+    rows = frame.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in Q.judge(frame).collect()}
+    for (i, text), q in zip(rows, brute_verdicts([r["text"] for r in rows])):
+        assert tuple(got[i][x] for x in Q.rules()) == votes(text), repr(text)[:60]
+        assert abs(got[i]["quality"] - q) < 1e-6
+        assert got[i]["kept"] == (not got[i]["base_failed"] and q >= 0.5)
+
+
+def test_labelled_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = Q.judge(spark.read.parquet(f"{folder}/documents.parquet")).filter("NOT base_failed").join(spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id").collect()
+    good, bad = [r["kept"] for r in rows if r["label"]], [r["kept"] for r in rows if not r["label"]]
+    assert len(good) > 250 and all(good) and len(bad) > 20 and not any(bad)
 
 
 def test_empty_table(spark):
