@@ -2,11 +2,13 @@
 
 A document is its token ids and an end id. Only documents longer than a sequence are cut, the
 shorter rest first. Each piece goes where the squared counts of open sequences per residual gap
-become smallest. Pieces are dealt by hash to groups of bounded size; the pieces of what a group
-leaves open are packed once more together, in fewer groups, until one group is left.
+become smallest, a new sequence being one of the choices. Pieces are dealt by hash to groups of bounded size; the
+pieces of what a group leaves open are packed once more together, in fewer groups, until they fit one group or
+little is closed any more. In that last pass a sequence is opened only where none has room, since few are asked for.
 
-Null and empty texts are one piece that holds the end id. Repeated rows are packed each for
-itself. An empty table gives no rows. Other columns are ignored.
+Null and empty texts are one piece that holds the end id; texts of any length are cut whole. Repeated rows are packed
+each for itself, with or without doc_id. Equal lengths are taken by doc_id, piece and row, equal choices by the smallest
+gap. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs at once.
 GROUP = 16_000
+#: Share of the pieces that a pass may leave; if it leaves more, the next pass is the last.
+GAIN = 0.7
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 400_000
 
@@ -137,12 +141,12 @@ def pieces_of(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     return documents.select("doc_id", "text").mapInArrow(encode, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, opening: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length, taken in the given order, and the gap that each bin keeps.
 
-    A length s goes into the open bin with gap g >= s for which the sum over h of N(h)^2 is least
-    afterwards, where N(h) bins have gap h and full ones do not count. Ties go to the smallest
-    gap. A bin is opened only where none has room, since the aim is few bins.
+    A length s goes into the open bin with gap g >= s, or into a new one, for which the sum over h of N(h)^2 is
+    least afterwards, where N(h) bins have gap h and full ones do not count. Ties go to the smallest
+    gap. Without `opening` a bin is opened only where none has room.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -158,7 +162,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[now == 0] = none
             g = int(change.argmin())
             best = change[g]
-        if best < none:
+        if best < none and not (opening and best > 2 * int(counts[capacity - s]) + 1):
             g += s
             b = open_bins[g].pop()
             counts[g] -= 1
@@ -174,11 +178,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def placer(capacity: int, base: int, last: bool):
-    """Packs one group; rows are fixed where their sequence is full, or all in the last group."""
+    """Packs one group; rows are fixed where their sequence is full, or all in the last pass."""
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "copy"], ascending=[False, True, True, True], ignore_index=True)
-        where, offsets, gaps = sum_of_squares(rows["length"].to_numpy(), capacity)
+        where, offsets, gaps = sum_of_squares(rows["length"].to_numpy(), capacity, opening=not last)
         number = base + (int(rows["dealt"].iloc[0]) << 32)
         keep = np.ones(len(rows), bool) if last else gaps[where] == 0
         return rows.drop(columns=["dealt"]).assign(sequence_id=number + where, offset=offsets, fixed=keep)
@@ -192,17 +196,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     left = todo.filter(F.col("length") < capacity).count()
     done.append(todo.filter(F.col("length") == capacity).select(*pieces.columns, F.col("copy").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
     todo = todo.filter(F.col("length") < capacity)
+    before = None
     while left:
         level += 1
         groups = max(1, -(-left // group))
-        place = placer(capacity, level << 56, groups == 1)
+        last = groups == 1 or (before is not None and left > GAIN * before)
+        place = placer(capacity, level << 56, last)
         dealt = todo.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(level)), F.lit(groups)).cast("bigint"))
         placed = durable(dealt.groupBy("dealt").applyInPandas(place, f"{PIECES}, copy bigint, sequence_id bigint, offset bigint, fixed boolean"))
         done.append(placed.filter("fixed").select(*pieces.columns, "sequence_id", "offset"))
         todo = placed.filter("not fixed").select(*pieces.columns, "copy")
-        before, left = left, 0 if groups == 1 else todo.count()
-        if left > 0.7 * before:  # little is closed: fewer, larger groups
-            group *= 4
+        before, left = left, 0 if last else todo.count()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
