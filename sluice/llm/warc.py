@@ -3,19 +3,23 @@
 Writing: one gzip member per record, so a byte range is a record. Of equal payloads of at least
 100 bytes the record with the smallest page_id is a response and the others are revisits that name
 it; smaller payloads are always responses. Index: lines sorted by reversed-host URL key lie in
-compressed blocks, and a sparse directory keeps the first key and the byte range of each block.
-Looking up: binary search in the directory, then in the block, then a range read of the record.
+compressed blocks, and a sparse directory keeps the first key and the byte range of each block. Each sorted part of the
+index has its own directory file, so that the list of parts, which is all that tasks share, has a row for each
+partition, whatever the size. Looking up: binary search of the parts, of a part's directory, then of the block's
+lines, then range reads of the records. `captures` does so for a whole table of URLs: sorted, so that what lies together is
+read once, and with the blocks of a key dealt out, so that a URL of very many captures is no hot task.
 
 Tasks write under names of their own and rename at the end, so a task that runs again leaves no
 torn archive, and only the archives that the finished tasks report are read.
 
-Null html is an empty payload and a null URL an empty key. Repeated rows give a record each; of equal
-rows that share the smallest page_id each is a response. An empty table gives no records. Other
-columns are ignored.
+Null html is an empty payload and a null URL an empty key; URLs come back letter by letter. Records of any length are written
+whole. Repeated rows give a record each; of equal rows that share the smallest page_id each is a response, as is a row
+without page_id. An empty table gives no records. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import gzip
 import hashlib
@@ -30,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
+from sluice.llm.common import dropped, durable
 
 LEAST_SHARED = 100
 #: Index lines in a compressed block.
 BLOCK_LINES = 3000
 #: Bytes of payload in one archive.
 ARCHIVE_BYTES = 64 << 20
-EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
+EXACT_URI = "X-Target-URI-Base64"
 
 LINES = "surt string, page_id bigint, url string, file string, offset bigint, length bigint, digest string, record_type string"
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -82,6 +86,8 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     ]
     if url is not None:
         lines.insert(3, f"WARC-Target-URI: {one_line(url)}")
+        if one_line(url) != url:  # header lines hold no control characters
+            lines.append(f"{EXACT_URI}: {base64.b64encode(url.encode()).decode()}")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -102,7 +108,8 @@ def parse(data: bytes) -> dict:
         if digest_read != digest or len(payload) != n:
             raise ValueError(f"payload of {fields['WARC-Record-ID']} is not what was written")
     ident = lambda name: int(x) if (x := fields.get(name, "<urn:page:None>")[len("<urn:page:") : -1]) != "None" else None
-    return {"page_id": ident("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": ident("WARC-Refers-To"), "payload": payload}
+    url = base64.b64decode(fields[EXACT_URI]).decode() if EXACT_URI in fields else fields.get("WARC-Target-URI")
+    return {"page_id": ident("WARC-Record-ID"), "url": url, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": ident("WARC-Refers-To"), "payload": payload}
 
 
 def annotate(pages: DataFrame) -> DataFrame:
@@ -117,7 +124,8 @@ def annotate(pages: DataFrame) -> DataFrame:
         .filter("copies > 1")
         .select("digest", "first")
     )
-    joined = base.join(firsts, "digest", "left")
+    hashed = F.xxhash64("digest")  # a second key: both sides are dealt anew, so that a hot payload may be split
+    joined = base.withColumn("k", hashed).join(firsts.withColumn("k", hashed), ["digest", "k"], "left").drop("k")
     return joined.withColumn("refers_to", F.when((F.col("n") >= LEAST_SHARED) & (F.col("first") != F.col("page_id")), F.col("first"))).drop("first", "n")
 
 
@@ -155,8 +163,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return annotate(pages).mapInArrow(archive, LINES)
 
 
+PARTS = "first_key string, directory string"
+
+
 def index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Compressed blocks of sorted lines, and their directory: first_key, file, offset, length, lines."""
+    """Compressed blocks of sorted lines with a directory file for each part; the parts: first_key and directory."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = filesystem(folder)
@@ -168,7 +179,7 @@ def index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> Data
                 out = files.open_output_stream(f"{top}/{name}.open", compression=None)
             packed = zlib.compress("\n".join("\t".join(map(str, x)) for x in held).encode(), 6)
             out.write(packed)
-            found.append((held[0][0], name, at, len(packed), len(held)))
+            found.append((held[0][0], name, at, len(packed)))
             at += len(packed)
             held.clear()
 
@@ -182,43 +193,95 @@ def index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> Data
         if out is not None:
             out.close()
             files.move(f"{top}/{name}.open", f"{top}/{name}")
-        yield pd.DataFrame(found, columns=["first_key", "file", "offset", "length", "lines"])
+            directory = name.replace("index-", "directory-")
+            with files.open_output_stream(f"{top}/{directory}.open", compression=None) as written:
+                written.write(zlib.compress("\n".join("\t".join(map(str, x)) for x in found).encode(), 6))
+            files.move(f"{top}/{directory}.open", f"{top}/{directory}")
+            yield pd.DataFrame([(found[0][0], directory)], columns=["first_key", "directory"])
 
     parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = lines.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    return ordered.mapInPandas(blocks, "first_key string, file string, offset bigint, length bigint, lines bigint")
+    return ordered.mapInPandas(blocks, PARTS)
 
 
-def read_block(files, top: str, entry) -> list[list[str]]:
-    with files.open_input_file(f"{top}/{entry.file}") as source:
-        return [x.split("\t") for x in zlib.decompress(source.read_at(entry.length, entry.offset)).decode().split("\n")]
+def read_lines(files, path: str, offset: int = 0, length: int | None = None) -> list[list[str]]:
+    with files.open_input_file(path) as source:
+        data = source.read_at(source.size() if length is None else length, offset)
+    return [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
 
 
-def lookup(directory: list, folder: str, url: str) -> list[dict]:
-    """Captures of one URL. The directory is sorted by first_key; only blocks that may hold the key are read."""
-    files, top = filesystem(folder)
-    key, firsts, out = surt(url), [x.first_key for x in directory], []
+def reach(firsts: list[str], key: str) -> range:
+    """The sorted stretches, given by their first keys, that may hold the key: binary search, then as long as it goes on."""
     i = max(0, bisect.bisect_left(firsts, key) - 1)
-    while i < len(directory) and directory[i].first_key <= key:
-        lines = read_block(files, top, directory[i])
-        for line in lines[bisect.bisect_left([x[0] for x in lines], key) :]:
-            if line[0] != key:
-                break
-            with files.open_input_file(f"{top}/{line[2]}") as source:
+    return range(i, max(i, bisect.bisect_right(firsts, key)))
+
+
+class Directory:
+    """The sorted parts of an index; the directory of the part that was asked last is kept."""
+
+    def __init__(self, parts: list, folder: str):
+        self.files, self.top = filesystem(folder)
+        self.parts = sorted((x.first_key, x.directory) for x in parts)
+        self.firsts = [x for x, _ in self.parts]
+        self.held: tuple[int, list, list] = (-1, [], [])
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of the blocks that may hold the key."""
+        for i in reach(self.firsts, key):
+            if self.held[0] != i:
+                entries = read_lines(self.files, f"{self.top}/{self.parts[i][1]}")
+                self.held = (i, entries, [x[0] for x in entries])
+            for j in reach(self.held[2], key):
+                _, file, offset, length = self.held[1][j]
+                yield file, int(offset), int(length)
+
+
+def of_key(lines: list[list[str]], keys: list[str], key: str) -> list[list[str]]:
+    """A block's lines with the key; keys are the lines' first fields."""
+    return lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+
+
+def lookup(parts: list, folder: str, url: str) -> list[dict]:
+    """Captures of one URL."""
+    directory, key, out = Directory(parts, folder), surt(url), []
+    for file, offset, length in directory.blocks(key):
+        lines = read_lines(directory.files, f"{directory.top}/{file}", offset, length)
+        for line in of_key(lines, [x[0] for x in lines], key):
+            with directory.files.open_input_file(f"{directory.top}/{line[2]}") as source:
                 out.append(parse(gzip.decompress(source.read_at(int(line[4]), int(line[3])))))
-        i += 1
     return out
 
 
-def read(directory: DataFrame, folder: str) -> DataFrame:
-    """All captures, through the index: blocks, then range reads in file order."""
+BLOCK = "key string, file string, offset bigint, length bigint"
+RANGE = "file string, offset bigint, length bigint"
+
+
+def captures(urls: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
+    """All captures of the URLs, each once however often its URL is asked. The parts are one row for each partition of the index."""
+    spark = urls.sparkSession
+    held = spark.sparkContext.broadcast(parts.collect())
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(x) for x in rows.column("url").to_pylist()], pa.string())], names=["key"])
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(held.value, folder)
+        for rows in batches:
+            yield columns([(key, *block) for key in rows.column("key").to_pylist() for block in directory.blocks(key)], BLOCK)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = filesystem(folder)
+        last, found, keys = None, [], []
         for rows in batches:
-            for entry in rows.itertuples(index=False):
-                found = read_block(files, top, entry)
-                yield pd.DataFrame({"file": [x[2] for x in found], "offset": [int(x[3]) for x in found], "length": [int(x[4]) for x in found]})
+            out = []
+            for key, *block in zip(*(rows.column(x).to_pylist() for x in ("key", "file", "offset", "length"))):
+                if block != last:
+                    last, found = block, read_lines(files, f"{top}/{block[0]}", block[1], block[2])
+                    keys = [x[0] for x in found]
+                out += [(x[2], int(x[3]), int(x[4])) for x in of_key(found, keys, key)]
+            yield columns(out, RANGE)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = filesystem(folder)
@@ -239,14 +302,18 @@ def read(directory: DataFrame, folder: str) -> DataFrame:
             if source is not None:
                 source.close()
 
-    spread = directory.repartition(max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranges = spread.mapInPandas(lines, "file string, offset bigint, length bigint")
-    parts = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return ranges.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, READ)
+    asked = urls.select("url").mapInArrow(keyed, "key string").distinct()
+    blocks = asked.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(search, BLOCK)
+    ranges = blocks.repartitionByRange(n, "file", "offset", "key").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, RANGE)
+    return ranges.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, READ)
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
-    """Write, index and read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    lines = durable(write(pages, folder))
-    directory = durable(index(lines, folder))
-    return read(directory, folder)
+    """Write, index, look up the URL of every page and read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    The folder is deleted at the end.
+    """
+    parts = durable(index(durable(write(pages, folder)), folder))
+    out = durable(captures(pages, parts, folder))
+    dropped(pages.sparkSession, folder)
+    return out
