@@ -9,9 +9,10 @@ texts are template. Text in an article or main element never is. What is extract
 main slot, less boilerplate elements and template text. Vectors are kept as a support count and a
 fingerprint, summed up before anything is shuffled, so a host of any size is no hot group.
 
-A page without its host's main slot is judged by itself. Null html is empty. Repeated rows give a row
-each; a null URL is a host of its own; unclosed, cut off or nested wrong markup is read as far as it goes. An empty
-table gives no rows. Other columns are ignored.
+A page without its host's main slot is judged by itself. Null html is empty. Repeated rows give a row each, with or without
+page_id; a null URL is a host of its own; unclosed, cut off or nested wrong markup is read as far as it goes; pages of any length
+and depth are read whole, in time that grows with their length. Of slots that are equal the greatest hash is taken. An empty
+table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SUPPORT, TEXT_PAGES = 0.5, 5
 SIZE = 3
 #: Share of a host's remaining text that the main slot holds; an article or main element needs less.
 SHARE, NAMED_SHARE = 0.7, 0.3
-#: Template rows up to which they are broadcast to the pages; more are joined by host.
+#: Template tokens up to which they are broadcast to the pages; more are joined by host, a hot host being split.
 BROADCAST = 20_000
 
 CONTAINERS = frozenset("html body nav header footer aside article main section div ul ol dl table tbody tr td th form figure details dialog menu fieldset blockquote".split())
@@ -50,20 +51,64 @@ HINTS = re.compile(
 NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def read_page(text: str | None) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """Blocks outside boilerplate, as (container path, text), and how often each container path opens."""
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_NAME = re.compile("[a-z][a-z0-9:-]*")
+
+
+class Tree:
+    """The container paths of a page. A path is told by a hash of its parent's and its own tag, so depth costs nothing."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.parents: list[int] = []
+        self.depths: list[int] = []
+        self.named: list[bool] = []  # an article or main element
+        self.article: list[bool] = []  # or inside one
+        self.opened: list[int] = []
+        self.at: dict[int, int] = {}
+
+    def open(self, parent: int, tag: str, key: str) -> int:
+        own = token("path", f"{self.ids[parent] if parent >= 0 else ''}/{key}")
+        node = self.at.get(own)
+        if node is None:
+            node = self.at[own] = len(self.ids)
+            named = tag in ("article", "main")
+            self.ids.append(own)
+            self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1 if parent >= 0 else 0)
+            self.named.append(named)
+            self.article.append(named or parent >= 0 and self.article[parent])
+            self.opened.append(0)
+        self.opened[node] += 1
+        return node
+
+    def inside(self, slot: int) -> list[bool]:
+        """For each path whether it is the slot's or below it."""
+        out: list[bool] = []
+        for own, parent in zip(self.ids, self.parents):  # parents come first
+            out.append(own == slot or parent >= 0 and out[parent])
+        return out
+
+    def text_token(self, node: int, block: str) -> int:
+        return token("text", f"{self.ids[node] if node >= 0 else ''}\0{block}")
+
+
+def read_page(text: str | None) -> tuple[list[tuple[int, str]], Tree]:
+    """Blocks outside boilerplate, as (container or -1, text), and the containers."""
     text = text or ""
-    lower, found, opened = text.lower(), [], {}
-    stack: list[tuple[str, str, bool]] = []  # tag, path, dropped
-    held: list[str] = []
+    lower = text.lower() if text.isascii() else text.translate(_LOWER)  # of one length with the text
+    found, tree = [], Tree()
     at, n = 0, len(text)
+    stack: list[tuple[str, int, bool]] = []  # tag, container, dropped
+    standing: dict[str, int] = {}
+    held: list[str] = []
 
     def flush() -> None:
         if held:
             block = " ".join(markup.unescape("".join(held)).split())
             held.clear()
             if block and not (stack and stack[-1][2]):
-                found.append((stack[-1][1] if stack else "", block))
+                found.append((stack[-1][1] if stack else -1, block))
 
     while at < n:
         start = text.find("<", at)
@@ -78,7 +123,7 @@ def read_page(text: str | None) -> tuple[list[tuple[str, str]], dict[str, int]]:
             at = end + 1 if end >= start + 2 else n
             continue
         closing = after == "/"
-        name = re.compile("[a-z][a-z0-9:-]*").match(lower, start + 1 + closing)
+        name = _NAME.match(lower, start + 1 + closing)
         if not name:
             held.append("<")
             at = start + 1
@@ -118,29 +163,31 @@ def read_page(text: str | None) -> tuple[list[tuple[str, str]], dict[str, int]]:
         if tag not in CONTAINERS:
             continue
         if closing:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if standing.get(tag):
+                while True:
+                    last = stack.pop()[0]
+                    standing[last] -= 1
+                    if last == tag:
+                        break
             continue
         key, names = tag, ""
         if inside.strip():
             parts = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in NAMES.finditer(inside)]
             names = " ".join(v for _, v in parts)
             key = tag + "".join(("." if k == "class" else "#") + re.sub(r"\d+", "N", " ".join(v.split())) for k, v in parts)
-        article = any(x[0] in ("article", "main") for x in stack)
+        parent = stack[-1][1] if stack else -1
+        article = parent >= 0 and tree.article[parent]
         dropped = bool(stack and stack[-1][2]) or tag in DROPPED or (tag == "header" and not article)
         if not dropped and inside and tag not in ("html", "body", "article", "main"):
             hint = HINTS.search(names)
             dropped = bool(ROLES.search(inside) or HIDDEN.search(inside) or hint and not (article and hint[1].lower() == "header"))
         elif not dropped and tag == "article" and article and HINTS.search(names):
             dropped = True  # a reader's comment as an article in an article
-        path = f"{stack[-1][1]}/{key}" if stack else key
-        opened[path] = opened.get(path, 0) + 1
-        if inside.rstrip().endswith("/") and tag == "hr":
-            continue
-        stack.append((tag, path, dropped))
+        node = tree.open(parent, tag, key)
+        stack.append((tag, node, dropped))
+        standing[tag] = standing.get(tag, 0) + 1
     flush()
-    return found, opened
+    return found, tree
 
 
 _STOP = re.compile("[>\"']")
@@ -150,36 +197,42 @@ def token(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{value}") - (1 << 63)
 
 
-def best_slot(slots: dict[str, int], total: int) -> str:
-    """The deepest path that holds enough of the text; an article or main element needs less of it."""
-    best, order = "", ()
-    for path, chars in slots.items():
-        named = re.search(r"(?:^|/)(?:article|main)(?:[.#][^/]*)?$", path) is not None
+#: A container that may be the main slot: hash of its path, characters of text in it, whether it is an article or main element, depth.
+Slot = tuple[int, int, bool, int]
+
+
+def best_slot(slots: list[Slot], total: int) -> int | None:
+    """The deepest container that holds enough of the text; an article or main element, the outermost, needs less of it."""
+    best, order = None, ()
+    for own, chars, named, depth in slots:
         if chars >= (NAMED_SHARE if named else SHARE) * max(1, total):
-            now = (named, path.count("/"), chars, path) if not named else (named, -path.count("/"), chars, path)
+            now = (named, -depth if named else depth, chars, own)
             if now > order:
-                best, order = path, now
+                best, order = own, now
     return best
 
 
-def within(path: str, slot: str) -> bool:
-    return not slot or path == slot or path.startswith(slot + "/")
+def slots_of(found: list[tuple[int, str]], tree: Tree) -> list[Slot]:
+    chars = [0] * len(tree.ids)
+    for node, text in found:
+        if node >= 0:
+            chars[node] += len(text)
+    for node in range(len(chars) - 1, -1, -1):
+        if tree.parents[node] >= 0:
+            chars[tree.parents[node]] += chars[node]
+    return list(zip(tree.ids, chars, tree.named, tree.depths))
 
 
-def slot_chars(found: list[tuple[str, str]]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for path, text in found:
-        at = len(path)
-        while at > 0:
-            out[path[:at]] = out.get(path[:at], 0) + len(text)
-            at = path.rfind("/", 0, at)
-    return out
+def in_slot(found: list[tuple[int, str]], tree: Tree, slot: int | None) -> list[tuple[int, str]]:
+    if slot is None:
+        return found
+    inside = tree.inside(slot)
+    return [(node, block) for node, block in found if node >= 0 and inside[node]]
 
 
-TOKENS = "host string, kind string, token bigint, path string, pages bigint, total bigint, vector bigint, chars bigint"
+TOKENS = "host string, kind string, token bigint, named boolean, depth int, pages bigint, total bigint, vector bigint, chars bigint"
 
 
-_ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[.#/]|$)")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)"
 
 
@@ -187,10 +240,6 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("_host"))
 
 
-def text_token(path: str, block: str) -> int:
-    return token("text", f"{path}\0{block}")
-
-
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """One page of each host and longest block: key, host and html. Only pages with copies are dealt out."""
     rows = with_host(pages).select(F.col("_host").alias("host"), "html", F.xxhash64("_host", "html", "page_id").alias("id"))
@@ -215,62 +264,80 @@ def occurrences(pages: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "html", 8 << 20):
-                sums: dict[tuple, list[int]] = {}
+                sums: dict[tuple, list] = {}
                 for page, host, text in zip(*(part.column(x).to_pylist() for x in ("key", "host", "html"))):
-                    found, opened = read_page(text)
-                    chars, texts = slot_chars(found), {}
-                    for at in found:
-                        if not _ARTICLE.search(at[0]):
-                            texts[at] = texts.get(at, 0) + 1
-                    rows = [("page", 0, "", 1, sum(len(x) for _, x in found))]
-                    rows += [("path", token("path", p), p, c, chars.get(p, 0)) for p, c in opened.items()]
-                    rows += [("text", text_token(p, b), p, c, 0) for (p, b), c in texts.items()]
-                    for kind, key, path, c, size in rows:
-                        x = sums.setdefault((host, kind, key, path), [0, 0, 0, 0])
+                    found, tree = read_page(text)
+                    texts: dict[int, int] = {}
+                    for node, block in found:
+                        if node < 0 or not tree.article[node]:
+                            own = tree.text_token(node, block)
+                            texts[own] = texts.get(own, 0) + 1
+                    rows = [("page", 0, False, 0, 1, sum(len(x) for _, x in found))]
+                    rows += [("path", own, named, depth, c, chars) for (own, chars, named, depth), c in zip(slots_of(found, tree), tree.opened)]
+                    rows += [("text", own, False, 0, c, 0) for own, c in texts.items()]
+                    for kind, own, named, depth, c, size in rows:
+                        x = sums.setdefault((host, kind, own, named, depth), [0, 0, 0, 0])
                         x[0] += 1
                         x[1] += c
                         x[2] ^= xxhash.xxh3_64_intdigest(f"{page}:{c}") >> 1
                         x[3] += size
                 rows = [(*k, *v) for k, v in sums.items()]
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds)], names=[x.split()[0] for x in TOKENS.split(", ")])
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, kinds)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
     each = pages.mapInArrow(count, TOKENS)
-    return each.groupBy("host", "kind", "token", "path").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+    return each.groupBy("host", "kind", "token", "named", "depth").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+
+
+def of_hosts(rows: DataFrame, known: DataFrame, how: str, small: bool = False) -> DataFrame:
+    """The rows with what is known of their hosts. Unless `small`, both sides are dealt anew, so that a hot host may be split."""
+    hashed = lambda df: df.withColumn("_k", F.xxhash64("host"))
+    return rows.join(F.broadcast(known), "host", how) if small else hashed(rows).join(hashed(known), ["host", "_k"], how).drop("_k")
+
+
+def is_small(known: DataFrame, size) -> bool:
+    return (known.select(size.alias("n")).groupBy().sum("n").first()[0] or 0) <= BROADCAST
 
 
-def joined(pages: DataFrame, known: DataFrame, size, how: str) -> DataFrame:
-    """The pages with what is known of their hosts; a small table is broadcast."""
-    small = known.select(size).groupBy().sum().first()[0] or 0
-    known = known.withColumnRenamed("host", "_host")
-    return pages.join(F.broadcast(known) if small <= BROADCAST else known, "_host", how)
+ORDER = "host string, vector bigint, low bigint, high bigint, token bigint"
 
 
 def ordered(pages: DataFrame, classes: DataFrame) -> DataFrame:
-    """host and vector of the classes whose members stand in one order in all pages."""
+    """Least and greatest order hash of each class over the pages, and rows with the text tokens that lie in a container of their class."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "html", 8 << 20):
                 ends: dict[tuple, list[int]] = {}
-                for host, text, members in zip(*(part.column(x).to_pylist() for x in ("_host", "html", "members"))):
+                nested: set[tuple] = set()
+                for host, text, members in zip(*(part.column(x).to_pylist() for x in ("host", "html", "members"))):
                     of = {m["token"]: m["vector"] for m in members}
-                    found, opened = read_page(text)
+                    found, tree = read_page(text)
                     lines: dict[int, list[int]] = {}
-                    for key in [*(token("path", p) for p in opened), *(text_token(p, b) for p, b in found)]:
-                        if key in of:
-                            lines.setdefault(of[key], []).append(key)
+                    above: list[frozenset] = []  # classes of a container and of those that it lies in
+                    for own, parent in zip(tree.ids, tree.parents):
+                        outer = above[parent] if parent >= 0 else frozenset()
+                        if own in of:
+                            lines.setdefault(of[own], []).append(own)
+                            outer = outer if of[own] in outer else outer | {of[own]}
+                        above.append(outer)
+                    for node, block in found:
+                        own = tree.text_token(node, block)
+                        if own in of:
+                            lines.setdefault(of[own], []).append(own)
+                            if node >= 0 and of[own] in above[node]:
+                                nested.add((host, of[own], own))
                     for vector, line in lines.items():
                         now = xxhash.xxh3_64_intdigest(repr(line)) >> 1
                         x = ends.setdefault((host, vector), [now, now])
                         x[:] = min(x[0], now), max(x[1], now)
-                columns = list(zip(*((*k, *v) for k, v in ends.items()))) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 3))], names=["host", "vector", "low", "high"])
+                rows = [(*k, *v, None) for k, v in ends.items()] + [(host, vector, None, None, own) for host, vector, own in nested]
+                columns = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4))], names=[x.split()[0] for x in ORDER.split(", ")])
 
-    of_host = durable(classes.select("host", F.explode("members").alias("m"), "vector").groupBy("host").agg(F.collect_list(F.struct("m.token", "vector")).alias("members")))
-    rows = joined(pages.withColumnRenamed("host", "_host").select("_host", "html"), of_host, F.size("members") + 1, "inner")
-    lines = rows.mapInArrow(order, "host string, vector bigint, low bigint, high bigint").groupBy("host", "vector").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return lines.filter("low = high").select("host", "vector")
+    members = durable(classes.select("host", F.explode("members").alias("m"), "vector").groupBy("host").agg(F.collect_list(F.struct("m.token", "vector")).alias("members")))
+    rows = of_hosts(pages.select("host", "html"), members, "inner", is_small(members, F.size("members") + 1))
+    return durable(rows.mapInArrow(order, ORDER).groupBy("host", "vector", "token").agg(F.min("low").alias("low"), F.max("high").alias("high")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -281,37 +348,35 @@ def templates(pages: DataFrame) -> DataFrame:
     distinct = distinct_pages(pages)
     tokens = durable(occurrences(distinct))
     hosts = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("n"), F.col("chars").alias("all_chars"))
-    rows = tokens.filter("kind <> 'page' AND total = pages").join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("n"))
-    member = F.struct("kind", "token", "path")
-    classes = rows.filter(F.col("n") >= TEXT_PAGES).groupBy("host", "vector", "pages").agg(F.collect_list(member).alias("members"))
+    once = tokens.filter("kind <> 'page' AND total = pages").withColumnRenamed("chars", "own")
+    rows = durable(of_hosts(once, hosts, "inner").filter(F.col("pages") >= SUPPORT * F.col("n")))  # few for each host from here on
+    classes = rows.filter(F.col("n") >= TEXT_PAGES).groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("kind", "token")).alias("members"))
     kind = lambda x: F.filter("members", lambda m: m["kind"] == x)
     classes = durable(classes.filter((F.size("members") >= SIZE) & (F.size(kind("path")) > 0) & (F.size(kind("text")) > 0)))
-    inside = lambda m: F.exists(kind("path"), lambda c: (m["path"] == c["path"]) | F.startswith(m["path"], F.concat(c["path"], F.lit("/"))))
-    valid = classes.join(ordered(distinct, classes), ["host", "vector"], "left_semi")
-    texts = valid.select("host", F.explode(F.filter(kind("text"), inside)).alias("m")).groupBy("host").agg(F.collect_set("m.token").alias("texts"))
-    slots = rows.filter("kind = 'path'").groupBy("host").agg(F.first("all_chars").alias("all_chars"), F.collect_list(F.struct("path", "chars")).alias("slots"))
+    found = ordered(distinct, classes)
+    valid = classes.join(found.filter("token IS NULL AND low = high"), ["host", "vector"], "left_semi")
+    texts = found.filter("token IS NOT NULL").join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("texts"))
+    slots = rows.filter("kind = 'path'").groupBy("host").agg(F.first("all_chars").alias("all_chars"), F.collect_list(F.struct("token", "own", "named", "depth")).alias("slots"))
     return slots.join(texts, "host", "left").select("host", "all_chars", "slots", F.coalesce("texts", F.array().cast("array<bigint>")).alias("texts"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     known = durable(templates(pages))
-    rows = joined(with_host(pages), known, F.size("slots") + F.size("texts") + 1, "left")
+    rows = of_hosts(with_host(pages).withColumnRenamed("_host", "host"), known, "left", is_small(known, F.size("slots") + F.size("texts") + 1))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "html", 8 << 20):
                 texts = []
                 for text, total, slots, common in zip(*(part.column(x).to_pylist() for x in ("html", "all_chars", "slots", "texts"))):
-                    found, _ = read_page(text)
-                    slot = best_slot({x["path"]: x["chars"] for x in slots or ()}, total or 0)
-                    own = [(p, b) for p, b in found if within(p, slot)]
+                    found, tree = read_page(text)
+                    own = in_slot(found, tree, best_slot([(x["token"], x["own"], x["named"], x["depth"]) for x in slots or ()], total or 0))
                     if not own:
-                        slot = best_slot(slot_chars(found), sum(len(b) for _, b in found))
-                        own = [(p, b) for p, b in found if within(p, slot)]
+                        own = in_slot(found, tree, best_slot(slots_of(found, tree), sum(len(b) for _, b in found)))
                     gone = set(common or ())
-                    texts.append("\n".join(b for p, b in own if not gone or text_token(p, b) not in gone))
+                    texts.append("\n".join(b for node, b in own if not gone or tree.text_token(node, b) not in gone))
                 arrays = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
-    return rows.drop("_host").mapInArrow(extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "all_chars", "slots", "texts").mapInArrow(extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -48,3 +48,71 @@ def test_classes_decide_what_is_template(spark):
     got = texts(spark, [(i, f"http://b.com/{i}", FRAME.format(page(i))) for i in range(10)])
     assert not any("Follow us" in x or "Contact" in x for x in got.values())
     assert all("Red" in got[i] and "Blue" in got[i] for i in range(3, 10))
+
+
+def test_letters_that_grow_when_lowered_move_nothing(spark):
+    got = texts(spark, [(1, "http://a.com/", "<p>İİİİİİ</p><P>two words</P><p>ẞ<br>x</p>")])
+    assert got == {1: "İİİİİİ\ntwo words\nẞ x"}
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for n in (100_000, 30_000):
+        found, tree = H.read_page("<div><p>a</p>" * n + "</div>" * n + "<p>end</p>")
+        assert len(found) == n + 1 and len(tree.ids) == n and found[-1] == (-1, "end")
+        assert len(H.in_slot(found, tree, H.best_slot(H.slots_of(found, tree), n + 3))) > 0
+    found, tree = H.read_page("<ul>" * 50_000 + "</div>" * 50_000)
+    assert found == [] and time.time() - began < 20
+
+
+def brute(pages):
+    """Template texts of one host's pages, by its definition: explicit occurrence vectors, orders and nesting."""
+    read = [H.read_page(h) for h in pages]
+    seen, kinds, orders, parents = {}, {}, [], {}
+    for i, (found, tree) in enumerate(read):
+        line = []
+        for own, parent, c in zip(tree.ids, tree.parents, tree.opened):
+            seen.setdefault(own, {})[i] = c
+            kinds[own] = ("path", None)
+            parents[own] = tree.ids[parent] if parent >= 0 else None
+            line.append(own)
+        for node, block in found:
+            own = tree.text_token(node, block)
+            line.append(own)
+            if node < 0 or not tree.article[node]:
+                seen.setdefault(own, {})
+                seen[own][i] = seen[own].get(i, 0) + 1
+                kinds[own] = ("text", tree.ids[node] if node >= 0 else None)
+        orders.append(line)
+    classes = {}
+    for own, where in seen.items():
+        if all(c == 1 for c in where.values()) and len(where) >= H.SUPPORT * len(pages) and len(pages) >= H.TEXT_PAGES:
+            classes.setdefault(frozenset(where), set()).add(own)
+    out = set()
+    for where, members in classes.items():
+        if len(members) >= H.SIZE and len({tuple(x for x in orders[i] if x in members) for i in where}) == 1:
+            for own in members:
+                kind, above = kinds[own]
+                while kind == "text" and above is not None and above not in members:
+                    above = parents[above]
+                if kind == "text" and above is not None:
+                    out.add(own)
+    return out
+
+
+def test_template_texts_equal_brute_force(spark):
+    import random
+
+    draw = random.Random(11)
+    for seed in range(6):
+        pages = []
+        for i in range(draw.randint(4, 12)):
+            parts = [f"<div class=p{j}>" + "".join(f"<p>{draw.choice(['a', 'b', 'c', 'd'])}{j}</p>" for _ in range(draw.randint(1, 2))) + "</div>" for j in range(5) if draw.random() < 0.85]
+            if draw.random() < 0.3:
+                draw.shuffle(parts)
+            pages.append("<body>" + "".join(parts) + f"<div class=story><p>{'long words ' * 9}{i}</p><p>tail</p></div></body>")
+        frame = spark.createDataFrame([(i, "http://a.com/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+        got = H.templates(frame).collect()
+        assert len(got) == 1 and set(got[0]["texts"]) == brute(pages)
