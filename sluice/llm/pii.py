@@ -10,8 +10,9 @@ are, or SUPPORT documents, or both documents of an entity that has two. `sanitis
 for each span, such as [EMAIL] or [TERM].
 
 Patterns use possessive repetition, so long runs neither overflow the stack nor are tried again from
-each place. Entities of the same documents are scored as one. Null text is empty; repeated rows give a row each. An
-empty table gives no rows. `sanitised` keeps other columns, `found` ignores them.
+each place. Entities of the same documents are scored as one. Null text is empty; texts of any length are read whole; repeated rows
+give a row each, with or without doc_id, and change no count. Spans that start together stand in the order of the kinds, terms
+last. An empty table gives no rows. `sanitised` keeps other columns, whatever their names, `found` ignores them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
+from sluice.llm.common import durable, free, keys
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -144,7 +145,8 @@ def _members(texts: DataFrame) -> DataFrame:
     held = durable(texts.select("key", F.explode(entities).alias("entity")))
     classes = held.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 24)).alias("y"))
     classes = classes.select("entity", F.xxhash64("c_e", "x", "y").alias("class"), "c_e")
-    return durable(held.join(classes, "entity").select("key", "class", "c_e").distinct())
+    classes = keys(classes.withColumnRenamed("class", "own"), "entity", "own", "c_e")
+    return durable(free(held, "entity").join(classes, "entity").select("key", F.col("own").alias("class"), "c_e").distinct())
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def disclosing(documents: DataFrame, read: DataFrame, support: int = SUPPORT, di
     asked = near.groupBy("word").agg(F.max("top").alias("top")).join(common, "word", "left")
     asked = durable(asked.filter(F.col("c_t").isNull() | (F.log2("c_t") <= reach(F.col("top")))).select("word"))
     rare = counted(words.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "word", "left_semi"))
-    near = near.join(rare, "word").filter(F.log2("c_t") <= reach(F.col("top"))).select("key", "term", F.explode("beside").alias("beside"), "c_t")
+    near = free(near, "word").join(keys(rare, "word", "c_t"), "word").filter(F.log2("c_t") <= reach(F.col("top"))).select("key", "term", F.explode("beside").alias("beside"), "c_t")
     both = durable(near.join(members, "key").filter(F.log2("c_t") <= reach(F.col("c_e"))))
     counts = both.groupBy("class", "term").agg(F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"), F.count_distinct("key").alias("c_te"), F.count_distinct("beside").alias("support"))
     pmi = F.log2(F.col("c_te") * F.lit(total) / (F.col("c_t") * F.col("c_e")))
@@ -197,7 +199,9 @@ def _all_spans(documents: DataFrame, columns: list[Column | str], support: int,
     rows = rows.withColumn("base", base_spans(F.col("text")))
     if terms is None:
         return rows.withColumn("spans", F.col("base"))
-    rows = rows.join(terms.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "terms"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    terms = terms.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "terms")
+    terms = F.broadcast(terms) if terms.select(F.sum(F.size("terms"))).first()[0] <= BROADCAST else terms
+    rows = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     pattern = F.concat(F.lit(rf"(?iu)(?<!{_LETTER})(?:"), F.array_join(F.transform("terms", lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|"), F.lit(rf")(?!{_LETTER})"))
     base = F.col("base")
     apart = F.filter(_placed(F.col("text"), pattern, len(KINDS), "term"), lambda x: ~F.exists(base, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))

@@ -79,3 +79,65 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: {rows[r["doc_id"]][a:b] for a, b in ((int(m[1]), int(m[2])) for m in re.finditer(r"term:(\d+):(\d+)", r["spans"]))} for r in pii.found(frame).collect()}
     assert {i: t for i, t in got.items() if t} == {0: {"Quill"}, 1: {"Borage"}, 2: {"Borage"}}
+
+
+def brute_terms(texts):
+    """Terms to sanitise for each text, by the definition."""
+    import math
+
+    import regex
+
+    distinct = sorted({t or "" for t in texts})
+    n = len(distinct)
+    held, around, words = {}, {}, {}
+    for t in distinct:
+        spans = [(k, m[0]) for k, p in KINDS.items() for m in re.finditer(p, t) if passes(k, m[0])]
+        words[t] = set(regex.split(r"[^\p{L}\p{N}]+", t.lower()))
+        outside = t
+        for p in pii.PATTERNS.values():
+            outside = regex.sub(p, " \x01 ", outside)
+        if spans:
+            held[t] = set(spans)
+            line = regex.split(r"[^\p{L}\p{N}\x01]+", outside.lower())
+            for i, w in enumerate(line):
+                if len(w) >= 3 and regex.match(r"\p{L}", w):
+                    around.setdefault((t, w), set()).add((line[i - 1] if i else None, line[i + 1] if i + 1 < len(line) else None))
+    c_t = lambda w: sum(w in x for x in words.values())
+    out = {t: set() for t in distinct}
+    for entity in {e for x in held.values() for e in x}:
+        own = [t for t in held if entity in held[t]]
+        for w in {w for t, w in around if t in own}:
+            with_it = [t for t in own if (t, w) in around]
+            support = len(set().union(*(around[t, w] for t in with_it)))
+            pmi = math.log2(len(with_it) * n / (c_t(w) * len(own)))
+            enough = support >= pii.SUPPORT or len(own) > 1 and len(with_it) >= min(pii.SUPPORT, len(own))
+            if enough and pmi > 0 and pmi >= pii.DISCLOSURE * math.log2(n / len(own)) - 1e-12:
+                for t in with_it:
+                    out[t].add(w)
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_terms_equal_brute_force(spark, times):
+    import regex
+
+    draw = random.Random(9)
+    names, plain = [f"name{i}" for i in range(12)], [f"plain{i}" for i in range(30)]
+    rows = [None, ""]
+    for i in range(150):
+        line = draw.choices(plain, k=draw.randint(3, 12))
+        if i % 2:
+            who = draw.randrange(12)
+            line += [f"m{who}@x.org", names[who], *(names[who] for _ in range(draw.randint(0, 2))), *draw.choices(names, k=draw.random() < 0.2)]
+            line += ["+1 555 123 45%02d" % who] * (draw.random() < 0.3)
+        draw.shuffle(line)
+        rows.append(" ".join(line))
+    want = brute_terms(rows)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] * times, "doc_id long, text string")
+    got = pii.found(frame).collect()
+    assert len(got) == times * len(rows) and sum(map(bool, want.values())) > 20
+    for r in got:
+        text = rows[r["doc_id"]] or ""
+        base = [(int(a), int(b)) for a, b in re.findall(r"(?:email|ip|card|phone):(\d+):(\d+)", r["spans"])]
+        places = [m.span() for w in want[text] for m in regex.finditer(rf"(?i)(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])", text)]
+        assert sorted((int(a), int(b)) for a, b in re.findall(r"term:(\d+):(\d+)", r["spans"])) == sorted(x for x in places if not any(x[0] < b and a < x[1] for a, b in base)), text
