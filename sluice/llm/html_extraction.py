@@ -51,7 +51,6 @@ HINTS = re.compile(
 NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _NAME = re.compile("[a-z][a-z0-9:-]*")
 
 
@@ -96,7 +95,7 @@ class Tree:
 def read_page(text: str | None) -> tuple[list[tuple[int, str]], Tree]:
     """Blocks outside boilerplate, as (container or -1, text), and the containers."""
     text = text or ""
-    lower = text.lower() if text.isascii() else text.translate(_LOWER)  # of one length with the text
+    lower = text.encode().lower().decode()  # ASCII letters only, so of one length with the text
     found, tree = [], Tree()
     at, n = 0, len(text)
     stack: list[tuple[str, int, bool]] = []  # tag, container, dropped
