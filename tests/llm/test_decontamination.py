@@ -38,8 +38,9 @@ def corpus():
     return items, rows
 
 
-@pytest.mark.parametrize("block,segment", [(D.BLOCK, D.SEGMENT), (200, 64)])
-def test_search_equals_brute_force(block, segment):
+@pytest.mark.parametrize("block,segment,entries", [(D.BLOCK, D.SEGMENT, D.ENTRIES), (200, 64, 50)])
+def test_search_equals_brute_force(block, segment, entries, monkeypatch):
+    monkeypatch.setattr(D, "ENTRIES", entries)
     items, rows = corpus()
     want = {}
     for key, text in rows:
@@ -53,7 +54,7 @@ def test_search_equals_brute_force(block, segment):
                 if f" {own} " in f" {text} ":
                     want[key].add(item)
                 continue
-            bench = D.Benchmark([item], D.pieces(own), [], D.Q, D.EDITS)
+            bench = D.Benchmark([[item] for _ in D.pieces(own)], D.pieces(own), [], D.Q, D.EDITS)
             if any(least_edits(x, text) <= k for x, k in zip(bench.texts, bench.budget)):
                 want[key].add(item)
     got = {key: set() for key, _ in rows}
@@ -61,7 +62,7 @@ def test_search_equals_brute_force(block, segment):
     step = 25 if block == D.BLOCK else 4
     for a in range(0, len(known), step):
         own = known[a : a + step]
-        bench = D.Benchmark([i for i, x in own if len(D.plain(x)) >= D.Q for _ in D.pieces(D.plain(x))], [p for _, x in own if len(D.plain(x)) >= D.Q for p in D.pieces(D.plain(x))], [(i, D.plain(x)) for i, x in own if 0 < len(D.plain(x)) < D.Q], D.Q, D.EDITS)
+        bench = D.Benchmark([[i] for i, x in own if len(D.plain(x)) >= D.Q for _ in D.pieces(D.plain(x))], [p for _, x in own if len(D.plain(x)) >= D.Q for p in D.pieces(D.plain(x))], [(i, D.plain(x)) for i, x in own if 0 < len(D.plain(x)) < D.Q], D.Q, D.EDITS)
         for (key, _), found in zip(rows, bench.search([D.plain(x) for _, x in rows], segment)):
             got[key] |= found
     assert got == want and sum(map(bool, want.values())) > 30
@@ -73,9 +74,37 @@ def test_tables(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = D.contaminated(documents, benchmark).collect()
     few = list(D.benchmarks(benchmark, D.Q, D.EDITS, 300))
-    assert len(few) > 3 and sum(len(set(x.items)) + len(x.short) for x in few) == 27
+    assert len(few) > 3 and sum(len({i for y in x.items for i in y}) + len(x.short) for x in few) == 27
     kept = D.clean(documents, benchmark)
     assert kept.columns == documents.columns and kept.count() + len(found) == len(rows) + 1
     assert sorted(r["doc_id"] for r in found if r["items"] == "52") == [2, 2]
     assert D.contaminated(documents, benchmark.limit(0)).count() == 0 and D.contaminated(documents.limit(0), benchmark).count() == 0
-    assert D.leaks(documents.select("doc_id", "text"), benchmark, block=300).filter("size(items) > 0").count() == len(found)
+    assert sorted(D.contaminated(documents, benchmark, block=300).collect()) == sorted(found)
+    assert sorted(r["doc_id"] for r in D.clean(documents, benchmark, block=300).collect()) == sorted(r["doc_id"] for r in kept.collect())
+
+
+def test_every_excerpt_of_the_stated_length_is_found():
+    draw = random.Random(6)
+    item = " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(60))
+    other = " ".join("".join(draw.choice("klmnop") for _ in range(5)) for _ in range(60))
+    bench = D.Benchmark([[7] for _ in D.pieces(item)], D.pieces(item), [], D.Q, D.EDITS)
+    n = D.PIECE + D.STEP
+    texts = [f"{other} {item[a : a + n]}{other}" for a in range(len(item) - n + 1)]
+    assert all(x == {7} for x in bench.search(texts)) and bench.search([other, item[:30] + other]) == [set(), set()]
+
+
+def test_a_phrase_that_many_items_share_costs_little():
+    import time
+    import tracemalloc
+
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    phrase = "what is the meaning of a"
+    items = [f"{word()} {word()} {phrase} {word()} {word()} {word()}" for _ in range(2000)]
+    bench = D.Benchmark([[i] for i in range(len(items))], items, [], D.Q, D.EDITS)
+    text = " ".join(f"{phrase} {word()} {word()}" for _ in range(400)) + " " + items[77]
+    began = time.time()
+    tracemalloc.start()
+    assert bench.search([text]) == [{77}]
+    assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
