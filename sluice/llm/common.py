@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,20 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="shared")
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session has one of its own where that is unset."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="shared")
+    return _LOCAL[context.applicationId]
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

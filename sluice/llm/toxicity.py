@@ -2,16 +2,17 @@
 
 Fit: log odds of words with an informative Dirichlet prior between toxic and clean labelled texts; words
 whose log odds stand out by Z standard errors form the lexicon, all others share one small
-negative score. Near copies among the labelled texts count once. Search: a linear scan finds all
+negative score. Near copies among the labelled texts, told by two minima over hashes of their word pairs, count once. Search: a linear scan finds all
 maximal segments of a text. Calibration: lambda and K of the extreme-value law on clean text turn a
 segment's score into the number of such segments that chance would bring (E), and a
 logistic curve over the best and the summed significant evidence, fitted on a fold that the lexicon has
 not seen, gives the probability.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id; the lexicon has
-at most LEXICON words, so both can be broadcast. Null and empty texts score as texts without a
-lexicon word. Labels without a text, and null labels, are left out of the fit; without usable
-labels every score is 0. Repeated rows are scored each. Other columns are ignored.
+The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id, ties by doc_id; the lexicon comes of these
+rows' words alone, so its size has their bound and it can be broadcast. Null and empty texts score as texts without a
+lexicon word; texts of any length are read whole. Labels without a text, and null labels, are left out of the fit; without
+usable labels every score is 0, and without documents there are no rows. Repeated rows are scored each; a row without doc_id is
+scored and not held out. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import blocks, durable, mix
 
 SAMPLE = 40_000
-LEXICON = 20_000
 #: Standard errors by which log odds must differ from zero, and texts that must hold the word.
 Z, LEAST_TEXTS = 3.0, 3
 #: The prior: counts seen before, shared out by frequency, and besides for each word.
@@ -128,7 +129,7 @@ def distinct_words(rows: DataFrame) -> DataFrame:
             for text, toxic, part in zip(*(batch.column(x).to_pylist() for x in ("text", "toxic", "fold"))):
                 words = tokens(text)
                 own = list(dict.fromkeys(words))
-                h = np.array([int.from_bytes(w[:24].ljust(8, b"\0")[-8:], "little") ^ len(w) for w in words] or [0], dtype=np.uint64)
+                h = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], dtype=np.uint64)
                 pairs = mix(mix(h[:-1]) * np.uint64(3) + mix(h[1:])) if len(h) > 1 else mix(h)
                 out.append((int(pairs.min() >> np.uint64(1)), int(mix(pairs ^ np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(1)), toxic, part, own))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
@@ -138,7 +139,7 @@ def distinct_words(rows: DataFrame) -> DataFrame:
     return found.groupBy("m1", "m2", "toxic").agg(F.min(F.struct("fold", "words")).alias("x")).select("toxic", "x.*")
 
 
-def log_odds(rows: DataFrame, z: float = Z, lexicon: int = LEXICON, prior: float = PRIOR) -> Model:
+def log_odds(rows: DataFrame, z: float = Z, prior: float = PRIOR) -> Model:
     """Lexicon and background out of the words of labelled texts (toxic, words)."""
     counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     counts = durable(counts)
@@ -149,7 +150,7 @@ def log_odds(rows: DataFrame, z: float = Z, lexicon: int = LEXICON, prior: float
     y1, y0 = F.col("t") + share, F.col("c") + share
     delta = F.log(y1 / (t + prior - y1)) - F.log(y0 / (c + prior - y0))
     scored = counts.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / y1 + 1 / y0))
-    kept = scored.filter((F.col("t") >= LEAST_TEXTS) & (F.col("z") >= z)).orderBy(F.desc("z"), "word").limit(lexicon).collect()
+    kept = scored.filter((F.col("t") >= LEAST_TEXTS) & (F.col("z") >= z)).orderBy(F.desc("z"), "word").collect()  # of at most SAMPLE texts
     model = Model({bytes(r["word"]): float(r["delta"]) for r in kept})
     p1 = min(0.5, sum(r["t"] for r in kept) / (t + prior))
     clean = {bytes(r["word"]): (r["c"] + FLOOR + prior * (r["t"] + r["c"]) / (t + c)) / (c + prior) for r in kept}
@@ -228,4 +229,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     out = score(documents, fit(documents, labels, sample))
-    return out.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted", "n_passages", "best")
+    return out.select("doc_id", F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted", "n_passages", "best")
