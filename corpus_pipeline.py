@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import shared_folder, table
+from sluice.llm.common import dropped, shared_folder, table
 from sluice.llm.decontamination import clean
 from sluice.llm.near_dedup import one_of_each
 from sluice.llm.packing import pack_documents
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages, each written and read again; what a stage no longer needs is deleted."""
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            dropped(spark, f"{folder}/{last}")
+        last = name
     return docs
