@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is searched whole, or as overlapping pieces where it is longer than PIECE + STEP characters, so that each
-of its passages of that many characters holds a whole piece. A stretch of text within k edits of a piece of m characters
+A benchmark item is searched whole, or as overlapping pieces where it is longer than a piece and a stride, so that each of its
+passages of that many characters (80 on the finer of two scales) holds a whole piece. A stretch of text within k edits of a piece of m characters
 shares at least m + 1 - q (k + 1) character q-grams with it on k + 1 neighbouring diagonals. Of a piece's q-grams the
 rarest ones are looked up, so many that such a stretch shares PROBED of them at least; they are counted in bands of 2 (k + 1)
 diagonals that overlap by half. In bands with PROBED of them all q-grams are counted, and bands that reach the bound
@@ -30,7 +30,8 @@ from sluice.llm.common import blocks, by_content, durable, mix, powers
 Q = 10
 #: Edits allowed for each character of a piece.
 EDITS = 0.06
-PIECE, STEP = 64, 16
+#: Lengths of pieces and strides: long ones allow more edits, short ones find short passages.
+SCALES = ((100, 50), (64, 16))
 #: Rare q-grams that a band must share before all are counted; fewer where the lemma's bound is lower.
 PROBED = 4
 #: Characters of benchmark in one broadcast, and of text looked at together.
@@ -59,11 +60,14 @@ def gram_hashes(letters: np.ndarray, q: int, up: np.ndarray, down: np.ndarray) -
     return mix((sums[q:] - sums[: n + 1 - q]) * down[: n + 1 - q])
 
 
-def pieces(text: str, piece: int = PIECE, step: int = STEP) -> list[str]:
-    if len(text) <= piece + step:
-        return [text] if text else []
-    starts = list(range(0, len(text) - piece, step)) + [len(text) - piece]
-    return [text[a : a + piece] for a in starts]
+def pieces(text: str, scales: tuple[tuple[int, int], ...] = SCALES) -> list[str]:
+    """The text where it is no longer than piece + step, else pieces at the stride and one at its end, on each scale, each once."""
+    found: dict[str, None] = {}
+    for piece, step in scales:
+        whole = len(text) <= piece + step
+        for a in [0] if whole else [*range(0, len(text) - piece, step), len(text) - piece]:
+            found[text if whole else text[a : a + piece]] = None
+    return [x for x in found if x]
 
 
 def alignment(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int:

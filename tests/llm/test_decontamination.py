@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,12 +9,12 @@ from sluice.llm import decontamination as D
 
 
 def least_edits(pattern, text):
-    now = [0] * (len(text) + 1)
+    letters, steps = np.array([ord(x) for x in text]), np.arange(len(text) + 1)
+    now = np.zeros(len(text) + 1, int)
     for i, x in enumerate(pattern, 1):
-        last, now = now, [i]
-        for j, y in enumerate(text, 1):
-            now.append(min(last[j - 1] + (x != y), last[j] + 1, now[-1] + 1))
-    return min(now)
+        now = np.concatenate([[i], np.minimum(now[:-1] + (letters != ord(x)), now[1:] + 1)])
+        now = np.minimum.accumulate(now - steps) + steps
+    return int(now.min())
 
 
 @settings(max_examples=300, deadline=None)
@@ -88,7 +89,8 @@ def test_every_excerpt_of_the_stated_length_is_found():
     item = " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(60))
     other = " ".join("".join(draw.choice("klmnop") for _ in range(5)) for _ in range(60))
     bench = D.Benchmark([[7] for _ in D.pieces(item)], D.pieces(item), [], D.Q, D.EDITS)
-    n = D.PIECE + D.STEP
+    n = sum(D.SCALES[-1])
+    assert n == 80
     texts = [f"{other} {item[a : a + n]}{other}" for a in range(len(item) - n + 1)]
     assert all(x == {7} for x in bench.search(texts)) and bench.search([other, item[:30] + other]) == [set(), set()]
 
