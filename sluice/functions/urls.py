@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sluice.functions.text import blank_to_null, col, plain_tags, trim_ws
+from sluice.functions.text import blank_to_null, col, first_match, plain_tags, trim_ws
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 #: Ports that a serialised URL leaves out.
@@ -111,8 +111,8 @@ def path_of(c: Column | str) -> Column:
 
 
 def query_param(c: Column | str, name: str) -> Column:
-    """Decoded value of a query parameter, else null."""
-    return F.try_url_decode(F.try_parse_url(col(c), F.lit("QUERY"), F.lit(name)))
+    """Decoded value of the first query parameter of that name, null where there is none or it is empty."""
+    return F.try_url_decode(first_match(rf"^[^?#]*\?(?:[^#]*?&)??{name}=([^&#]*)", c))
 
 
 def first_segment_in(c: Column | str, names: tuple[str, ...]) -> Column:

@@ -381,5 +381,43 @@ def settings_merge(spark, sf_dir):
     return views.configured(sites, views.overrides(settings)).select("id", "configured_url")
 
 
+@query(f"{_BATCH} SELECT count(*)::BIGINT AS parsed_count, count(*) FILTER (l.id IS NULL AND i.id IS NULL)::BIGINT AS stored_count, count(*) FILTER (l.id IS NOT NULL OR i.id IS NOT NULL)::BIGINT AS skipped_count, CASE WHEN count(*) FILTER (l.id IS NULL AND i.id IS NULL) > 0 THEN 'success' ELSE 'partial' END AS status, CASE WHEN count(*) FILTER (l.id IS NULL AND i.id IS NULL) = 0 THEN 'NO_ITEMS' END AS error_code FROM batch b LEFT JOIN log l ON l.id = b.id LEFT JOIN items i ON i.id = b.id")
+def batch_summary(spark, sf_dir):
+    from sluice.operators.state import run_summary
+
+    batch, items, log = _state(spark, sf_dir)
+    return run_summary(decide(batch, items, log), batch.count())
+
+
+@query(f"{_BATCH} SELECT id, site_id, t0 AS crawled_at FROM items WHERE id NOT IN (SELECT id FROM batch WHERE id LIKE '%3')")
+def deleted_items(spark, sf_dir):
+    from sluice.operators.state import deleted
+
+    batch, items, _ = _state(spark, sf_dir)
+    return deleted(items, batch.filter(F.col("id").endswith("3")))
+
+
+@query("SELECT event_id AS run_id, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN user_id % 3 > 0 THEN 'success' ELSE 'partial' END AS status, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'PARSE_FAILED' ELSE 'UNKNOWN' END WHEN user_id % 3 = 0 THEN 'NO_ITEMS' END AS error_code FROM events")
+def run_states(spark, sf_dir):
+    code = F.when(F.col("event_id") % 2 == 0, "PARSE_FAILED")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), *run_status(F.col("user_id") % 3, F.col("event_id") % 5 == 0, code))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN '[1]' WHEN page_id % 5 <> 4 THEN html END AS input, CASE WHEN page_id % 5 = 4 THEN 'CONTENT_SCRIPT_UNAVAILABLE' END AS source_error FROM pages""")
+def page_inputs(spark, sf_dir):
+    """Pages whose html comes from the fallback, is missing, or gives way to an API body."""
+    from sluice.sources.store import page_source, parser_input
+
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(k % 5 < 2, F.col("html")).alias("html"), F.when(k % 5 != 4, F.col("html")).alias("fallback_html"), F.when(k % 2 == 0, " [1]\n").otherwise("<p>").alias("api_payload"), F.when(k % 3 == 0, "api").otherwise("html").alias("parser_id"))
+    return parser_input(page_source(pages), ("api",)).select("page_id", "input", "source_error")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS target FROM pages")
+def link_targets(spark, sf_dir):
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), "url", F.lit("\n"))).when(F.col("page_id") % 3 == 1, "javascript:void(0)").otherwise("/path")
+    return table(spark, sf_dir, "pages").select("page_id", urls.http_target(raw).alias("target"))
+
+
 QUERIES |= listings.QUERIES
 ORACLES |= listings.ORACLES

@@ -64,14 +64,14 @@ def _numbered(order: str, **more: str) -> str:
 @query(_rows("name || ' & ' || brand", "site || '/list/item?id=' || k", snippet="name || ' & ' || brand"))
 def titleline_rows(spark, sf_dir):
     card = """<tr class='athing' id='{k}'><td>{n}.</td><td><span class="titleline"><a href="item?id={k}">{name} &amp; <b>{brand}</b></a></span></td></tr><tr class="athing"><td><span class="titleline">\n<a href="item?id={k}">{name}  &amp; {brand} </a></span></td></tr>"""
-    return extract.titleline_rows(listing(spark, sf_dir, card)).withColumn("pos", F.floor(F.col("pos") / 2).cast("int"))
+    return extract.extract("titleline_rows", listing(spark, sf_dir, card)).withColumn("pos", F.floor(F.col("pos") / 2).cast("int"))
 
 
 @query(_rows("name", "site || '/u/' || k", where="page_id % 2 = 0", snippet="name") + " UNION ALL " + _rows("name || ' h'", "site || '/h/' || k", where="page_id % 2 = 1", snippet="name || ' h'"))
 def article_links(spark, sf_dir):
     heading = filled('<h2 class="t"><i></i><a class="c" href="/h/{k}">{name} h</a></h2>')
     both = F.when(F.col("page_id") % 2 == 0, F.concat(filled('<a id="article-link-{k}" class="c" href="/u/{k}"> {name}\n</a>'), heading)).otherwise(heading)
-    return extract.article_links(listing(spark, sf_dir, both))
+    return extract.extract("article_links", listing(spark, sf_dir, both))
 
 
 @query(_rows("CASE WHEN k % 3 = 0 THEN name || ' <' ELSE brand END", "site || '/video/' || k || '/'", where="k % 5 <> 4", image="CASE WHEN k % 2 = 0 THEN site || '/list/i/' || k || '.jpg' ELSE 'https://img.example/' || k || '.jpg' END"))
@@ -80,14 +80,14 @@ def thumb_cards(spark, sf_dir):
     href = F.when(F.col("k") % 5 == 4, filled("/album/{k}/")).otherwise(filled("/video/{k}/"))
     image = F.when(F.col("k") % 2 == 0, filled('<img src="data:image/gif" data-original="i/{k}.jpg">')).otherwise(filled('<img data-original="data:x"><img src="https://img.example/{k}.jpg">'))
     card = F.concat(F.lit('<div class="thumb thumb_rel item  "><a href="'), href, F.lit('"'), title, F.lit(">"), image, filled('<div class="title">{brand}</div></a></div>'))
-    return extract.thumb_cards(listing(spark, sf_dir, card))
+    return extract.extract("thumb_cards", listing(spark, sf_dir, card))
 
 
 @query(_rows("name", "CASE WHEN k % 4 = 0 THEN site || '/v/p' || k ELSE site || '/v/' || k END", where="k % 6 <> 5", image="site || '/i/' || k"))
 def poster_cards(spark, sf_dir):
     href = F.when(F.col("k") % 6 == 5, filled("/w/{k}")).when(F.col("k") % 4 == 0, F.lit("  ")).otherwise(filled(" /v/{k} "))
     card = F.concat(filled('<div class="item"><div><a href="/v/p{k}" class="poster"><img alt="" src=" /i/{k} "></a></div><div><a href="'), href, filled('" class="title"><b>{name}</b></a></div></div>'))
-    return extract.poster_cards(listing(spark, sf_dir, card))
+    return extract.extract("poster_cards", listing(spark, sf_dir, card))
 
 
 @query(_numbered("CASE WHEN summary LIKE '일간%' THEN 0 ELSE 1 END, k", title="name || ' +' || size", url="site || '/p?a=1&b=' || k", where="i % 3 <> 2", summary="CASE WHEN i % 3 = 0 THEN '일간 베스트 · 댓글 +' ELSE '주간 베스트 · 댓글 +' END || size").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, k", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (k) REPLACE", 1))
@@ -95,7 +95,7 @@ def sectioned_list(spark, sf_dir):
     row = filled('<li class="post-row"><i></i><a href="/p?a=1&amp;b={k}">+{n} {name}<span class="count ">+{size}</span></a></li>')
     section = lambda r, label: F.concat(F.lit(f'<div class="board-hot-title"><b>{label}</b></div> <div class="miso-post-list"><p></p><ul class="post-list">'), F.array_join(F.transform(F.filter("rows", lambda x: x["i"] % 3 == r), lambda x: x["c"]), ""), F.lit("</ul></div>"))
     pages = listing(spark, sf_dir, "{k}").select("page_id", "url").join(parts(spark, sf_dir).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("i", row.alias("c")))).alias("rows")), "page_id")
-    return extract.sectioned_list(pages.select("page_id", "url", F.concat(section(0, "오늘의 베스트"), section(2, "다른 글"), section(1, "주간 베스트")).alias("html")))
+    return extract.extract("sectioned_list", pages.select("page_id", "url", F.concat(section(0, "오늘의 베스트"), section(2, "다른 글"), section(1, "주간 베스트")).alias("html")))
 
 
 @query(_rows("name", "site || '/t/' || k", where="k % 7 <> 6", summary="n || '위' || CASE WHEN k % 2 = 0 THEN ' · 12.' || size ELSE '' END"))
@@ -103,7 +103,7 @@ def ranked_rows(spark, sf_dir):
     date = F.when(F.col("k") % 2 == 0, filled("<li> 12.{size} </li>")).otherwise(filled("<li><i>{size}</i></li>"))
     href = F.when(F.col("k") % 7 == 6, F.lit(" ")).otherwise(filled("/t/{k}"))
     card = F.concat(filled('<ul class="td ufl"><li>{n}</li><li><b>x</b></li><li class="tit a"> <a href="'), href, filled('">{name}</a> </li>'), date, F.lit("</ul>"))
-    return extract.ranked_rows(listing(spark, sf_dir, card))
+    return extract.extract("ranked_rows", listing(spark, sf_dir, card))
 
 
 _STATUS = "'https://x.com/i/status/' || (1000 + k)"
@@ -118,7 +118,7 @@ def ranked_anchors(spark, sf_dir):
     post = F.concat(F.lit('<a href="https://x.com/user/status/'), (F.col("k") + 1000).cast("string"), F.lit('?s=20">post</a>'))
     video = filled('<a class="v" href="https://video.twimg.com/amplify_video/{k}/vid/a.mp4?tag=14"> 動画URL </a>')
     card = F.concat(filled('<img src="/img/rank{n}.png"> '), rank, F.lit("위\r\n"), image, post, video, F.when(F.col("k") % 4 == 0, video).otherwise(F.lit("")))
-    return extract.ranked_anchors(listing(spark, sf_dir, card, head='<img src="rank.png">'))
+    return extract.extract("ranked_anchors", listing(spark, sf_dir, card, head='<img src="rank.png">'))
 
 
 @query(_numbered("n", title="n || '위 - ' || CASE WHEN k % 3 = 0 THEN " + _STATUS + " ELSE name END", url=_VIDEO, where="k % 5 <> 4", key="'xranking:video-id:' || k", image=_POSTER, summary=_STATUS, snippet="CASE WHEN k % 2 = 0 THEN '조회수 ' || size END").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, n", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (n) REPLACE", 1))
@@ -130,11 +130,10 @@ def ranked_articles(spark, sf_dir):
     post = F.concat(F.lit('<a href="https://x.com/i/status/'), (F.col("k") + 1000).cast("string"), F.lit('?a=1&amp;b=2">'), label, F.lit("</a>"))
     views = F.when(F.col("k") % 2 == 0, filled('<i class="lucide-eye"></i><span> {size} </span>')).otherwise(filled('<i class="lucide-eye"></i><span>1,{size}</span>'))
     end = F.lit("</article>")
-    return extract.ranked_articles(listing(spark, sf_dir, F.concat(other, video, post, views, end, badge, video, post, views, end)))
+    return extract.extract("ranked_articles", listing(spark, sf_dir, F.concat(other, video, post, views, end, badge, video, post, views, end)))
 
 
-@query(_numbered("n", title="n || '위 - ' || CASE k % 3 WHEN 0 THEN name WHEN 1 THEN brand || '님의 동영상' ELSE " + _STATUS + " END", url=_VIDEO, where="k % 5 <> 4", key="'nimi:video-id:' || CASE WHEN k % 2 = 0 THEN 'v' ELSE '' END || k", image=_POSTER, summary=_STATUS, snippet="CASE WHEN k % 4 <> 0 THEN '조회수 ' || size END").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, n", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (n) REPLACE", 1))
-def json_ranking(spark, sf_dir):
+def _api_pages(spark, sf_dir):
     ident = F.when(F.col("k") % 2 == 0, filled('"video_id":" v{k} ","id":7')).otherwise(filled('"video_id":null,"id":{k}'))
     title = F.when(F.col("k") % 3 == 0, filled('"title":"<b>{name}</b>"')).otherwise(F.lit('"title":" "'))
     uploader = F.when(F.col("k") % 3 == 1, filled('{"display_name":"{brand}"}'.replace('{"', "\x01").replace('"}', "\x02"))).otherwise(F.lit("null"))
@@ -145,21 +144,29 @@ def json_ranking(spark, sf_dir):
     thumb = filled('"ranking":"{n}x","thumbnail_url":" https://pbs.twimg.com/amplify_video_thumb/{k}/img/a.jpg"')
     comma = F.lit(",")
     card = F.concat(F.lit("{"), ident, comma, title, comma, direct, comma, thumb, comma, views, comma, posts, F.lit("}"))
-    return extract.json_ranking(listing(spark, sf_dir, card, head=' {"success":true,"data":[', tail="]}", between=",", payload=True))
+    return listing(spark, sf_dir, card, head=' {"success":true,"data":[', tail="]}", between=",", payload=True)
 
 
-@query(_numbered("n", title="n || '위 - ' || CASE WHEN k % 3 = 0 THEN name ELSE " + _STATUS + " END", url="CASE WHEN page_id % 2 = 0 THEN 'https://video.twimg.com/amplify_video/' || k || '/vid/a.mp4' ELSE " + _POSTER + " END", key="'nimi:' || CASE WHEN page_id % 2 = 0 THEN 'video' ELSE 'preview' END || '-id:' || k", image=_POSTER, summary=_STATUS, snippet="CASE k % 3 WHEN 0 THEN '조회수 1' || size WHEN 1 THEN '조회수 ' || size END").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, n", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (n) REPLACE", 1))
-def image_chunk_ranking(spark, sf_dir):
+@query(_numbered("n", title="n || '위 - ' || CASE k % 3 WHEN 0 THEN name WHEN 1 THEN brand || '님의 동영상' ELSE " + _STATUS + " END", url=_VIDEO, where="k % 5 <> 4", key="'nimi:video-id:' || CASE WHEN k % 2 = 0 THEN 'v' ELSE '' END || k", image=_POSTER, summary=_STATUS, snippet="CASE WHEN k % 4 <> 0 THEN '조회수 ' || size END").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, n", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (n) REPLACE", 1))
+def json_ranking(spark, sf_dir):
+    return extract.extract("json_ranking", _api_pages(spark, sf_dir))
+
+
+def _image_pages(spark, sf_dir):
     post = F.concat(filled("<div>x</div><div>{n}위</div>"), F.lit('<a href="https://x.com/i/status/'), (F.col("k") + 1000).cast("string"), F.lit('">'))
     alt = F.when(F.col("k") % 3 == 0, filled("{name}")).otherwise(F.lit(""))
     image = F.concat(filled('<img class="c" src="https://pbs.twimg.com/amplify_video_thumb/{k}/img/a.jpg" alt="'), alt, F.lit('"></a>'))
     video = F.when(F.col("page_id") % 2 == 0, filled('<script>"https://video.twimg.com/amplify_video/{k}/vid/a.mp4\\"</script>')).otherwise(F.lit(""))
     views = F.when(F.col("k") % 3 == 0, filled("<p>조회수 1,{size}</p>")).when(F.col("k") % 3 == 1, filled('<i class="lucide-eye"></i><span class="x"> {size} </span>')).otherwise(F.lit("<p></p>"))
-    return extract.image_chunk_ranking(listing(spark, sf_dir, F.concat(post, image, video, views)))
+    return listing(spark, sf_dir, F.concat(post, image, video, views))
 
 
-@query(_rows("name || ' \\\"' || brand", "site || '/s/pornvideo/a' || k || '?mode=hot'", image="'https://img.example/' || k || '.jpg'"))
-def packed_payload(spark, sf_dir):
+@query(_numbered("n", title="n || '위 - ' || CASE WHEN k % 3 = 0 THEN name ELSE " + _STATUS + " END", url="CASE WHEN page_id % 2 = 0 THEN 'https://video.twimg.com/amplify_video/' || k || '/vid/a.mp4' ELSE " + _POSTER + " END", key="'nimi:' || CASE WHEN page_id % 2 = 0 THEN 'video' ELSE 'preview' END || '-id:' || k", image=_POSTER, summary=_STATUS, snippet="CASE k % 3 WHEN 0 THEN '조회수 1' || size WHEN 1 THEN '조회수 ' || size END").replace("NULL::DOUBLE AS price", "NULL::DOUBLE AS price, n", 1).replace("SELECT * REPLACE", "SELECT * EXCLUDE (n) REPLACE", 1))
+def image_chunk_ranking(spark, sf_dir):
+    return extract.extract("image_chunk_ranking", _image_pages(spark, sf_dir))
+
+
+def _packed_pages(spark, sf_dir):
     record = '~"id":~"__t":"u","v":"a{k}"^,"title":"{name} \\"{brand}","x":1,"preview":"https://img.example/{k}.jpg"^'
     double = F.replace(F.replace(filled(record), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     single = F.replace(F.replace(filled(record), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
@@ -168,12 +175,37 @@ def packed_payload(spark, sf_dir):
     split = F.concat(wrap("'", F.substring(single, F.lit(1), half - F.when(F.substring(single, half, F.lit(1)) == "\\", 1).otherwise(0))), wrap("'", F.substring(single, half + 1 - F.when(F.substring(single, half, F.lit(1)) == "\\", 1).otherwise(0), F.lit(10_000))))
     card = F.when(F.col("k") % 2 == 0, wrap('"', double)).otherwise(split)
     card = F.translate(card, "~^", "{}")
-    return extract.packed_payload(listing(spark, sf_dir, card))
+    return listing(spark, sf_dir, card)
 
 
-@query(_rows("name || ' ' || k", "site || '/s/x/y' || k || CASE WHEN k % 2 = 0 THEN '?mode=new' ELSE '?mode=hot' END", where="k % 5 <> 4", image="CASE WHEN k % 3 = 0 THEN site || '/i/' || k WHEN k % 3 = 1 THEN 'https://img.example/' || k ELSE site || '/late/' || k END"))
-def dom_anchor_cards(spark, sf_dir):
+@query(_rows("name || ' \\\"' || brand", "site || '/s/pornvideo/a' || k || '?mode=hot'", image="'https://img.example/' || k || '.jpg'"))
+def packed_payload(spark, sf_dir):
+    return extract.extract("packed_payload", _packed_pages(spark, sf_dir))
+
+
+def _anchor_pages(spark, sf_dir):
     mode = F.when(F.col("k") % 2 == 0, F.lit("&amp;mode=new")).otherwise(F.lit(""))
     href = F.when(F.col("k") % 5 == 4, filled("/t/x/y{k}")).otherwise(F.concat(filled("/s/x/y{k}/more?p=1"), mode))
     near = F.when(F.col("k") % 3 == 0, filled("<img src='/i/{k}' alt='other'>")).when(F.col("k") % 3 == 1, filled('<img src=https://img.example/{k} alt="">')).otherwise(filled('<img src="data:x">' + "<p>" * 1500 + '<img src="/late/{k}" alt="{name} {k}">'))
-    return extract.dom_anchor_cards(listing(spark, sf_dir, F.concat(filled('<a data-x="1" title="{name} {k}" href="'), href, F.lit('">'), near, F.lit("</a>"))))
+    return listing(spark, sf_dir, F.concat(filled('<a data-x="1" title="{name} {k}" href="'), href, F.lit('">'), near, F.lit("</a>")))
+
+
+@query(_rows("name || ' ' || k", "site || '/s/x/y' || k || CASE WHEN k % 2 = 0 THEN '?mode=new' ELSE '?mode=hot' END", where="k % 5 <> 4", image="CASE WHEN k % 3 = 0 THEN site || '/i/' || k WHEN k % 3 = 1 THEN 'https://img.example/' || k ELSE site || '/late/' || k END"))
+def dom_anchor_cards(spark, sf_dir):
+    return extract.extract("dom_anchor_cards", _anchor_pages(spark, sf_dir))
+
+
+def _half(odd: int, frame: DataFrame) -> DataFrame:
+    return frame.filter(F.col("page_id") % 2 == odd)
+
+
+@query(f"SELECT * FROM ({ORACLES['json_ranking']}) WHERE page_id % 2 = 0 UNION ALL SELECT * FROM ({ORACLES['image_chunk_ranking']}) WHERE page_id % 2 = 1")
+def api_or_images(spark, sf_dir):
+    broken = F.when(F.col("page_id") % 4 == 1, F.lit('{"data":5}')).otherwise(F.lit("nope"))
+    both = _half(0, _api_pages(spark, sf_dir)).unionByName(_half(1, _image_pages(spark, sf_dir)).withColumn("api_payload", broken))
+    return extract.extract("api_or_images", both)
+
+
+@query(f"SELECT * FROM ({ORACLES['packed_payload']}) WHERE page_id % 2 = 0 UNION ALL SELECT * FROM ({ORACLES['dom_anchor_cards']}) WHERE page_id % 2 = 1")
+def payload_or_anchors(spark, sf_dir):
+    return extract.extract("payload_or_anchors", _half(0, _packed_pages(spark, sf_dir)).unionByName(_half(1, _anchor_pages(spark, sf_dir))))
