@@ -296,21 +296,20 @@ class Linker:
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept, one row per document."""
-    out = grouped(documents, k, percent)
+    rows = grouped(documents, k, percent)
+    least = keys(rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least")), "c", "least")
+    out = free(rows, "c").join(least, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def grouped(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, h (hash of the text), n, c (null: alone) and component_id, one row per document."""
+    """doc_id, h (hash of the text), n and c (the group's number, null where a document is alone), one row per document."""
     linker = Linker(documents, k, percent)
     found = linker.classes().withColumnRenamed("node", "member")
     firsts = linker.firsts.select("f1", "f2", "n", "node", "copies")
     classes = firsts.join(found, F.col("node") == F.col("member"), "left").filter("copies > 1 OR component IS NOT NULL")
     classes = keys(classes.withColumn("c", F.coalesce("component", "node")), "f1", "f2", "n", "c")
-    rows = durable(free(linker.rows, "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "h", "n", "c"))
-    least = keys(rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least")), "c", "least")
-    out = free(rows, "c").join(least, "c", "left")
-    return out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    return durable(free(linker.rows, "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "h", "n", "c"))
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -319,7 +318,7 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Rows are told apart by doc_id and text, so different texts that share an id, or have none, are different documents; of
     repeated rows of the one that stays, one stays. Rows without doc_id stay only if their group has no other.
     """
-    rows = grouped(documents, k, percent).filter("c IS NOT NULL").select("doc_id", "h", "c")
+    rows = grouped(documents, k, percent).filter("c IS NOT NULL")
     rows = durable(rows.groupBy("c", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")))
     first = keys(rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("c", F.col("x.doc_id").alias("d"), F.col("x.h").alias("g")), "c", "d", "g")
     kept = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
@@ -328,5 +327,5 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     out = by_content(documents, gone, "left_anti")
     if twice.isEmpty():
         return out
-    once = by_content(documents, twice, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*documents.columns)
-    return by_content(out, twice, "left_anti").unionByName(once)
+    once = by_content(documents, twice, "left_semi").select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
+    return by_content(out, twice, "left_anti").unionByName(once.dropDuplicates(["_d", "_h"]).select("_row.*"))

@@ -2,8 +2,8 @@
 
 The heuristic labellers of quality_rules overlap; expectation-maximisation over the counts of their vote
 patterns, over all documents, estimates their accuracies and gives each document a posterior label. A
-linear scorer over hashed words, word shapes and repetitions is trained on the posteriors of at most SAMPLE documents, those
-with the smallest hash of doc_id, and scores every whole text. No labelled table is read.
+linear scorer over hashed words, word shapes and repetitions is trained on the posteriors of at most SAMPLE documents of
+at most LONGEST words, those with the smallest hash of doc_id, and scores every whole text. No labelled table is read.
 
 Null text is empty; a text without words has the score of the bias; texts of any length are scored whole. A score of just the
 threshold keeps. Repeated rows are scored each, rows without doc_id too, which are not trained on. An empty table gives no
@@ -23,6 +23,8 @@ from sluice.llm import quality_rules as rules
 from sluice.llm.common import Prefix, blocks, durable, text_bytes, words
 
 SAMPLE = 6_000
+#: Words of a text that is trained on at most, so that the sample is bounded in bytes too.
+LONGEST = 5_000
 BITS = 18
 EPOCHS, RATE, RIDGE = 12, 0.5, 1e-4
 KEEP_AT = 0.5
@@ -67,16 +69,16 @@ def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def posteriors(documents: DataFrame) -> DataFrame:
-    """doc_id and the posterior probability of good."""
+    """doc_id, n_words and the posterior probability of good."""
     names = list(rules.rules())
-    voted = durable(rules.votes(documents.select("doc_id", "text")).select("doc_id", *names))
+    voted = durable(rules.votes(documents.select("doc_id", "text")).select("doc_id", "n_words", *names))
     prior, ratios = rules.fit(rules.pattern_counts(voted, names), len(names))
-    return voted.select("doc_id", rules.posterior(names, prior, ratios).alias("label"))
+    return voted.select("doc_id", "n_words", rules.posterior(names, prior, ratios).alias("label"))
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias. At most `sample` documents' buckets reach the driver."""
-    chosen = posteriors(documents).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = posteriors(documents).filter(F.col("doc_id").isNotNull() & (F.col("n_words") <= LONGEST)).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

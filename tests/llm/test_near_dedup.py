@@ -96,7 +96,7 @@ def test_one_of_each_group_stays_and_nothing_else_goes(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(3, base, "x"), (5, base + " x", "x"), (5, "other text of its own", "x"), (7, "lonely words", None), (None, base + " y", "x")]
     rows += [(None, "no id but two copies " * 3, "x")] * 2 + [(8, "the same row twice here", "x")] * 2 + [(9, None, "x"), (9, "", "x")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, c string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _h string")
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in N.one_of_each(frame).collect())
     want = [(3, base), (5, "other text of its own"), (7, "lonely words"), (None, "no id but two copies " * 3), (8, "the same row twice here"), (9, None), (9, "")]
     assert got == sorted((str(a), str(b)) for a, b in want)
