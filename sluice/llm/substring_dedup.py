@@ -1,7 +1,7 @@
 """Repeated byte strings by prefix-free parsing.
 
-Parse: the trigger of a string of `length` bytes is its gram with the smallest rolling hash, and a phrase is the stretch
-that all neighbouring strings with one trigger cover. So phrases overlap, each string lies whole in exactly one of them, and
+Parse: the trigger of a string of `length` bytes is its gram with the smallest rolling hash, with the bytes on its longer
+side that any such string has, and a phrase is the stretch that all neighbouring strings with one trigger cover. So phrases overlap, each string lies whole in exactly one of them, and
 equal strings have equal triggers. Phrases whose trigger stands nowhere else hold nothing repeated and go at once. The
 dictionary is the distinct phrases; of the parse, the occurrences of each phrase.
 
@@ -60,7 +60,10 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, first and last string start, trigger hash and phrase hash of each phrase."""
+    """Text, first and last string start, trigger hash and phrase hash of each phrase.
+
+    What counts as the trigger is the gram with half of the rest of a string before it, or after it where a string has less before.
+    """
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(raw) < length:
         return none
@@ -72,11 +75,15 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     good = np.flatnonzero(np.arange(len(trigger)) + length <= offsets[text + 1])
     if not len(good):
         return none
-    cut = np.flatnonzero((np.diff(trigger[good]) != 0) | (np.diff(good) != 1)) + 1
+    before = (length - gram) // 2
+    early = good <= trigger[good] - before  # the string has so many bytes before its trigger
+    cut = np.flatnonzero((np.diff(trigger[good]) != 0) | (np.diff(good) != 1) | (np.diff(early) != 0)) + 1
     low, high = good[np.concatenate([[0], cut])], good[np.concatenate([cut - 1, [len(good) - 1]])]
     place = trigger[low]
+    core = np.where(low <= place - before, place - before, place)
+    key = mix(prefix(core, core + gram + np.where(core < place, before, length - gram - before + 1)) ^ np.uint64(0xA24BAED4963EE407))
     own = mix(prefix(low, high + length) ^ mix((place - low).astype(np.uint64) + np.uint64(1)))
-    return text[low], low - offsets[text[low]], high - offsets[text[low]], h[place], own
+    return text[low], low - offsets[text[low]], high - offsets[text[low]], key, own
 
 
 def keyed(documents: DataFrame) -> DataFrame:
