@@ -27,6 +27,37 @@ VIDEO_LABELS = r"(?:동영상\s*URL|動画\s*URL|Video\s*URL)"
 SECTIONS = {"오늘의 베스트": "일간 베스트", "주간 베스트": "주간 베스트"}
 DEFAULT_SECTION = "pornvideo"
 NAME_SUFFIX = "님의 동영상"
+#: The markup of the served pages and script payloads, a pattern for each thing that is read.
+TITLELINE = r"""<tr class=["']athing["'][\s\S]*?<span class=["']titleline["'][^>]*>\s*<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>"""
+ARTICLE_LINK = r"""<a[^>]*id=["']article-link-[^"']+["'][^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>"""
+HEADING_LINK = r"""<h2[^>]*>[\s\S]*?<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>[\s\S]*?</h2>"""
+THUMB = r'(?i)<div class="thumb\s+thumb_rel\s+item[^"]*"[\s\S]*?<a\s+([^>]*?)>([\s\S]*?)</a>[\s\S]*?</div>'
+THUMB_TITLE = r'(?i)<div class="title"[^>]*>([\s\S]*?)</div>'
+THUMB_IMAGE = r"""(?i)<img[^>]+(?:data-original|src)=["']([^"']+)["'][^>]*>"""
+POSTER = r'(?i)<div class="item">[\s\S]*?<a href="([^"]+)" class="poster">[\s\S]*?<img[^>]+src="([^"]+)"[^>]*>[\s\S]*?<a href="([^"]+)" class="title">([\s\S]*?)</a>[\s\S]*?</div>\s*</div>'
+SECTION = r'(?i)<div class="board-hot-title">([\s\S]*?)</div>\s*<div class="miso-post-list">[\s\S]*?<ul class="post-list">([\s\S]*?)</ul>'
+SECTION_ROW = r'(?i)<li class="post-row">[\s\S]*?<a href="([^"]+)"[^>]*>([\s\S]*?)</a>\s*</li>'
+SECTION_COUNT = r'(?i)<span class="count[^"]*">\s*\+?(\d+)\s*</span>'
+RANKED_ROW = r'(?i)<ul class="td ufl">([\s\S]*?)</ul>'
+RANKED_CELL = r"(?i)<li>\s*([^<]+?)\s*</li>"
+RANKED_LINK = r'(?i)<li class="tit[^"]*">\s*<a href="([^"]+)">([\s\S]*?)</a>\s*</li>'
+RANK_IMAGE = r"""(?i)(?=<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*\d+\s*위)"""
+RANK_VALUE = r"""(?i)^<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*(\d+)\s*위"""
+VIDEO_ANCHOR = rf"""(?i)<a\s+[^>]*href=["']({VIDEO_LINK}[^"']+)["'][^>]*>\s*{VIDEO_LABELS}\s*</a\s*>"""
+ANY_POST = rf"""(?i)href=["']({POST_LINK}[^"']+)["']"""
+SHOT = rf"""(?i)<img\s+[^>]*src=["']({IMAGE_LINK}[^"']+)["'][^>]*>"""
+ARTICLE = r"(?i)<article\b[\s\S]*?</article>"
+BADGE = r"""(?i)<div[^>]*class=["'][^"']*absolute\s+top-3\s+left-3[^"']*["'][^>]*>\s*(\d+)\s*</div>"""
+POST_ANCHOR = rf"""(?i)<a[^>]*href=["']({POST_LINK}(?:[^"'/]+/status/\d+|i/status/\d+)[^"']*)["'][^>]*>([\s\S]*?)</a>"""
+ARTICLE_VIEWS = r"(?i)lucide-eye[\s\S]*?<span>\s*(\d+)\s*</span>"
+CARD_IMAGE = rf"""(?i)<img\b(?=[^>]*src=["']{IMAGE_LINK}[^"']+["'])(?=[^>]*alt=["'][^"']*["'])[^>]*>"""
+CARD_RANK = r"(?i)>(\d{1,3})(?:\s*위)?\s*</(?:div|span|strong|p|b)>"
+CARD_SOURCE = rf"""(?i)\bsrc=["']({IMAGE_LINK}[^"']+)["']"""
+_TEXT = r'((?:[^"\\]|\\.)*+)'
+_PUSH = r"""self\.__next_f\.push\(\[\s*1\s*,\s*(?:'((?:[^'\\]|\\[\s\S])*+)'|"((?:[^"\\]|\\[\s\S])*+)")\s*,?\s*\]\)"""
+RECORD = rf'"id":\{{"__t":"u","v":"([^"]+)"\}},"title":"{_TEXT}"[\s\S]*?"preview":"{_TEXT}"'
+#: Where a card shows its views, the first that matches counts.
+VIEWS = (r"(?i)조회수\s*([\d,]+)", r"(?i)lucide-eye[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>", r"(?i)<svg[^>]*[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>")
 COLUMNS = ("page_id", "pos", "title", "url", "dedupe_key", "preview_image_url", "summary", "price", "raw_html_snippet")
 
 
@@ -74,13 +105,13 @@ def _titled(pages: DataFrame, pattern: str) -> DataFrame:
 
 
 def titleline_rows(pages: DataFrame) -> DataFrame:
-    return _titled(pages, r"""<tr class=["']athing["'][\s\S]*?<span class=["']titleline["'][^>]*>\s*<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>""")
+    return _titled(pages, TITLELINE)
 
 
 def article_links(pages: DataFrame) -> DataFrame:
     """Anchors with an article-link id; headline anchors on pages that have none."""
-    first = _titled(pages, r"""<a[^>]*id=["']article-link-[^"']+["'][^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>""")
-    other = _titled(pages, r"""<h2[^>]*>[\s\S]*?<a[^>]*href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>[\s\S]*?</h2>""")
+    first = _titled(pages, ARTICLE_LINK)
+    other = _titled(pages, HEADING_LINK)
     return fallback_union(first, other)
 
 
@@ -92,17 +123,17 @@ def fallback_union(primary: DataFrame, fallback: DataFrame, done: DataFrame | No
 
 def thumb_cards(pages: DataFrame) -> DataFrame:
     """Cards of a linked image: titled by attribute, else by the inner title; the first image that is no data: address."""
-    rows = found(pages, r'(?i)<div class="thumb\s+thumb_rel\s+item[^"]*"[\s\S]*?<a\s+([^>]*?)>([\s\S]*?)</a>[\s\S]*?</div>', tag=1, inner=2)
+    rows = found(pages, THUMB, tag=1, inner=2)
     href, title = text.attribute_anywhere("tag", "href"), text.blank_to_null(text.attribute_anywhere("tag", "title"))
-    label = F.coalesce(title, F.regexp_extract("inner", r'(?i)<div class="title"[^>]*>([\s\S]*?)</div>', 1))
-    images = F.transform(F.regexp_extract_all("inner", F.lit(r"""(?i)<img[^>]+(?:data-original|src)=["']([^"']+)["'][^>]*>"""), F.lit(1)), text.trim_ws)
+    label = F.coalesce(title, F.regexp_extract("inner", THUMB_TITLE, 1))
+    images = F.transform(F.regexp_extract_all("inner", F.lit(THUMB_IMAGE), F.lit(1)), text.trim_ws)
     image = F.get(F.filter(images, lambda x: (x != "") & ~x.startswith("data:")), F.lit(0))
     rows = rows.filter(F.contains(href, F.lit("/video/")))
     return firsts(rows.select("page_id", "pos", text.clean_text(label).alias("title"), addressed(href).alias("url"), urls.resolved_url(image, F.col("url")).alias("preview_image_url")))
 
 
 def poster_cards(pages: DataFrame) -> DataFrame:
-    pattern = r'(?i)<div class="item">[\s\S]*?<a href="([^"]+)" class="poster">[\s\S]*?<img[^>]+src="([^"]+)"[^>]*>[\s\S]*?<a href="([^"]+)" class="title">([\s\S]*?)</a>[\s\S]*?</div>\s*</div>'
+    pattern = POSTER
     rows = found(pages, pattern, poster=1, image=2, href=3, label=4)
     href = F.coalesce(F.nullif(text.trim_ws("href"), F.lit("")), text.trim_ws("poster"))
     return firsts(rows.filter(F.contains(href, F.lit("/v/"))).select("page_id", "pos", text.clean_text("label").alias("title"), addressed(href).alias("url"), addressed("image").alias("preview_image_url")))
@@ -110,10 +141,10 @@ def poster_cards(pages: DataFrame) -> DataFrame:
 
 def sectioned_list(pages: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Rows of sections whose label is known; the summary is the label and the number of comments."""
-    sections = found(pages, r'(?i)<div class="board-hot-title">([\s\S]*?)</div>\s*<div class="miso-post-list">[\s\S]*?<ul class="post-list">([\s\S]*?)</ul>', label=1, body=2)
+    sections = found(pages, SECTION, label=1, body=2)
     sections = sections.withColumn("section", text.section_label("label", labels or SECTIONS)).filter("section IS NOT NULL").withColumnRenamed("pos", "section_pos").drop("_match", "label")
-    rows = found(sections, r'(?i)<li class="post-row">[\s\S]*?<a href="([^"]+)"[^>]*>([\s\S]*?)</a>\s*</li>', "body", href=1, inner=2)
-    comments = F.concat(F.lit("댓글 +"), text.first_match(r'(?i)<span class="count[^"]*">\s*\+?(\d+)\s*</span>', "inner"))
+    rows = found(sections, SECTION_ROW, "body", href=1, inner=2)
+    comments = F.concat(F.lit("댓글 +"), text.first_match(SECTION_COUNT, "inner"))
     rows = rows.filter(text.trim_ws("href") != "").select("page_id", "section_pos", "pos", text.without_badge("inner").alias("title"), resolved("href").alias("url"), F.concat_ws(" · ", "section", comments).alias("summary"))
     order = Window.partitionBy("page_id").orderBy("section_pos", "pos")
     return firsts(rows.withColumn("pos", F.row_number().over(order) - 1))
@@ -121,9 +152,9 @@ def sectioned_list(pages: DataFrame, labels: dict[str, str] | None = None) -> Da
 
 def ranked_rows(pages: DataFrame) -> DataFrame:
     """Lists of cells: the title link, and the plain cells rank and date as 'N위 · date'."""
-    rows = found(pages, r'(?i)<ul class="td ufl">([\s\S]*?)</ul>', body=1)
-    cells = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)<li>\s*([^<]+?)\s*</li>"), F.lit(1)), text.clean_text)
-    link = r'(?i)<li class="tit[^"]*">\s*<a href="([^"]+)">([\s\S]*?)</a>\s*</li>'
+    rows = found(pages, RANKED_ROW, body=1)
+    cells = F.transform(F.regexp_extract_all("body", F.lit(RANKED_CELL), F.lit(1)), text.clean_text)
+    link = RANKED_LINK
     rank, date = (text.blank_to_null(F.get(cells, F.lit(i))) for i in (0, 1))
     summary = F.concat_ws(" · ", F.concat(rank, F.lit("위")), date)
     rows = rows.withColumn("href", text.trim_ws(F.regexp_extract("body", link, 1))).filter("href <> ''")
@@ -142,19 +173,19 @@ def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
 
     A rank of 0 stays in the title and orders as the entry's place.
     """
-    marker = r"""(?i)(?=<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*\d+\s*위)"""
+    marker = RANK_IMAGE
     html = F.replace("html", F.lit("\r\n"), F.lit("\n"))
     segments = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.split(html, marker, -1)).alias("seg", "part"))
-    rank = F.regexp_extract("part", r"""(?i)^<img\s+[^>]*src=["'][^"']*rank\d+\.png["'][^>]*>\s*(\d+)\s*위""", 1).try_cast("bigint")
+    rank = F.regexp_extract("part", RANK_VALUE, 1).try_cast("bigint")
     segments = segments.withColumn("rank", rank)
     w = Window.partitionBy("page_id").orderBy("seg")
     lead = lambda c: F.when(F.col("rank").isNull() & F.lead("seg").over(w).isNotNull(), F.lead(c).over(w)).otherwise(F.col(c))
     segments = segments.select("page_id", "page_url", "seg", "part", lead("part").alias("context"), lead("rank").alias("rank"))
-    rows = found(segments, rf"""(?i)<a\s+[^>]*href=["']({VIDEO_LINK}[^"']+)["'][^>]*>\s*{VIDEO_LABELS}\s*</a\s*>""", "part", href=1)
+    rows = found(segments, VIDEO_ANCHOR, "part", href=1)
     order = Window.partitionBy("page_id").orderBy("seg", "pos")
     rows = rows.withColumn("entry", F.row_number().over(order).cast("bigint")).withColumn("pos", F.col("entry") - 1)
-    status = ids.status_url(text.first_match(rf"""(?i)href=["']({POST_LINK}[^"']+)["']""", "context"), POST_PREFIX)
-    image = text.first_match(rf"""(?i)<img\s+[^>]*src=["']({IMAGE_LINK}[^"']+)["'][^>]*>""", "context")
+    status = ids.status_url(text.first_match(ANY_POST, "context"), POST_PREFIX)
+    image = text.first_match(SHOT, "context")
     rows = rows.withColumn("status", status).withColumn("url", addressed("href", "page_url"))
     shown = F.coalesce("rank", "entry")
     return _best(rows.select("page_id", "pos", F.when(shown > 0, shown).otherwise(F.col("entry")).alias("rank_order"), ids.ranked_title(shown, F.col("status"), F.col("url")).alias("title"), "url", ids.video_key(namespace, "url", VIDEO_PATH).alias("dedupe_key"), F.col("status").alias("summary"), addressed(image, "page_url").alias("preview_image_url")))
@@ -162,15 +193,15 @@ def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
 
 def ranked_articles(pages: DataFrame, namespace: str = "xranking") -> DataFrame:
     """Articles with a video: badge rank (0 counts) or place, post and its text, poster; the snippet is the view count."""
-    rows = found(pages, r"(?i)<article\b[\s\S]*?</article>")
+    rows = found(pages, ARTICLE)
     of = lambda name: text.trim_ws(F.regexp_extract("_match", rf"""(?i)<video\b[^>]*\b{name}=["']([^"']+)["'][^>]*>""", 1))
     rows = rows.withColumn("source", of("src")).filter("source <> ''")
     rows = rows.withColumn("entry", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    badge = text.first_match(r"""(?i)<div[^>]*class=["'][^"']*absolute\s+top-3\s+left-3[^"']*["'][^>]*>\s*(\d+)\s*</div>""", "_match")
+    badge = text.first_match(BADGE, "_match")
     rank = F.coalesce(badge.try_cast("bigint"), F.col("entry").cast("bigint"))
-    anchor = rf"""(?i)<a[^>]*href=["']({POST_LINK}(?:[^"'/]+/status/\d+|i/status/\d+)[^"']*)["'][^>]*>([\s\S]*?)</a>"""
+    anchor = POST_ANCHOR
     status = ids.status_url(text.blank_to_null(text.decode_entities(F.regexp_extract("_match", anchor, 1))), POST_PREFIX)
-    views = F.concat(F.lit("조회수 "), text.first_match(r"(?i)lucide-eye[\s\S]*?<span>\s*(\d+)\s*</span>", "_match"))
+    views = F.concat(F.lit("조회수 "), text.first_match(ARTICLE_VIEWS, "_match"))
     rows = rows.withColumn("rank_order", rank).withColumn("status", status).withColumn("video", resolved("source"))
     card = text.optional_text(F.regexp_extract("_match", anchor, 2))
     key = ids.video_key(namespace, "video", VIDEO_PATH)
@@ -203,10 +234,6 @@ def json_ranking(pages: DataFrame, namespace: str = "nimi", suffix: str = NAME_S
     return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", text.optional_text(name), F.col("status"), F.col("direct")).alias("title"), F.col("direct").alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.col("status").alias("summary"), text.views_snippet(F.try_variant_get("v", "$.play_count", "variant")).alias("raw_html_snippet")))
 
 
-#: Where a card shows its views, the first that matches counts.
-VIEWS = (r"(?i)조회수\s*([\d,]+)", r"(?i)lucide-eye[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>", r"(?i)<svg[^>]*[\s\S]{0,200}?<span[^>]*>\s*([\d,]+)\s*</span>")
-
-
 def shown_views(c: Column | str) -> Column:
     """'조회수 n' without thousands separators."""
     return F.concat(F.lit("조회수 "), F.replace(F.coalesce(*(text.first_match(x, c) for x in VIEWS)), F.lit(","), F.lit("")))
@@ -219,18 +246,18 @@ def image_chunk_ranking(pages: DataFrame, namespace: str = "nimi", compat_s_clas
     compat_s_class=False ends them at white space instead of the letter.
     """
     stop = r"""[^"'\\<s]""" if compat_s_class else r"""[^"'\\<\s]"""
-    image = rf"""(?i)<img\b(?=[^>]*src=["']{IMAGE_LINK}[^"']+["'])(?=[^>]*alt=["'][^"']*["'])[^>]*>"""
+    image = CARD_IMAGE
     pieces = F.split("html", image, -1)
     tags = F.regexp_extract_all("html", F.lit(image), F.lit(0))
     chunk = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(pieces, i).alias("before"), F.concat(t, F.get(pieces, i + 1)).alias("after")))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(chunk).alias("pos", "c")).select("page_id", "page_url", "pos", "c.*")
     rows = rows.withColumn("entry", (F.col("pos") + 1).cast("bigint"))
-    ranks = F.filter(F.transform(F.regexp_extract_all("before", F.lit(r"(?i)>(\d{1,3})(?:\s*위)?\s*</(?:div|span|strong|p|b)>"), F.lit(1)), lambda x: x.cast("bigint")), lambda x: x > 0)
+    ranks = F.filter(F.transform(F.regexp_extract_all("before", F.lit(CARD_RANK), F.lit(1)), lambda x: x.cast("bigint")), lambda x: x > 0)
     rank = F.coalesce(F.try_element_at(ranks, F.lit(-1)), F.col("entry"))
     movie_at, status_at = rf"(?i)({VIDEO_LINK}{stop}+)", rf"""(?i)({POST_LINK}(?:[^"'/]+/status/\d+|i/status/\d+){stop}*)"""
     movie = resolved(F.coalesce(text.first_match(movie_at, "after"), text.first_match(movie_at, "before")), "page_url")
     status = ids.status_url(F.coalesce(text.first_match(status_at, "before"), text.first_match(status_at, "after")), POST_PREFIX)
-    thumb = resolved(text.first_match(rf"""(?i)\bsrc=["']({IMAGE_LINK}[^"']+)["']""", "tag"), "page_url")
+    thumb = resolved(text.first_match(CARD_SOURCE, "tag"), "page_url")
     rows = rows.withColumn("rank_order", rank).withColumn("movie", movie).withColumn("status", status).withColumn("thumb", thumb)
     rows = rows.withColumn("target", F.coalesce("movie", "thumb"))
     alt = text.optional_text(text.clean_text(text.decode_entities(text.attribute_anywhere("tag", "alt"))))
@@ -292,17 +319,13 @@ def decode_packed(packed: pd.Series) -> pd.Series:
     return packed.map(_unpack)
 
 
-_TEXT = r'((?:[^"\\]|\\.)*+)'
-_PUSH = r"""self\.__next_f\.push\(\[\s*1\s*,\s*(?:'((?:[^'\\]|\\[\s\S])*+)'|"((?:[^"\\]|\\[\s\S])*+)")\s*,?\s*\]\)"""
-
-
 def packed_payload(pages: DataFrame) -> DataFrame:
     """Records out of script chunks, decoded and joined in order; out of the page itself where no chunk is."""
     chunks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_PUSH), F.lit(0))).alias("n", "c"))
     chunks = chunks.withColumn("t", decode_chunk(F.coalesce(text.first_match(_PUSH, "c", 1), text.first_match(_PUSH, "c", 2))))
     joined = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "").alias("payload"))
     whole = pages.join(joined, "page_id", "left").withColumn("payload", F.coalesce(F.nullif("payload", F.lit("")), "html"))
-    rows = found(whole, rf'"id":\{{"__t":"u","v":"([^"]+)"\}},"title":"{_TEXT}"[\s\S]*?"preview":"{_TEXT}"', "payload", key=1, label=2, image=3)
+    rows = found(whole, RECORD, "payload", key=1, label=2, image=3)
     rows = rows.withColumn("image", text.trim_ws("image")).withColumn("key", text.trim_ws("key")).filter("key <> '' AND image <> ''")
     section = F.coalesce(F.nullif(F.regexp_extract(urls.path_of("url"), "^/s/([^/]+)", 1), F.lit("")), F.lit(DEFAULT_SECTION))
     path = F.concat(F.lit("/s/"), section, F.lit("/"), F.col("key"))
