@@ -60,14 +60,13 @@ def features(documents: DataFrame) -> DataFrame:
         *documents.columns,
         n.cast("bigint").alias("n_words"),
         lacking(text, SPACES).cast("bigint").alias("word_chars"),
-        (length - lacking(text, SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.size("_l").cast("bigint").alias("n_lines"),
         F.size(F.filter("_l", lambda x: F.instr(F.lit(CLOSING), F.right(F.btrim(x, F.lit(SPACES)), F.lit(1))) > 0)).cast("bigint").alias("n_closed_lines"),
         (length - lacking(text, UPPER)).cast("bigint").alias("n_upper"),
-        (length - lacking(text, "!?")).cast("bigint").alias("n_shouts"),
-        (length - lacking(text, "0123456789")).cast("bigint").alias("n_digits"),
+        F.regexp_count(text, F.lit("[!?]")).cast("bigint").alias("n_shouts"),
         F.size(F.array_distinct("_w")).cast("bigint").alias("n_distinct"),
         F.regexp_count(text, F.lit(WORDLESS)).cast("bigint").alias("n_wordless"),
         F.regexp_count(text, F.lit(RUNS)).cast("bigint").alias("n_runs"),
