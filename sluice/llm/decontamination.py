@@ -35,7 +35,7 @@ SCALES = ((100, 50), (64, 16))
 #: Rare q-grams that a band must share before all are counted; fewer where the lemma's bound is lower.
 PROBED = 4
 #: Characters of benchmark in one broadcast, and of text looked at together.
-BLOCK, SEGMENT = 2_000_000, 1 << 20
+BLOCK, SEGMENT = 2_000_000, 1 << 18
 #: Entries of the index held against a text at once.
 ENTRIES = 2_000_000
 _BITS = 22

@@ -34,7 +34,7 @@ LENGTH = 200
 GRAM = 32
 #: Phrases of one trigger in one part of the dictionary.
 HOT = 2_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Bytes of dictionary that a task sorts at once, and one part more at most.
 SORTED = 1 << 20
 _LAST = np.iinfo(np.int64).max
