@@ -40,7 +40,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def cleaned(spark: SparkSession):
     """Shuffle files of what is executed inside are deleted at its end: the rows lie in the shared folder then."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
