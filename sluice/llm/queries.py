@@ -77,6 +77,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), most=5, least=100, percent=100, first=2000)
+
+
 QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
@@ -88,6 +94,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op9_warc": op9_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
     "op9_warc": """
@@ -96,5 +103,23 @@ SELECT page_id, url, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id
   FROM (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages))
+""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM pieces, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+common AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.ws, c.k, c.f AS a, x.f AS l, y.f AS r, t.n, j, ((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM common WHERE k > 1) c
+  JOIN totals t ON t.lang = c.lang
+  JOIN common x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN common y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+free AS (SELECT * FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM common c
+  WHERE c.lang = w.lang AND c.k > w.k AND c.f >= w.a AND contains(' ' || c.phrase || ' ', ' ' || w.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM free
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
 }
