@@ -77,6 +77,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.conversations import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.collocations import collocations
 
@@ -94,7 +106,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op9_warc": op9_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op11_license_scan": op11_license_scan,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op9_warc": """
@@ -121,5 +135,43 @@ free AS (SELECT * FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM common c
   WHERE c.lang = w.lang AND c.k > w.k AND c.f >= w.a AND contains(' ' || c.phrase || ' ', ' ' || w.phrase || ' ')))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM free
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""",
+    "op13_conversation_repair": """
+WITH RECURSIVE source AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS k FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) FROM source)),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS copy FROM (SELECT *, row_number() OVER o AS i, lag(left(role, 1)) OVER o AS before, left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS sign
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))),
+faulty AS (SELECT *, CASE WHEN sign = '' THEN 'blank' WHEN copy THEN 'duplicate' WHEN sign NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM marked),
+steps AS (SELECT conv_id, i, initial, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM faulty),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+-- the cheapest edits that reach each state (nothing yet, system, user, assistant), as eight digits of cost and then the edits; inserts follow a row
+paths AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS e, '99999999' AS s, '00000003I' AS u, '00000006II' AS a FROM ids
+  UNION ALL
+  SELECT conv_id, i, e, s, least(u0, CASE WHEN least(e, s, a0) < '9' THEN printf('%08d', left(least(e, s, a0), 8)::BIGINT + 3) || substr(least(e, s, a0), 9) || 'I' ELSE u0 END),
+    least(a0, CASE WHEN least(u0, CASE WHEN least(e, s, a0) < '9' THEN printf('%08d', left(least(e, s, a0), 8)::BIGINT + 3) || substr(least(e, s, a0), 9) || 'I' ELSE u0 END) < '9'
+      THEN printf('%08d', left(least(u0, CASE WHEN least(e, s, a0) < '9' THEN printf('%08d', left(least(e, s, a0), 8)::BIGINT + 3) || substr(least(e, s, a0), 9) || 'I' ELSE u0 END), 8)::BIGINT + 3)
+        || substr(least(u0, CASE WHEN least(e, s, a0) < '9' THEN printf('%08d', left(least(e, s, a0), 8)::BIGINT + 3) || substr(least(e, s, a0), 9) || 'I' ELSE u0 END), 9) || 'I' ELSE a0 END)
+  FROM (SELECT p.conv_id, r.i,
+      printf('%08d', left(p.e, 8)::BIGINT + 4) || substr(p.e, 9) || 'D' AS e,
+      least(CASE WHEN p.s < '9' THEN printf('%08d', left(p.s, 8)::BIGINT + 4) || substr(p.s, 9) || 'D' ELSE '99999999' END,
+        CASE WHEN NOT gone AND initial = 's' THEN printf('%08d', left(p.e, 8)::BIGINT + cut) || substr(p.e, 9) || 'K' ELSE '99999999' END) AS s,
+      least(printf('%08d', left(p.u, 8)::BIGINT + 4) || substr(p.u, 9) || 'D',
+        CASE WHEN NOT gone THEN printf('%08d', left(least(p.e, p.s, p.a), 8)::BIGINT + cut + CASE WHEN initial = 'u' THEN 0 ELSE 3 END) || substr(least(p.e, p.s, p.a), 9) || CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END ELSE '99999999' END) AS u0,
+      least(printf('%08d', left(p.a, 8)::BIGINT + 4) || substr(p.a, 9) || 'D',
+        CASE WHEN NOT gone THEN printf('%08d', left(p.u, 8)::BIGINT + cut + CASE WHEN initial = 'a' THEN 0 ELSE 3 END) || substr(p.u, 9) || CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END ELSE '99999999' END) AS a0
+    FROM paths p JOIN steps r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)),
+counts AS (SELECT ids.conv_id, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(f.i) AS n
+  FROM ids LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id),
+best AS (SELECT c.*, left(least(e, a), 8)::BIGINT AS cost, substr(least(e, a), 9) AS audit FROM counts c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n),
+edits AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, j - length(replace(substr(audit, 1, j), 'I', '')) AS inserted FROM (SELECT conv_id, audit, unnest(generate_series(1, length(audit))) AS j FROM best)),
+rows AS (SELECT x.conv_id, j, edit, f.role, f.text, f.initial FROM edits x LEFT JOIN faulty f ON x.edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.j - x.inserted WHERE edit <> 'D'),
+placed AS (SELECT *, row_number() OVER w - max(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS place FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+texts AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS body FROM placed GROUP BY conv_id)
+SELECT b.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM best b LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
 """,
 }
