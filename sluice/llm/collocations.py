@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Prefix, blocks, durable, mix
+from sluice.llm.common import FEW, Prefix, blocks, durable, mix
 
 #: Log2 of the bits that tell the workers what is frequent: 8 MB.
 BITS = 26
@@ -195,7 +195,8 @@ def scored(phrases: DataFrame, totals: DataFrame, percent: int = 100) -> DataFra
     of = phrases.select("lang", "phrase", "n")
     cuts = cuts.join(of.select(F.col("lang").alias("_a"), F.col("phrase").alias("_b"), F.col("n").alias("l")), F.expr("lang = _a AND first = _b")).drop("_a", "_b")
     cuts = cuts.join(of.select(F.col("lang").alias("_a"), F.col("phrase").alias("_b"), F.col("n").alias("r")), F.expr("lang = _a AND rest = _b")).drop("_a", "_b")
-    cuts = cuts.join(totals.select(F.col("lang").alias("_a"), F.col("total").alias("n")), F.expr("lang = _a")).drop("_a")
+    whole = totals.select(F.col("lang").alias("_a"), F.col("total").alias("n"))
+    cuts = cuts.join(F.broadcast(whole) if whole.count() <= FEW else whole, F.expr("lang = _a")).drop("_a")
     exact = F.expr("(1000 * CAST(a AS DECIMAL(17, 0)) * CAST(n AS DECIMAL(17, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
     weakest = cuts.withColumn("score", exact).groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "k")).alias("_x")).select("lang", "phrase", "_x.*")
     longer = several.filter("words > 2").select("lang", F.col("n").alias("f"), F.expr("words - 1").alias("w"), "phrase")
