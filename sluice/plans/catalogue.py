@@ -10,7 +10,7 @@ from sluice.functions.text import RE2_WS
 from sluice.operators import extract, views
 from sluice.operators.dedupe import keep_best, keep_first, keep_last, link_key
 from sluice.operators.state import decide, run_status
-from sluice.plans import listings
+from sluice.plans import listings, live
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -419,5 +419,5 @@ def link_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.http_target(raw).alias("target"))
 
 
-QUERIES |= listings.QUERIES
-ORACLES |= listings.ORACLES
+QUERIES |= listings.QUERIES | live.QUERIES
+ORACLES |= listings.ORACLES | live.ORACLES
