@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions.text import blank_to_null, col, first_match, trim_ws
+from sluice.functions.urls import normalized_url
 
 STATUS = r"(?i)/status/(\d+)"
 
@@ -45,7 +46,8 @@ def status_url(c: Column | str, prefix: str) -> Column:
 
 
 def url_without_query(c: Column | str) -> Column:
-    return F.lower(trim_ws(F.regexp_replace(col(c), r"[?#][\s\S]*$", "")))
+    """Serialised and lower-cased without query and fragment; where it is no URL, the trimmed text without them."""
+    return F.lower(normalized_url(F.regexp_replace(col(c), r"[?#][\s\S]*$", "")))
 
 
 def media_identity(c: Column | str, kind: str, path_pattern: str) -> Column:

@@ -52,13 +52,23 @@ def optional_text(c: Column | str) -> Column:
     return blank_to_null(clean_text(F.coalesce(col(c), F.lit(""))))
 
 
+def utf16_units(c: Column | str) -> Column:
+    """Length as browsers count it: two for a character beyond U+FFFF."""
+    return (F.octet_length(F.encode(col(c), "UTF-16BE")) / 2).cast("int")
+
+
 def clip_text(c: Column | str, limit: int) -> Column:
+    """At most `limit` UTF-16 units: longer texts are cut to three fewer and get "...". Of a character that the cut would halve nothing stays."""
     c = col(c)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 3), F.lit("...")))
+    near = F.left(c, F.lit(limit + 1))  # as many characters decide whether there are more units than the limit
+    units = F.encode(near, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * (limit - 3) - 1, 1)).between("D8", "DB")  # the cut stands within a pair
+    kept = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * (limit - 4)).otherwise(2 * (limit - 3))), "UTF-16BE")
+    return F.when(utf16_units(near) <= limit, c).otherwise(F.concat(kept, F.lit("...")))
 
 
 def clip_snippet(c: Column | str) -> Column:
-    """Trimmed and cut to SNIPPET characters (code points); blank is null."""
+    """Trimmed and cut to SNIPPET UTF-16 units; blank is null."""
     return clip_text(blank_to_null(trim_ws(c)), SNIPPET)
 
 
@@ -80,14 +90,6 @@ def loose_attribute(c: Column | str, name: str) -> Column:
     return F.when(c.rlike(quoted), F.concat(F.regexp_extract(c, quoted, 1), F.regexp_extract(c, quoted, 2))).otherwise(bare)
 
 
-def attribute(c: Column | str, name: str) -> Column:
-    """Quoted value (may be empty) or bare value of an attribute of a tag; null where it is absent."""
-    c = col(c)
-    double, single, bare = rf'(?i)(?<![\w-]){name}\s*=\s*"([^"]*)"', rf"(?i)(?<![\w-]){name}\s*=\s*'([^']*)'", rf"(?i)(?<![\w-]){name}\s*=\s*([^\s\"'=<>`]+)"
-    found = F.when(c.rlike(double), F.regexp_extract(c, double, 1)).when(c.rlike(single), F.regexp_extract(c, single, 1))
-    return found.when(c.rlike(bare), F.regexp_extract(c, bare, 1))
-
-
 def parse_int(c: Column | str) -> Column:
     """Leading integer of a text, as browsers read it: '3abc' is 3; null where there is none."""
     return F.regexp_extract(col(c), f"^{JS_WS}*([+-]?[0-9]+)", 1).try_cast("bigint")
@@ -99,6 +101,38 @@ def rank_or(c: Column | str, fallback: Column | str) -> Column:
     return F.when(rank > 0, rank).otherwise(col(fallback))
 
 
+#: What a letter after a backslash stands for in a script literal, as UTF-16 units.
+ESCAPES = {"n": "000A", "r": "000D", "t": "0009", "b": "0008", "f": "000C", "v": "000B", "0": "0000"}
+
+
+def script_text(c: Column | str) -> Column:
+    """Text of a script string literal: \\uXXXX, \\xXX, letters of ESCAPES, line continuations; any other escaped character is itself, as is a backslash at the end.
+
+    Tokens become UTF-16 units in hexadecimal, so that a pair may come from two escapes; half a pair alone becomes U+FFFD.
+    """
+    tokens = F.regexp_extract_all(col(c), F.lit(r"(?s)[^\\]+|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\\r\n|\\.|\\"), F.lit(0))
+    hexed = lambda x: F.hex(F.encode(x, "UTF-16BE"))
+    table = F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair))
+
+    def units(token: Column) -> Column:
+        letter = F.substring(token, 2, 1)
+        out = F.when(~token.startswith("\\") | (F.length(token) == 1), hexed(token)).when(token.rlike(r"^\\u.{4}$"), F.upper(F.substring(token, 3, 4)))
+        out = out.when(token.rlike(r"^\\x.{2}$"), F.concat(F.lit("00"), F.upper(F.substring(token, 3, 2)))).when(letter.isin("\r", "\n"), F.lit(""))
+        return out.otherwise(F.coalesce(F.try_element_at(table, letter), hexed(letter)))
+
+    spaced = F.regexp_replace(F.array_join(F.transform(tokens, units), ""), "(....)", "$1 ")
+    whole = F.regexp_replace(F.regexp_replace(spaced, "D[89AB].. (?!D[C-F])", "FFFD "), "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+    decoded = F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
+    return F.when(F.contains(col(c), F.lit("\\")), decoded).otherwise(col(c))
+
+
+def packed_text(c: Column | str) -> Column:
+    """Value of a packed string: JSON once its quotes are escaped. What does not parse so, as an escaped quote, stays as it is."""
+    body = F.replace(col(c), F.lit('"'), F.lit('\\"'))
+    sound = F.regexp_replace(body, r'[^"\\\x00-\x1f]+|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4}', "") == ""
+    return F.coalesce(F.when(sound, F.get(F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>"), F.lit(0))), col(c))
+
+
 def views_snippet(variant: Column | str) -> Column:
     """'조회수 n' for a variant number >= 0; texts such as "12" give null."""
     v = col(variant)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import quote, urljoin, urlsplit
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sluice.functions.text import blank_to_null, col, first_match, plain_tags, trim_ws
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-#: Ports that a serialised URL leaves out.
-PORTS = {"http": "80", "https": "443"}
+#: Schemes whose URLs have a host, with the port that a serialised URL leaves out.
+PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+#: What is percent-encoded everywhere, and what else is in a user name or password.
+_BAD, _USER = r"""[\x00-\x20"<>\x7f-\x{10FFFF}]""", "`{}:;=@[]^|"
+#: A host in ASCII: no forbidden letter, its last label no number; or an address in numbers.
+_HOST = r"^(?!(?:.*\.)?(?:\d+|0x[0-9a-f]*)\.?$)[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$|^(?:(?:\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])(?:\.(?!$)|$)){4}$|^\[[0-9a-f:.]+\]$"
+_DOT = r"(?:\.|%2[eE])"
+#: URLs that serialise to themselves.
+_CLEAN = rf"""^https?://(?:[a-z0-9_-]+\.)*[a-z][a-z0-9-]*/(?!(?:[^?#]*/)?{_DOT}{{1,2}}(?:[/?#]|$))[A-Za-z0-9%/:@!$&'()*+,;=~._\[\]|^-]*(?:\?[A-Za-z0-9%/:@!$&()*+,;=~._?`{{}}|^\\\[\]-]*)?(?:#[A-Za-z0-9%/:@!$&'()*+,;=~._?{{}}|^#\\\[\]-]*)?$"""
 
 
 def origin(c: Column | str) -> Column:
@@ -46,48 +50,116 @@ def absolute_url(raw: Column | str, base: Column | str) -> Column:
     return out.otherwise(F.concat(directory, raw))
 
 
-def _serialise(raw: str | None, base: str | None = None) -> str | None:
-    if raw is None:
-        return None
-    try:
-        whole = urljoin(base.strip(), raw.strip()) if base else raw.strip()
-        parts = urlsplit(whole)
-        if not parts.scheme or parts.scheme in PORTS and not parts.hostname:
-            return raw
-        if parts.scheme not in PORTS:
-            return whole
-        host = parts.hostname.lower()
-        port = f":{parts.port}" if parts.port and str(parts.port) != PORTS[parts.scheme] else ""
-        user = whole.split("//", 1)[1].split("/", 1)[0].rpartition("@")[0]
-        path: list[str] = []
-        pieces = (parts.path or "/").split("/")[1:]
-        for i, x in enumerate(pieces):
-            last = i == len(pieces) - 1
-            if x in (".", "%2e", "%2E"):
-                path += [""] if last else []
-            elif x in ("..", ".%2e", "%2e.", "%2e%2e"):
-                path = path[:-1] + ([""] if last else [])
-            else:
-                path.append(x)
-        safe = "%/:@!$&'()*+,;=~-._[]|^"
-        out = f"{parts.scheme.lower()}://{user + '@' if user else ''}{host}{port}/{quote('/'.join(path), safe=safe)}"
-        out += f"?{quote(parts.query, safe=safe + '?`{}\\\\')}" if parts.query or whole.split("#")[0].endswith("?") else ""
-        return out + (f"#{quote(parts.fragment, safe=safe + '?{}\\\\#')}" if parts.fragment or whole.endswith("#") else "")
-    except ValueError:
-        return raw
-
-
-@F.pandas_udf(StringType())
-def resolved_url(raw: pd.Series, base: pd.Series) -> pd.Series:
-    """General resolution and serialisation; the raw text where it is no URL."""
-    return pd.Series([_serialise(a, b) for a, b in zip(raw, base)], dtype="object")
-
-
-@F.pandas_udf(StringType())
-def normalized_url(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _encoded(c: Column, bad: str) -> Column:
+    """Percent-encode the characters of a class, as UTF-8."""
+    runs = F.regexp_extract_all(c, F.lit(f"{bad}+|[^{bad[1:]}+"), F.lit(0))
+    each = F.transform(runs, lambda x: F.when(x.rlike(bad), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x))
+    return F.when(c.rlike(bad), F.array_join(each, "")).otherwise(c)
+
+
+def _replaced(c: Column, letters: str) -> Column:
+    for letter in letters:
+        c = F.replace(c, F.lit(letter), F.lit(f"%{ord(letter):02X}"))
+    return c
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments; one at the end leaves a final /."""
+    segments = F.split(F.substring(F.regexp_replace(path, rf"(/{_DOT}{{1,2}})$", "$1/"), 2, 1 << 30), "/", -1)
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(x.rlike(rf"^{_DOT}{{2}}$"), up).when(x.rlike(rf"^{_DOT}$"), kept).otherwise(F.concat(kept, F.array(x)))
+
+    folded = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(rf"/{_DOT}{{1,2}}(?:/|$)"), folded).otherwise(path)
+
+
+def _host(raw: Column) -> Column:
+    """The host in ASCII and lower case, null where it is none. Letters beyond ASCII are mapped as IDNA 2003 does; of numbers only four decimal ones make a host."""
+    decoded = F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
+    named = let(decoded, lambda h: F.lower(F.when(h.rlike(r"[^\x00-\x7f]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h, F.lit(1))).otherwise(h)))
+    return let(named, lambda h: F.when(h.rlike(_HOST), h))
+
+
+def _special(whole: Column) -> Column:
+    """Serialise scheme:authority, path, query and fragment of a scheme in PORTS; null where host or port is none."""
+    part = lambda i: F.regexp_extract(whole, r"(?s)^([^:]*):[/\\]*([^/\\?#]*)([^?#]*)(.*)$", i)
+    tail = _encoded(F.concat(F.translate(part(3), "\\", "/"), part(4)), _BAD)
+
+    def text(u: Column) -> Column:
+        login, place = F.regexp_extract(u["authority"], r"(?s)^(.*)@", 1), F.regexp_replace(u["authority"], r"(?s)^.*@", "")
+        word = F.regexp_extract(login, r"(?s)(:.+)$", 1)
+        who = F.when(login.rlike("[^:]"), F.concat(_replaced(_encoded(F.substring_index(login, ":", 1), _BAD), _USER), F.left(word, F.lit(1)), _replaced(_encoded(F.substring(word, 2, 1 << 30), _BAD), _USER), F.lit("@"))).otherwise("")
+        port = F.regexp_extract(place, r":0*(\d*?)$", 1)
+        usual = F.concat(u["scheme"], F.lit(":"), port).isin("http:", "https:", "ws:", "wss:", "ftp:", *(f"{x}:{n}" for x, n in PORTS.items()))
+        shown = F.when(place.rlike(r":0+$"), F.lit(":0")).when(usual, F.lit("")).when(port.try_cast("int") <= 65535, F.concat(F.lit(":"), port))
+        path = F.regexp_replace(F.regexp_extract(u["tail"], r"^[^?#]*", 0), "^$", "/")
+        query, fragment = F.regexp_extract(u["tail"], r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(u["tail"], r"#.*$", 0)
+        return F.concat(u["scheme"], F.lit("://"), who, _host(F.regexp_replace(place, r":\d*$", "")), shown, _replaced(_without_dots(path), "`{}"), F.replace(query, F.lit("'"), F.lit("%27")), F.replace(fragment, F.lit("`"), F.lit("%60")))
+
+    return let(F.struct(part(1).alias("scheme"), part(2).alias("authority"), tail.alias("tail")), text)
+
+
+def _alone(c: Column) -> Column:
+    """A whole URL, cleaned, as browsers write it."""
+    scheme = F.lower(F.regexp_extract(c, _SCHEME, 1))
+    lowered = F.concat(scheme, F.lit(":"), F.regexp_replace(c, _SCHEME, ""))
+    return F.when(c.rlike(_CLEAN), c).when(scheme.isin(*PORTS), _special(lowered)).when(scheme != "", lowered)
+
+
+def _cleaned(c: Column) -> Column:
+    return F.regexp_replace(F.btrim(c, F.lit("".join(map(chr, range(33))))), r"[\t\n\r]", "")
+
+
+def _slashed(c: Column) -> Column:
+    """Backslashes before the query are slashes."""
+    return F.when(F.contains(c, F.lit("\\")), F.concat(F.translate(F.regexp_extract(c, r"(?s)^[^?#]*", 0), "\\", "/"), F.regexp_extract(c, r"(?s)[?#].*$", 0))).otherwise(c)
+
+
+def _whole(c: Column, base: Column) -> Column:
+    """A cleaned reference as a whole URL, not yet serialised; null where it needs a base and has no sound one, or the base is no URL."""
+    scheme, own = F.lower(F.regexp_extract(c, _SCHEME, 1)), F.lower(F.regexp_extract(base, _SCHEME, 1))
+    rest = F.when(scheme == "", c).otherwise(F.regexp_replace(c, _SCHEME, ""))
+    relative = (scheme == "") | (scheme.isin(*PORTS) & (scheme == own) & ~rest.rlike(r"^[/\\][/\\]"))
+    # the base with two slashes before its host, and a path that ends in its folder's slash where it is a folder
+    above = F.regexp_replace(F.regexp_replace(_slashed(base), _SCHEME + "/*", "$1://"), rf"(?s)^([^:]+://[^/?#]*|[^?#]*/{_DOT}{{1,2}})(?=[?#]|$)", "$1/")
+    part = lambda b, pattern: F.regexp_extract(b, rf"(?s)^[^:]+:{pattern}", 0)
+
+    def text(x: Column) -> Column:
+        r, b = x["r"], x["b"]
+        out = F.when(r.startswith("//"), F.concat(part(b, ""), r)).when(r.startswith("/"), F.concat(part(b, "//[^/?#]*"), r)).when(r.startswith("?"), F.concat(part(b, "[^?#]*"), r))
+        return out.when((r == "") | r.startswith("#"), F.concat(part(b, "[^#]*"), r)).otherwise(F.concat(part(b, "//[^?#]*/"), r))
+
+    joined = F.when(own.isin(*PORTS), let(F.struct(_slashed(rest).alias("r"), above.alias("b")), text))
+    return F.when(own == "", None).when(F.coalesce(relative & base.isNotNull(), F.lit(False)), joined).otherwise(c)
+
+
+def serialised(raw: Column, base: Column | None = None) -> Column:
+    """The URL as browsers write it, against a base where one is given; null where it is none (or the base is none).
+
+    White space around and tabs and line ends within go, backslashes are slashes, hosts are lower-cased and in ASCII, usual ports and dot segments go,
+    each part is percent-encoded by its own set. URLs of other schemes than those in PORTS keep what follows the scheme.
+    """
+    if base is None:
+        return let(_cleaned(raw), _alone)
+    return let(let(F.struct(_cleaned(raw).alias("c"), _cleaned(base).alias("b")), lambda x: _whole(x["c"], x["b"])), _alone)
+
+
+def resolved_url(raw: Column | str, base: Column | str) -> Column:
+    """The raw URL against the base as browsers write it; the raw text where either is no URL. Without a base it stands alone."""
+    return F.coalesce(serialised(col(raw), col(base)), col(raw))
+
+
+def normalized_url(c: Column | str) -> Column:
     """Serialised URL, or the trimmed text where it is none."""
-    for part in parts:
-        yield pd.Series([None if x is None else _serialise(x.strip()) for x in part], dtype="object")
+    own = trim_ws(c)
+    return F.coalesce(serialised(own), own)
 
 
 def preview_url(c: Column | str) -> Column:

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sluice.functions import ids, text, urls
 from sluice.operators.dedupe import keep_best, keep_first, link_key
@@ -271,65 +269,17 @@ def api_or_images(pages: DataFrame, **more) -> DataFrame:
     return json_ranking(valid.filter("_v IS NOT NULL").drop("_v"), **more).unionByName(image_chunk_ranking(valid.filter("_v IS NULL").drop("_v"), **more))
 
 
-def _unescape(chunk: str | None) -> str | None:
-    """Text of a script string literal."""
-    if chunk is None:
-        return None
-    plain = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
-    out, i, n = [], 0, len(chunk)
-    while i < n:
-        c = chunk[i]
-        if c != "\\" or i + 1 == n:
-            out.append(c)
-            i += 1
-            continue
-        e = chunk[i + 1]
-        width = {"u": 4, "x": 2}.get(e, 0)
-        digits = chunk[i + 2 : i + 2 + width]
-        if width and len(digits) == width and all(d in "0123456789abcdefABCDEF" for d in digits):
-            out.append(chr(int(digits, 16)))
-            i += 2 + width
-        elif e in "\r\n":
-            i += 3 if chunk[i + 1 : i + 3] == "\r\n" else 2
-        else:
-            out.append(plain.get(e, e))
-            i += 2
-    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-
-
-def _unpack(packed: str | None) -> str | None:
-    """Value of a packed string; one that does not parse with its quotes escaped stays as it is."""
-    import json
-
-    if packed is None:
-        return None
-    try:
-        return json.loads('"' + packed.replace('"', '\\"') + '"')
-    except ValueError:
-        return packed
-
-
-@F.pandas_udf(StringType())
-def decode_chunk(chunk: pd.Series) -> pd.Series:
-    return chunk.map(_unescape)
-
-
-@F.pandas_udf(StringType())
-def decode_packed(packed: pd.Series) -> pd.Series:
-    return packed.map(_unpack)
-
-
 def packed_payload(pages: DataFrame) -> DataFrame:
     """Records out of script chunks, decoded and joined in order; out of the page itself where no chunk is."""
     chunks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_PUSH), F.lit(0))).alias("n", "c"))
-    chunks = chunks.withColumn("t", decode_chunk(F.coalesce(text.first_match(_PUSH, "c", 1), text.first_match(_PUSH, "c", 2))))
+    chunks = chunks.withColumn("t", text.script_text(F.coalesce(text.first_match(_PUSH, "c", 1), text.first_match(_PUSH, "c", 2))))
     joined = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "").alias("payload"))
     whole = pages.join(joined, "page_id", "left").withColumn("payload", F.coalesce(F.nullif("payload", F.lit("")), "html"))
     rows = found(whole, RECORD, "payload", key=1, label=2, image=3)
     rows = rows.withColumn("image", text.trim_ws("image")).withColumn("key", text.trim_ws("key")).filter("key <> '' AND image <> ''")
     section = F.coalesce(F.nullif(F.regexp_extract(urls.path_of("url"), "^/s/([^/]+)", 1), F.lit("")), F.lit(DEFAULT_SECTION))
     path = F.concat(F.lit("/s/"), section, F.lit("/"), F.col("key"))
-    return firsts(rows.select("page_id", "pos", text.clean_text(decode_packed("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), addressed("image").alias("preview_image_url")))
+    return firsts(rows.select("page_id", "pos", text.clean_text(text.packed_text("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), addressed("image").alias("preview_image_url")))
 
 
 def dom_anchor_cards(pages: DataFrame) -> DataFrame:

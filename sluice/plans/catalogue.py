@@ -81,7 +81,7 @@ def absolute_url(spark, sf_dir):
     return links(spark, sf_dir).select("page_id", "pos", "url")
 
 
-@query("SELECT page_id, lower(regexp_replace(url, '[?#].*$', '')) AS bare_url, regexp_extract(lower(url), '^(https?://[^/?#:]+)', 1) AS origin FROM pages")
+@query("SELECT page_id, lower(CASE WHEN regexp_full_match(url, 'https?://[^/?#]+([?#].*)?') THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(url, '[?#].*$', '') END) AS bare_url, regexp_extract(lower(url), '^(https?://[^/?#:]+)', 1) AS origin FROM pages")
 def url_no_query(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ids.url_without_query("url").alias("bare_url"), urls.origin("url").alias("origin"))
 
@@ -298,6 +298,46 @@ def normalized_urls(spark, sf_dir):
     return pages.select("page_id", urls.normalized_url(shown).alias("url"), urls.preview_url(preview).alias("preview_url"))
 
 
+_O, _H = "regexp_extract(url, '^https?://[^/?#]*', 0)", "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(f"""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'https://' || {_H} || '/a/b' WHEN 1 THEN {_O} || '/xy' WHEN 2 THEN 'http://xn--bcher-kva.' || {_H} || '/%C3%BC' WHEN 3 THEN 'https://' || {_H} || '/p:1'
+WHEN 4 THEN 'http://' || {_H} || '/' WHEN 5 THEN {_O} || '/a/d/' WHEN 6 THEN regexp_extract(url, '^[^?#]*', 0) || '?q=a%20b&c=%27d%27' WHEN 7 THEN {_O} || '/z#%3Cf%3E' WHEN 8 THEN 'http://' || {_H} || ':99999/' WHEN 9 THEN 'http://a b/'
+WHEN 10 THEN split_part(url, ':', 1) || '://u:p@' || {_H} || '/%7Bx%7D|%60' ELSE 'mailto:A@b.c' END AS url, CASE WHEN page_id % 12 = 6 THEN lower(regexp_extract(url, '^[^?#]*', 0)) WHEN page_id % 12 = 0 THEN 'https://' || {_H} || '/a/b' END AS bare_url FROM pages""")
+def url_cases(spark, sf_dir):
+    """References as they stand in pages, against the page: backslashes, tabs, hosts beyond ASCII, ports, dots, letters to encode, and what is no URL."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    around = lambda a, b: F.concat(F.lit(a), host, F.lit(b))
+    cases = [
+        F.concat(F.lit("HTTPS:\\\\"), F.upper(host), F.lit("\\a\\b")), F.lit(" \t/x\ty "), around("http://bücher.", "/ü"), around("https://", ":443/p:1"), around("http://", ":0080"), F.lit("/a/./b/../c/%2E%2e/d/."),
+        F.lit("?q=a b&c='d'"), F.lit("../../../../../../z#<f>"), around("http://", ":99999/"), F.lit("http://a b/"), around("//u:p@", "/{x}|`"), F.lit("MAILTO:A@b.c"),
+    ]
+    raw, place = F.lit(None).cast("string"), F.col("page_id") % len(cases)
+    for i, case in enumerate(cases):
+        raw = F.when(place == i, case).otherwise(raw)
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.resolved_url(raw, "url").alias("url"))
+    return pages.select("page_id", "url", F.when((F.col("page_id") % 12).isin(0, 6), ids.url_without_query("url")).alias("bare_url"))
+
+
+@query("""SELECT doc_id, 'ABq' || chr(92) || 'n😀' || chr(65533) || '|z' || chr(9) || replace(source, chr(92), '') || chr(92) AS script,
+CASE doc_id % 3 WHEN 0 THEN 'x"' || source || 'é' WHEN 1 THEN source || chr(92) || '"' ELSE source || chr(92) || 'q' END AS packed FROM documents""")
+def script_texts(spark, sf_dir):
+    """Script literals and packed strings with every kind of escape around the source of each document."""
+    literal = F.concat(F.lit("\\u0041\\x42\\q\\\\n\\ud83d\\ude00\\ud83d|\\\r\nz\\t"), F.replace("source", F.lit("\\"), F.lit("")), F.lit("\\"))
+    packed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('x"'), "source", F.lit("\\u00e9"))).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit('\\"'))).otherwise(F.concat("source", F.lit("\\q")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.script_text(literal).alias("script"), text.packed_text(packed).alias("packed"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(u) + wide <= 280 THEN u ELSE left(u, (SELECT max(m) FROM (SELECT unnest(range(138, 278)) AS m) WHERE m + len(list_filter(string_split(left(u, m), ''), lambda x: unicode(x) > 65535)) <= 277)) || '...' END AS snippet, (length(u) + wide)::INT AS units
+FROM (SELECT *, len(list_filter(string_split(u, ''), lambda x: unicode(x) > 65535)) AS wide FROM (SELECT doc_id, left(t, 270 + doc_id % 14) || '😀' || substr(t, 271 + doc_id % 14) AS u FROM (SELECT doc_id, {_TRIMMED} AS t FROM documents)))""")
+def clip_units(spark, sf_dir):
+    """Snippets of texts with a character of two units at the place where they are cut, and their length in units."""
+    place = (F.lit(270) + F.col("doc_id") % 14).cast("int")
+    whole = table(spark, sf_dir, "documents").select("doc_id", text.blank_to_null(text.trim_ws("text")).alias("t"))
+    whole = whole.select("doc_id", F.concat(F.left("t", place), F.lit("😀"), F.col("t").substr(place + 1, F.length("t"))).alias("u"))
+    return whole.select("doc_id", text.clip_snippet("u").alias("snippet"), text.utf16_units("u").alias("units"))
+
+
 _ENCODED = "url_encode(url)"
 for _letter in "/:?=&#%@+,;~":
     _ENCODED = f"replace({_ENCODED}, '%{ord(_letter):02X}', '{_letter}')"

@@ -83,11 +83,10 @@ def live_runs(spark, sf_dir):
     return memory.runs(spark, checkpoint).join(latest, "site_id").withColumn("is_latest", F.col("crawled_at") == F.col("latest")).drop("latest")
 
 
-@query("SELECT event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS crawled_at, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 200")
+@query("SELECT source AS site_id, n_chars::BIGINT AS crawled_at, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC)::INT AS place FROM documents QUALIFY place <= 200")
 def clustered_top_items(spark, sf_dir):
-    """Events, in two parts as they come, clustered by kind and time; each kind's newest from the ends of its ranges."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select(F.col("event_type").alias("site_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("crawled_at"), F.col("event_id").alias("id"))
+    """Documents, in two parts as they come, clustered by source and length; each source's longest from the ends of its ranges."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("site_id"), F.col("n_chars").cast("bigint").alias("crawled_at"), F.col("doc_id").alias("id"))
     folder = new_folder(spark, "clustered")
     for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
         clustered.append(rows.filter(part), folder)

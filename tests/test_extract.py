@@ -74,7 +74,6 @@ def test_packed_chunks_and_anchors(pages):
     cards = '<a title="T" href="/s/x/y?p=1&amp;mode=new"><img src="data:x" alt="no"></a><img alt="t" src="I">'
     got = rows(X.payload_or_anchors(pages(packed, cards)), "page_id", "title", "url", "preview_image_url")
     assert got == [(0, "T A", "https://x.org/s/sub/a1?mode=hot", "https://x.org/s/sub/I.jpg"), (1, "T", "https://x.org/s/x/y?mode=new", "https://x.org/s/sub/I")]
-    assert X._unescape("a\\x41\\u0042\\n\\q\\\r\nz\\") == "aAB\nqz\\" and X._unpack('a\\"b') == 'a\\"b' and X._unpack("\\u0041") == "A"
 
 
 def test_anchor_cards_look_at_the_raw_page(pages):
@@ -111,3 +110,34 @@ def test_text(spark):
     assert tuple(got) == ("< x y", 3, "", "c", None, "ab...")
     labels = F.array(F.lit("zz"), F.lit("인기 순"))
     assert one.select(urls.label_contains(labels, {"실시간": "realtime", "인기": "ranking"})).first()[0] == "ranking"
+
+
+#: Script literals as they stand, and their texts.
+LITERALS = {
+    "a\\x41\\u0042\\n\\q\\\r\nz\\": "aAB\nqz\\", "\\\\n\\\\\\n": "\\n\\\n", "\\ud83d\\ude00": "😀", "\\ud83dx\\ude00\\ud83d": "\ufffdx\ufffd\ufffd", "😀\\u{1}": "😀u{1}", "\\r\\t\\b\\f\\v\\0": "\r\t\b\f\v\0",
+    "a\\\nb\\\rc\\\r\nd": "abcd", "\\u12G4\\xZ1": "u12G4xZ1", "\\'\\\"": "'\"", "": "", "plain": "plain", "\\u4E2D\\u6587": "中文", "d83dde00\\x20": "d83dde00 ",
+}
+#: Packed strings, and their values.
+PACKED = {"\\u0041": "A", 'a\\"b': 'a\\"b', 'a"b': 'a"b', "a\\qb": "a\\qb", "a\\/b\\n": "a/b\n", "a\nb": "a\nb", "\\": "\\", "": "", "\\u00e9\"": 'é"'}
+
+
+def test_script_literals(spark):
+    frame = spark.createDataFrame([(x,) for x in LITERALS], "s string").select("s", text.script_text("s").alias("t"))
+    assert {r["s"]: r["t"] for r in frame.collect()} == LITERALS
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+    long = "\\u0041" * 50_000 + "x" * 100_000
+    assert spark.createDataFrame([(long,)], "s string").select(text.script_text("s")).first()[0] == "A" * 50_000 + "x" * 100_000
+
+
+def test_packed_strings(spark):
+    frame = spark.createDataFrame([(x,) for x in PACKED], "s string").select("s", text.packed_text("s").alias("t"))
+    assert {r["s"]: r["t"] for r in frame.collect()} == PACKED
+
+
+@pytest.mark.parametrize("place", [0, 200, *range(270, 284)])
+def test_clip_counts_units(spark, place):
+    for length in (279, 280, 281, 400):
+        whole = "x" * min(place, length - 2) + "😀" + "y" * (length - 2 - min(place, length - 2))  # so many units
+        got = spark.createDataFrame([(whole,)], "s string").select(text.clip_snippet("s"), text.utf16_units("s")).first()
+        cut = whole.encode("utf-16-be")[: 2 * 277].decode("utf-16-be", "ignore") + "..."
+        assert tuple(got) == (whole if length <= 280 else cut, length)
