@@ -10,6 +10,8 @@ of a segment are one key (`Plan`). Two sets with the asked Jaccard share a key b
 2. Texts in lists that still hold several components are put into lists once more, of single retained values, rarest
    first, only so many that two linked texts must meet in one. The place where they first meet bounds what they can
    share. Pairs are formed there, once, of different components only, and not within a list's largest one.
+   A pair is formed only if both full sets have enough in common with texts of other components at all; the smaller one needs more of itself for
+   that than the larger one. So texts of one template, however many, form no pairs where the template alone is too little for a link.
 
 Candidates of either step pass the estimate of J from the sketch of their union, then exact Jaccard on full sets decides. So a
 group of thousands of near copies costs about its size, and no list is expanded into all its pairs.
@@ -261,28 +263,48 @@ class Linker:
     def rare(self, lists: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs of different components that share a list and, of their rarest retained values, one that they must share."""
         now = durable(free(lists, "node").join(free(found, "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
-        mixed = now.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
+        kinds = F.min("c").alias("c1"), F.max("c").alias("c2")  # what one component has alone makes no pair
+        mixed = now.groupBy("key").agg(*kinds).filter("c1 <> c2")
         open_ = durable(free(now, "key").join(keys(mixed, "key"), "key").select("node", "c").distinct())
         held = durable(free(self.sets, "node").select("node", "n", F.slice("own", 1, self.size).alias("own")).join(free(open_, "node"), "node"))
-        each = held.select("node", F.explode("own").alias("value"))
-        often = keys(each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value", "df")
-        shared = each.join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+        each = held.select("node", "c", F.explode("own").alias("value"))
+        often = keys(each.groupBy("value").agg(F.count(F.lit(1)).alias("df"), *kinds).filter("c1 <> c2"), "value", "df")
+        shared = each.select("node", "value").join(often, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
         size, n = F.least(F.col("n"), F.lit(self.size)), F.col("n")
-        most = (F.size("held") - self.need(n) + 1).cast("int")  # values that no other sketch has come first
+        most = (F.size("held") - self.need(n) + 1).cast("int")  # values that no other component's sketch has come first
         first = held.select("node", "n", "c").join(shared, "node").withColumn("most", most).filter("most > 0")
+        first = durable(self._known_to_others(first, open_))
         places = F.transform(F.slice("held", F.lit(1), F.col("most")), lambda x, i: F.struct(x["value"].alias("value"), (F.size("held") - i).cast("bigint").alias("left"), F.transform(F.slice(F.col("held"), F.lit(1), i), lambda y: y["value"]).alias("before")))
-        out = durable(first.select("node", "n", "c", F.explode(places).alias("x")).select("node", "n", "c", "x.value", "x.left", "x.before"))
+        small = F.col("known") * (100 + self.percent) >= 2 * self.percent * n  # else it is the smaller of no linked pair
+        out = durable(first.select("node", "n", "c", "known", small.alias("small"), F.explode(places).alias("x")).select("node", "n", "c", "known", "small", "x.value", "x.left", "x.before"))
         counted = out.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"))
         tops = keys(counted.filter("kinds > 1").select("value", F.col("top.c").alias("main")), "value", "main")
         minor = durable(free(out, "value").join(tops, "value").filter("c <> main"))
-        other = free(out, "value").select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("rest"), F.col("before").alias("past"))
+        other = free(out, "value").select("value", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("rest"), F.col("before").alias("past"), F.col("known").alias("known_too"), F.col("small").alias("small_too"))
         m = F.col("m")
         whole = (n <= self.size) & (m <= self.size)
         need = F.when(whole, F.ceil((n + m) * self.percent / (100 + self.percent))).otherwise(F.least(F.ceil(F.greatest(n, m) * self.percent / 100), F.lit(self.low)))
         apart = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("node") < F.col("v")))
         first = ~F.coalesce(F.arrays_overlap("before", "past"), F.lit(False))
-        met = free(minor, "value").join(other, "value").filter(apart & _alike(n, m, self.percent) & (F.least("left", "rest") >= need) & first)
-        return met.select(F.col("node").alias("u"), "v")
+        enough = F.least("known", "known_too") * (100 + self.percent) >= self.percent * (n + m)
+        sound = apart & _alike(n, m, self.percent) & (F.least("left", "rest") >= need) & enough & first
+        # the smaller of a pair is small, so of two that are not nothing is formed
+        met = [free(minor.filter("small"), "value").join(other, "value").filter(sound), free(minor.filter("NOT small"), "value").join(other.filter("small_too"), "value").filter(sound)]
+        return met[0].union(met[1]).select(F.col("node").alias("u"), "v")
+
+    def _known_to_others(self, first: DataFrame, open_: DataFrame) -> DataFrame:
+        """The rows of nodes (with `held`, their shared retained values) with known, the size of what a full set shares with open texts of other components; those that can have no link go."""
+        n = F.col("n")
+        long = first.filter(n > self.size).select("node")
+        known = F.when(n <= self.size, F.size("held"))
+        if long.isEmpty():
+            found = first.withColumn("known", known)
+        else:
+            each = free(self.sets, "node").join(free(open_, "node"), "node").select("node", "n", "c", F.explode("own").alias("value"))
+            often = keys(each.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2"), "value")
+            whole = keys(free(each.filter(n > self.size), "value").join(often, "value").groupBy("node").agg(F.count(F.lit(1)).alias("k")), "node", "k")
+            found = free(first, "node").join(whole, "node", "left").withColumn("known", F.coalesce(known, "k", F.lit(0))).drop("k")
+        return found.withColumn("known", F.col("known").cast("bigint")).filter(F.col("known") * 100 >= self.percent * n)
 
     def classes(self) -> DataFrame:
         """node and component of the representatives that have a link."""

@@ -115,3 +115,31 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
+
+
+def template(n, words=1295, shared=1105, linked=0):
+    """n texts that share the same words and have the rest of their own; the first `linked` share more, by pairs."""
+    draw = random.Random(n)
+    out = []
+    for i in range(n):
+        own = [f"r{draw.randrange(10**9)}" for _ in range(words - shared)]
+        if i < linked and i % 2:
+            own[: len(own) * 2 // 3] = out[-1][1].split()[shared : shared + len(own) * 2 // 3]
+        out.append((i, " ".join([f"t{j}" for j in range(shared)] + own)))
+    return out
+
+
+def test_texts_of_a_template_form_no_pairs(spark):
+    """Jaccard 0.74 between all; only those that share more are links. Pairs grow with the texts, not with their square."""
+    formed = {}
+    for n in (60, 240):
+        rows = template(n, linked=n // 6)
+        linker = N.Linker(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+        lists = linker.lists()
+        linker.read_sets(lists.select("node").distinct())
+        found = components(linker.verified(linker.led(lists)), "u", "v")
+        formed[n] = linker.rare(lists, found).count()
+    assert formed[60] <= 60 and formed[240] <= 240
+    got = sorted(tuple(r) for r in N.near_duplicates(spark.createDataFrame(template(60, linked=10), "doc_id long, text string"), k=2).collect())
+    assert got == brute(template(60, linked=10), 2)
+    assert sum(i != c for i, _, c, _ in got) == 5
