@@ -2,11 +2,14 @@
 
 Each takes pages(page_id, url, html[, api_payload]) and keeps page order in pos. Lazy gaps between the
 parts of a record are not bounded by the record, so a record without a part takes it from the next.
+Page rows are told apart by these columns: different rows that share a page_id, or have none, are pages of their own, and equal rows are one page. Pages without
+html give no rows; an empty table gives none. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +74,18 @@ def shaped(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c) if c in have else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
 
 
+def by_row(extractor: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The extractor with a page_id of its own for each different page row while it runs."""
+
+    @wraps(extractor)
+    def run(pages: DataFrame, *args, **more) -> DataFrame:
+        own = [c for c in ("url", "html", "api_payload") if c in pages.columns]
+        told = pages.select(F.struct(F.col("page_id").alias("id"), F.xxhash64(*own).alias("row")).alias("page_id"), *own)
+        return extractor(told, *args, **more).withColumn("page_id", F.col("page_id.id"))
+
+    return run
+
+
 def firsts(rows: DataFrame) -> DataFrame:
     """Rows with title and URL, the first of each within its page."""
     return shaped(keep_first(rows.filter("title <> '' AND url <> ''"), ["page_id"], link_key()))
@@ -85,6 +100,7 @@ def _links(pages: DataFrame, pattern: str) -> DataFrame:
     return rows.filter(text.trim_ws("href") != "").select("page_id", "pos", text.clean_text("label").alias("title"), resolved("href").alias("url"))
 
 
+@by_row
 def list_links(pages: DataFrame) -> DataFrame:
     """Anchors that stand alone in list items."""
     return firsts(_links(pages, r'(?i)<li><a\s+href="([^"]*)"[^>]*>([\s\S]*?)</a>'))
@@ -102,10 +118,12 @@ def _titled(pages: DataFrame, pattern: str) -> DataFrame:
     return firsts(rows.select("page_id", "pos", title.alias("title"), addressed("href").alias("url"), title.alias("raw_html_snippet")))
 
 
+@by_row
 def titleline_rows(pages: DataFrame) -> DataFrame:
     return _titled(pages, TITLELINE)
 
 
+@by_row
 def article_links(pages: DataFrame) -> DataFrame:
     """Anchors with an article-link id; headline anchors on pages that have none."""
     first = _titled(pages, ARTICLE_LINK)
@@ -119,6 +137,7 @@ def fallback_union(primary: DataFrame, fallback: DataFrame, done: DataFrame | No
     return primary.unionByName(fallback.join(pages, "page_id", "left_anti").select(*primary.columns))
 
 
+@by_row
 def thumb_cards(pages: DataFrame) -> DataFrame:
     """Cards of a linked image: titled by attribute, else by the inner title; the first image that is no data: address."""
     rows = found(pages, THUMB, tag=1, inner=2)
@@ -130,6 +149,7 @@ def thumb_cards(pages: DataFrame) -> DataFrame:
     return firsts(rows.select("page_id", "pos", text.clean_text(label).alias("title"), addressed(href).alias("url"), urls.resolved_url(image, F.col("url")).alias("preview_image_url")))
 
 
+@by_row
 def poster_cards(pages: DataFrame) -> DataFrame:
     pattern = POSTER
     rows = found(pages, pattern, poster=1, image=2, href=3, label=4)
@@ -137,6 +157,7 @@ def poster_cards(pages: DataFrame) -> DataFrame:
     return firsts(rows.filter(F.contains(href, F.lit("/v/"))).select("page_id", "pos", text.clean_text("label").alias("title"), addressed(href).alias("url"), addressed("image").alias("preview_image_url")))
 
 
+@by_row
 def sectioned_list(pages: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Rows of sections whose label is known; the summary is the label and the number of comments."""
     sections = found(pages, SECTION, label=1, body=2)
@@ -145,9 +166,10 @@ def sectioned_list(pages: DataFrame, labels: dict[str, str] | None = None) -> Da
     comments = F.concat(F.lit("댓글 +"), text.first_match(SECTION_COUNT, "inner"))
     rows = rows.filter(text.trim_ws("href") != "").select("page_id", "section_pos", "pos", text.without_badge("inner").alias("title"), resolved("href").alias("url"), F.concat_ws(" · ", "section", comments).alias("summary"))
     order = Window.partitionBy("page_id").orderBy("section_pos", "pos")
-    return firsts(rows.withColumn("pos", F.row_number().over(order) - 1))
+    return firsts(rows.withColumn("pos", F.dense_rank().over(order) - 1))
 
 
+@by_row
 def ranked_rows(pages: DataFrame) -> DataFrame:
     """Lists of cells: the title link, and the plain cells rank and date as 'N위 · date'."""
     rows = found(pages, RANKED_ROW, body=1)
@@ -166,6 +188,7 @@ def _best(rows: DataFrame) -> DataFrame:
     return shaped(kept.withColumn("pos", F.row_number().over(order) - 1))
 
 
+@by_row
 def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
     """Video anchors with the last rank marker before them (the first where none is), and that segment's post and preview.
 
@@ -173,15 +196,17 @@ def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
     """
     marker = RANK_IMAGE
     html = F.replace("html", F.lit("\r\n"), F.lit("\n"))
-    segments = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.split(html, marker, -1)).alias("seg", "part"))
-    rank = F.regexp_extract("part", RANK_VALUE, 1).try_cast("bigint")
-    segments = segments.withColumn("rank", rank)
-    w = Window.partitionBy("page_id").orderBy("seg")
-    lead = lambda c: F.when(F.col("rank").isNull() & F.lead("seg").over(w).isNotNull(), F.lead(c).over(w)).otherwise(F.col(c))
-    segments = segments.select("page_id", "page_url", "seg", "part", lead("part").alias("context"), lead("rank").alias("rank"))
+    parts = F.transform(F.split(html, marker, -1), lambda x: F.struct(x.alias("part"), F.regexp_extract(x, RANK_VALUE, 1).try_cast("bigint").alias("rank")))
+
+    def following(all: Column) -> Column:
+        """Each part with the part and rank that it takes: the next one's where it has no rank itself."""
+        own = lambda x, i: F.when(x["rank"].isNull() & (i + 1 < F.size(all)), F.get(all, i + 1)).otherwise(x)
+        return F.transform(all, lambda x, i: F.struct(x["part"].alias("part"), own(x, i)["part"].alias("context"), own(x, i)["rank"].alias("rank")))
+
+    segments = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(urls.let(parts, following)).alias("seg", "x")).select("page_id", "page_url", "seg", "x.*")
     rows = found(segments, VIDEO_ANCHOR, "part", href=1)
     order = Window.partitionBy("page_id").orderBy("seg", "pos")
-    rows = rows.withColumn("entry", F.row_number().over(order).cast("bigint")).withColumn("pos", F.col("entry") - 1)
+    rows = rows.withColumn("entry", F.dense_rank().over(order).cast("bigint")).withColumn("pos", F.col("entry") - 1)
     status = ids.status_url(text.first_match(ANY_POST, "context"), POST_PREFIX)
     image = text.first_match(SHOT, "context")
     rows = rows.withColumn("status", status).withColumn("url", addressed("href", "page_url"))
@@ -189,12 +214,13 @@ def ranked_anchors(pages: DataFrame, namespace: str = "twidouga") -> DataFrame:
     return _best(rows.select("page_id", "pos", F.when(shown > 0, shown).otherwise(F.col("entry")).alias("rank_order"), ids.ranked_title(shown, F.col("status"), F.col("url")).alias("title"), "url", ids.video_key(namespace, "url", VIDEO_PATH).alias("dedupe_key"), F.col("status").alias("summary"), addressed(image, "page_url").alias("preview_image_url")))
 
 
+@by_row
 def ranked_articles(pages: DataFrame, namespace: str = "xranking") -> DataFrame:
     """Articles with a video: badge rank (0 counts) or place, post and its text, poster; the snippet is the view count."""
     rows = found(pages, ARTICLE)
     of = lambda name: text.trim_ws(F.regexp_extract("_match", rf"""(?i)<video\b[^>]*\b{name}=["']([^"']+)["'][^>]*>""", 1))
     rows = rows.withColumn("source", of("src")).filter("source <> ''")
-    rows = rows.withColumn("entry", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
+    rows = rows.withColumn("entry", F.dense_rank().over(Window.partitionBy("page_id").orderBy("pos")))
     badge = text.first_match(BADGE, "_match")
     rank = F.coalesce(badge.try_cast("bigint"), F.col("entry").cast("bigint"))
     anchor = POST_ANCHOR
@@ -215,13 +241,14 @@ def _payload_rows(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_v", parsed).withColumn("_v", F.when(is_array("_v"), F.col("_v")).when(is_array(inner), inner))
 
 
+@by_row
 def json_ranking(pages: DataFrame, namespace: str = "nimi", suffix: str = NAME_SUFFIX) -> DataFrame:
     """Rows of an API array, bare or under data; ids may be numbers or texts. The snippet is the view count."""
     root = _payload_rows(pages).filter("_v IS NOT NULL")
     each = root.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("pos", "v"))
     get = lambda path: F.try_variant_get("v", path, "string")
     rows = each.withColumn("direct", text.trim_ws(get("$.direct_url"))).filter("direct <> ''").withColumn("direct", addressed("direct", "page_url"))
-    rows = rows.withColumn("entry", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint"))
+    rows = rows.withColumn("entry", F.dense_rank().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint"))
     posts = F.transform(F.coalesce(F.try_variant_get("v", "$.posts", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.try_variant_get(p, "$.id", "string"))
     status = F.concat(F.lit(POST_PREFIX), ids.first_digits_id(posts))
     by = lambda field: F.concat(text.optional_text(get(f"$.posts[0].uploader.{field}")), F.lit(suffix))
@@ -237,6 +264,7 @@ def shown_views(c: Column | str) -> Column:
     return F.concat(F.lit("조회수 "), F.replace(F.coalesce(*(text.first_match(x, c) for x in VIEWS)), F.lit(","), F.lit("")))
 
 
+@by_row
 def image_chunk_ranking(pages: DataFrame, namespace: str = "nimi", compat_s_class: bool = True) -> DataFrame:
     """Each card image owns the text between its neighbours: rank before it, video and views after it.
 
@@ -263,17 +291,19 @@ def image_chunk_ranking(pages: DataFrame, namespace: str = "nimi", compat_s_clas
     return _best(rows.select("page_id", "pos", "rank_order", ids.ranked_title("rank_order", alt, F.col("status"), F.col("thumb")).alias("title"), F.col("target").alias("url"), key.alias("dedupe_key"), F.col("thumb").alias("preview_image_url"), F.col("status").alias("summary"), shown_views("after").alias("raw_html_snippet")))
 
 
+@by_row
 def api_or_images(pages: DataFrame, **more) -> DataFrame:
     """The API's rows; the images' only on pages whose payload is no array at all, so an empty array gives no rows."""
     valid = _payload_rows(pages)
     return json_ranking(valid.filter("_v IS NOT NULL").drop("_v"), **more).unionByName(image_chunk_ranking(valid.filter("_v IS NULL").drop("_v"), **more))
 
 
+@by_row
 def packed_payload(pages: DataFrame) -> DataFrame:
     """Records out of script chunks, decoded and joined in order; out of the page itself where no chunk is."""
     chunks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_PUSH), F.lit(0))).alias("n", "c"))
     chunks = chunks.withColumn("t", text.script_text(F.coalesce(text.first_match(_PUSH, "c", 1), text.first_match(_PUSH, "c", 2))))
-    joined = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "").alias("payload"))
+    joined = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("n", "t"))), lambda x: x["t"]), "").alias("payload"))
     whole = pages.join(joined, "page_id", "left").withColumn("payload", F.coalesce(F.nullif("payload", F.lit("")), "html"))
     rows = found(whole, RECORD, "payload", key=1, label=2, image=3)
     rows = rows.withColumn("image", text.trim_ws("image")).withColumn("key", text.trim_ws("key")).filter("key <> '' AND image <> ''")
@@ -282,6 +312,7 @@ def packed_payload(pages: DataFrame) -> DataFrame:
     return firsts(rows.select("page_id", "pos", text.clean_text(text.packed_text("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), addressed("image").alias("preview_image_url")))
 
 
+@by_row
 def dom_anchor_cards(pages: DataFrame) -> DataFrame:
     """Titled anchors to /s/x/y; preview from the first image within LOOK_AHEAD characters of the anchor, else the first with the title as alt."""
     anchor = rf"(?i)(?=(<a\b[\s\S]{{0,{LOOK_AHEAD - 2}}}))(<a\b[^>]*>)"
@@ -302,6 +333,7 @@ def dom_anchor_cards(pages: DataFrame) -> DataFrame:
     return firsts(rows.select("page_id", "pos", "title", url.alias("url"), urls.resolved_url(F.col("preview_image_url"), F.col("page_url")).alias("preview_image_url")))
 
 
+@by_row
 def payload_or_anchors(pages: DataFrame) -> DataFrame:
     return fallback_union(packed_payload(pages), dom_anchor_cards(pages))
 

@@ -141,3 +141,23 @@ def test_clip_counts_units(spark, place):
         got = spark.createDataFrame([(whole,)], "s string").select(text.clip_snippet("s"), text.utf16_units("s")).first()
         cut = whole.encode("utf-16-be")[: 2 * 277].decode("utf-16-be", "ignore") + "..."
         assert tuple(got) == (whole if length <= 280 else cut, length)
+
+
+def test_page_rows_are_told_apart(spark):
+    primary, fallback = '<a id="article-link-1" href="/p">P</a>', '<h2><a href="/f">F</a></h2>'
+    given = [(7, "https://x.org/a", primary + fallback), (7, "https://x.org/b", fallback), (None, "https://x.org/c", primary), (None, "https://x.org/c", primary + fallback), (8, "https://x.org/d", fallback), (8, "https://x.org/d", fallback), (9, None, None)]
+    frame = spark.createDataFrame(given, "page_id long, url string, html string").repartition(3)
+    got = sorted(((r["page_id"], r["title"], r["url"]) for r in X.article_links(frame).collect()), key=repr)
+    assert got == sorted([(7, "P", "https://x.org/p"), (7, "F", "https://x.org/f"), (None, "P", "https://x.org/p"), (None, "P", "https://x.org/p"), (8, "F", "https://x.org/f")], key=repr)
+    assert X.article_links(frame.limit(0)).collect() == []
+
+
+def test_equal_page_rows_are_one_page(spark):
+    """Ranks, places and joined chunks of a repeated page are those of the page."""
+    anchors = '<img src="rank1.png">1위<a href="https://video.twimg.com/amplify_video/1/a">Video URL</a><img src="rank2.png">2위<a href="https://video.twimg.com/amplify_video/2/b">Video URL</a><a href="https://video.twimg.com/amplify_video/3/c">Video URL</a>'
+    packed = """<script>self.__next_f.push([1,'{"id":{"__t":"u","v":"a1"},"title":"T","prev'])</script><script>self.__next_f.push([1,"iew\\":\\"I.jpg\\"}"])</script>"""
+    for name, html in (("ranked_anchors", anchors), ("packed_payload", packed), ("payload_or_anchors", packed)):
+        one = [(1, "https://x.org/s/sub", html, "x")]
+        ddl = "page_id long, url string, html string, pos string"
+        once, thrice = (sorted(map(tuple, X.extract(name, spark.createDataFrame(r, ddl).repartition(2)).collect())) for r in (one, one * 3))
+        assert once and once == thrice
