@@ -40,26 +40,14 @@ def site_of(rows: DataFrame, sites: DataFrame, *columns: str) -> DataFrame:
 
 
 def matching_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages with the sites whose (configured) origin or a glob pattern they match, each once.
-
-    Origins join by key. A pattern is tried on the pages that hold its longest whole literal segment between slashes; patterns
-    that have none are tried on all pages.
-    """
-    from sluice.functions.urls import glob_pattern, origin
+    """Pages with the sites whose (configured) origin or a glob pattern they match, each once. Origins join by key, patterns by one pass over each URL."""
+    from sluice.functions.urls import origin
+    from sluice.operators.patterns import glob_hits
 
     known = sites.select(F.col("id").alias("site_id"), origin(F.coalesce("configured_url", "url")).alias("_origin"), "match_patterns")
     columns = [*pages.columns, "site_id"]
     hits = pages.withColumn("_origin", origin("url")).join(known.select("site_id", "_origin"), "_origin").select(*columns)
-    pattern = known.select("site_id", F.explode("match_patterns").alias("_glob")).distinct()
-    literal = F.filter(F.split("_glob", "/"), lambda x: (x != "") & ~F.contains(x, F.lit("*")) & ~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:$"))
-    longest = F.array_max(F.transform(literal, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    pattern = pattern.select("site_id", glob_pattern("_glob").alias("_rx"), longest.alias("_segment"))
-    tried = pages.withColumn("_segment", F.explode(F.array_distinct(F.split("url", "/")))).join(pattern.filter("_segment IS NOT NULL"), "_segment")
-    hits = hits.union(tried.filter(F.rlike("url", F.col("_rx"))).select(*columns))
-    loose = pattern.filter("_segment IS NULL")
-    if not loose.isEmpty():
-        hits = hits.union(pages.join(loose, F.rlike("url", F.col("_rx"))).select(*columns))
-    return hits.distinct()
+    return hits.union(glob_hits(pages, known.select("site_id", F.explode("match_patterns").alias("glob")))).distinct()
 
 
 def overrides(settings: DataFrame, column: str = "settings") -> DataFrame:

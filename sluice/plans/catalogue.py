@@ -124,6 +124,19 @@ def site_match(spark, sf_dir):
     return views.matching_sites(pages.select("page_id", "url"), sites).select("page_id", "site_id")
 
 
+@query("""WITH globs AS (SELECT DISTINCT '*' || left(regexp_extract(url, '^https?://([^/?#]+)', 1), 7) || '*/' || left(regexp_extract(url, '/([0-9]+)', 1), 1) || '*' AS own FROM pages)
+SELECT page_id, own AS site_id FROM pages JOIN globs ON url LIKE replace(own, '*', '%')""")
+def glob_match(spark, sf_dir):
+    """Pages by patterns of which no literal is a whole part of a path: the start of each host and number, anywhere."""
+    from sluice.operators.patterns import glob_hits
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, number = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.regexp_extract("url", "/([0-9]+)", 1)
+    glob = F.concat(F.lit("*"), F.left(host, F.lit(7)), F.lit("*/"), F.left(number, F.lit(1)), F.lit("*"))
+    patterns = pages.select(glob.alias("site_id"), glob.alias("glob")).distinct()
+    return glob_hits(pages, patterns).select("page_id", "site_id")
+
+
 _BATCH = "WITH ev AS (SELECT event_type || ':' || user_id::VARCHAR AS id, event_type AS site_id, (epoch_us(ts) // 1000)::BIGINT AS t, user_id FROM events), old AS (SELECT id, min(site_id) AS site_id, min(t) AS t0, max(t) AS t1, count(*)::BIGINT AS n, min(user_id) AS u FROM ev WHERE t < 1705276800000 GROUP BY id), batch AS (SELECT id, min(site_id) AS site_id FROM ev WHERE t >= 1705276800000 GROUP BY id), items AS (SELECT * FROM old WHERE u % 5 <> 0), log AS (SELECT * FROM old WHERE u % 7 <> 0)"
 
 
