@@ -312,18 +312,38 @@ def packed_payload(pages: DataFrame) -> DataFrame:
     return firsts(rows.select("page_id", "pos", text.clean_text(text.packed_text("label")).alias("title"), urls.article_url("url", path, urls.query_param("url", "mode")).alias("url"), addressed("image").alias("preview_image_url")))
 
 
+def _tags(pages: DataFrame) -> DataFrame:
+    """The anchor and image tags of each page: n, tag, start (its offset in the page), is_image, inner (it stands within one of its kind) and, for anchors, pos (its place among them).
+
+    Offsets come from the lengths between tags, so a page's rows hold its tags and no more. Equal page rows give their tags once.
+    """
+    token = r"(?i)(?=(<(?:a|img)\b[^>]*>))<"
+    lengths = F.transform(F.split("html", token, -1), lambda x: F.length(x))
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(token), F.lit(1)).alias("tag"), lengths.alias("gap"))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("n", "x")).select("page_id", "page_url", "n", "x.*").filter("tag IS NOT NULL")
+    rows = rows.repartition("page_id").groupBy("page_id", "n").agg(*(F.min(c).alias(c) for c in ("page_url", "tag", "gap")))
+    so_far = Window.partitionBy("page_id").orderBy("n")
+    rows = rows.withColumn("is_image", F.lower(F.left("tag", F.lit(4))) == "<img").withColumn("start", F.sum("gap").over(so_far) + F.col("n"))
+    before = Window.partitionBy("page_id", "is_image").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.max(F.col("start") + F.length("tag")).over(before) > F.col("start"), F.lit(False)))
+    return rows.withColumn("pos", (F.count_if(~F.col("is_image") & ~F.col("inner")).over(so_far) - 1).cast("int"))
+
+
 @by_row
 def dom_anchor_cards(pages: DataFrame) -> DataFrame:
     """Titled anchors to /s/x/y; preview from the first image within LOOK_AHEAD characters of the anchor, else the first with the title as alt."""
-    anchor = rf"(?i)(?=(<a\b[\s\S]{{0,{LOOK_AHEAD - 2}}}))(<a\b[^>]*>)"
-    part = lambda i: F.regexp_extract_all("html", F.lit(anchor), F.lit(i))
-    each = F.arrays_zip(part(1).alias("ahead"), part(2).alias("tag"))
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(each).alias("pos", "c")).select("page_id", "page_url", "pos", "c.ahead", "c.tag")
-    near = text.trim_ws(text.loose_attribute(F.regexp_extract("ahead", r"(?i)<img\b[^>]*>", 0), "src"))
+    tags = _tags(pages)
+    after = Window.partitionBy("page_id").orderBy(F.desc("n"))
+    image = F.when(F.col("is_image"), F.struct("tag", (F.col("start") + F.length("tag")).alias("end")))
+    # the next image from here on, which an attribute of the anchor itself may hold; it counts where it ends within reach
+    ahead = F.last(image, ignorenulls=True).over(after)
+    rows = tags.withColumn("ahead", ahead).filter("NOT is_image AND NOT inner")
+    rows = rows.withColumn("ahead", F.when(F.col("ahead.end") <= F.col("start") + LOOK_AHEAD, F.col("ahead.tag")).otherwise(""))
+    near = text.trim_ws(text.loose_attribute("ahead", "src"))
     rows = rows.select("page_id", "page_url", "pos", text.decode_entities(text.loose_attribute("tag", "href")).alias("href"), text.clean_text(text.decode_entities(text.loose_attribute("tag", "title"))).alias("title"), F.when((near != "") & ~near.startswith("data:"), near).alias("near"))
     rows = rows.filter((F.col("title") != "") & F.regexp_replace("href", r"(?i)^https?://[^/]+", "").rlike(r"(?i)^/?s/[^/?#]+/[^/?#]+"))
     rows = rows.withColumn("target", urls.resolved_url(F.col("href"), F.col("page_url")))
-    images = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("n", "img"))
+    images = tags.filter("is_image AND NOT inner").select("page_id", "n", F.col("tag").alias("img"))
     images = images.withColumn("alt", F.lower(text.clean_text(text.decode_entities(text.loose_attribute("img", "alt"))))).withColumn("src", text.trim_ws(text.loose_attribute("img", "src"))).filter("alt <> '' AND src <> ''")
     lookup = keep_first(images, ["page_id"], F.col("alt"), "n").select("page_id", "alt", "src")
     rows = rows.withColumn("alt", F.lower("title")).join(lookup, ["page_id", "alt"], "left").withColumn("preview_image_url", F.coalesce("near", "src")).filter("preview_image_url IS NOT NULL")

@@ -161,3 +161,34 @@ def test_equal_page_rows_are_one_page(spark):
         ddl = "page_id long, url string, html string, pos string"
         once, thrice = (sorted(map(tuple, X.extract(name, spark.createDataFrame(r, ddl).repartition(2)).collect())) for r in (one, one * 3))
         assert once and once == thrice
+
+
+def test_next_image_by_offsets(spark):
+    """Against the text itself: the first image tag that is whole within the 4,000 characters from an anchor's start."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    made = []
+    for n in range(25):
+        parts = []
+        for i in range(60):
+            parts.append(rng.choice([f'<a title="T{i}" href="/s/x/{i}">', f'<img src="I{i}">', f'<IMG src="data:{i}">', f'<a title="U{i}" href="/s/y/{i}" x="<img src=in{i}>">', "x" * rng.randrange(0, 2500), "<b>", "<abc>", "<a", "😀", f'<a title="V{i} <a title=W{i}" href="/s/z/{i}">']))
+        made.append((n, "https://x.org/s/sub", "".join(parts)))
+    want = set()
+    for n, _, html in made:
+        for m in re.finditer(r"(?i)<a\b[^>]*>", html):
+            image = re.search(r"(?i)<img\b[^>]*>", html[m.start() : m.start() + 4000])
+            title, src = re.search(r'title="([^"]+)"', m[0]), image and re.search(r"src=[\"']?([^\"'>]+)", image[0])
+            if title and src and not src[1].startswith("data:"):
+                want.add((n, title[1], f"https://x.org/s/{src[1]}"))
+    frame = spark.createDataFrame(made + made[:3], "page_id long, url string, html string").repartition(4)
+    got = {(r["page_id"], r["title"], r["preview_image_url"]) for r in X.dom_anchor_cards(frame).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_tags_hold_no_text_around_them(spark):
+    anchors = 3000
+    frame = spark.createDataFrame([(1, "u", "<a href=x>" * anchors + "y" * 50_000)], "page_id long, url string, html string")
+    size = X._tags(frame).agg(F.sum(F.length("tag"))).first()[0]
+    assert size == 10 * anchors
