@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -366,6 +368,29 @@ def page_words(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_text("html").alias("words"))
 
 
+class _Paragraphs:
+    """A parser as a user may write one: paragraphs, numbered from page to page of a host."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def parse(self, page: dict):
+        for title in re.findall("<p>([^<]*)</p>", page["html"] or ""):
+            self.n += 1
+            yield {"title": title, "url": f"#p{self.n}", "price": self.n}
+
+
+@query(f"""SELECT page_id, (i - 1)::INT AS pos, title, regexp_replace(url, '#.*$', '') || '#p' || n AS url, n::DOUBLE AS price FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, i) AS n
+FROM (SELECT page_id, url, host, i, {_clean_sql('heads[i]')} AS title FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS heads FROM pages), LATERAL (SELECT unnest(generate_series(1, len(heads))) AS i))) WHERE title <> ''""")
+def outside_parser(spark, sf_dir):
+    """A parser from outside, run as a table function over the pages of each host in order."""
+    from sluice.operators import extension
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
+    extension.register(spark, "numbered_paragraphs", _Paragraphs, by=("host",), order=("page_id",))
+    return extract.extract("numbered_paragraphs", pages).select("page_id", "pos", "title", "url", "price")
+
+
 _IDENT = f"'s' || (doc_id % 3) || ':' || {_hash_sql(chr(39) + chr(39) + ' || key')}"
 
 
