@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import dropped, shared_folder, table
+from sluice.llm.common import dropped, shared_folder, table, temporary
 from sluice.llm.decontamination import clean
 from sluice.llm.near_dedup import one_of_each
 from sluice.llm.packing import pack_documents
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again; what a stage no longer needs is deleted."""
+    """All stages, each written and read again; what a stage no longer needs is deleted, the rest when the driver ends."""
     docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last:
             dropped(spark, f"{folder}/{last}")
         last = name
+    temporary(spark, folder)
     return docs

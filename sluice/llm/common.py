@@ -48,12 +48,24 @@ def cleaned(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+_ENDING: set[str] = set()
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """Delete the folder, which is there, when the driver ends."""
+    if path not in _ENDING:
+        _ENDING.add(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; lost executors cost no recomputation of what led here."""
+    """The rows, written to the session's checkpoint folder, which goes with the session; lost executors cost no recomputation of what led here."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
+    temporary(spark, context._jsc.sc().getCheckpointDir().get())
     with cleaned(spark):
         return df.select("*").checkpoint(eager=True)
 
@@ -198,6 +210,7 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with cleaned(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.parquet(path), path
 
 
