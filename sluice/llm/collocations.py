@@ -1,8 +1,8 @@
 """Phrase collocations: n-grams as rows, counted per language, scored by the weakest cut, without phrases that a longer one explains.
 
 Words, pairs and longer phrases become rows (lang, phrase, words, n), counted within a block of texts before they leave
-the worker, and are added up by hash aggregation. Three scans make them: words; pairs of words that are both frequent; longer phrases all
-of whose pairs are. A phrase stands at most as often as each part of it, so a phrase that is not made could not reach `least`.
+the worker, and are added up by hash aggregation. Three scans make them: words; hashes of the pairs of words that are both frequent; phrases of
+two and more words all of whose pairs have a frequent hash. A phrase stands at most as often as each part of it, so a phrase that is not made could not reach `least`.
 What is frequent goes to the workers as a bitmap of a fixed size: a wrong hit in it only makes rows that the exact count drops again,
 so the result does not depend on its size.
 Counts of the first and the last part of each cut are joined (they are at least as frequent as the phrase, so they are in the table),
@@ -26,6 +26,8 @@ from sluice.llm.common import FEW, Prefix, blocks, durable, mix
 
 #: Log2 of the bits that tell the workers what is frequent: 8 MB.
 BITS = 26
+#: Bits of a pair's hash by which pairs are counted before those that may be frequent are counted as texts.
+PAIR_BITS = 40
 #: Bytes of text counted at once in a worker.
 BLOCK = 8 << 20
 #: Groups in which each language's phrases are ranked before the ranks of what is left are taken.
@@ -93,23 +95,24 @@ def _words(lang: str, codes: np.ndarray, names: pa.Array, joined: np.ndarray) ->
 
 
 def _two(lang: str, codes: np.ndarray, names: pa.Array, joined: np.ndarray, bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words."""
-    often = _held(bitmap, _hashes(names, lang), bits)[codes]
+    """Hashes of the pairs of frequent words."""
+    own = _hashes(names, lang)
+    often = _held(bitmap, own, bits)[codes]
     at = np.flatnonzero(joined[:-1] & often[:-1] & often[1:])
-    found, n = np.unique(codes[at] * len(names) + codes[at + 1], return_counts=True)
+    found, n = np.unique(_pairs(own[codes[at]], own[codes[at + 1]]) >> np.uint64(64 - PAIR_BITS), return_counts=True)
     if len(found):
-        yield _counted(lang, pc.binary_join_element_wise(names.take(pa.array(found // len(names))), names.take(pa.array(found % len(names))), _GAP), 2, n)
+        yield pa.record_batch([pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
 
 def _more(lang: str, codes: np.ndarray, names: pa.Array, joined: np.ndarray, bitmap: np.ndarray, bits: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of three to `most` words all of whose pairs are frequent."""
+    """Phrases of two to `most` words all of whose pairs are frequent."""
     own = _hashes(names, lang)
     runs = np.zeros(len(codes), bool)
     runs[:-1] = joined[:-1]
     at = np.flatnonzero(runs)
     runs[at] = _held(bitmap, _pairs(own[codes[at]], own[codes[at + 1]]), bits)
     at = np.flatnonzero(runs)
-    for size in range(3, most + 1):
+    for size in range(2, most + 1):
         at = at[at + size - 2 < len(runs)]
         at = at[runs[at + size - 2]]
         if not len(at):
@@ -118,7 +121,7 @@ def _more(lang: str, codes: np.ndarray, names: pa.Array, joined: np.ndarray, bit
         yield _counted(lang, found.dictionary, size, np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary)))
 
 
-def _grams(documents: DataFrame, least: int, make, *given) -> DataFrame:
+def _grams(documents: DataFrame, schema: str, make, *given) -> DataFrame:
     """The rows that `make` gives for each language of each block, added up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,47 +135,45 @@ def _grams(documents: DataFrame, least: int, make, *given) -> DataFrame:
                         yield from make(lang, codes, names, joined, *extra)
 
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    made = texts.mapInArrow(rows, _SPARK_ROWS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return durable(made.filter(F.col("phrase").isNull() | (F.col("n") >= least)))
+    made = texts.mapInArrow(rows, schema)
+    return made.groupBy(*(c for c in made.columns if c != "n")).agg(F.sum("n").alias("n"))
+
+
+def _bitmap(slots: DataFrame, bits: int):
+    """Broadcast bits of the slots (slot), set by tasks: at most 2^bits / 64 rows reach the driver, whatever the input."""
+    place, mask = F.shiftright("slot", 6).alias("place"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    set_bits = slots.groupBy(place).agg(F.bit_or(mask).alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[set_bits["place"].to_numpy()] = set_bits["mask"].to_numpy().view(np.uint64)
+    return slots.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _bitmap(frequent: DataFrame, bits: int):
-    """Broadcast bits of the rows' phrases, set by tasks: at most 2^bits / 64 rows reach the driver, whatever the input."""
+def _word_slots(words: DataFrame, bits: int) -> DataFrame:
+    """The slot of each frequent word (lang, phrase)."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in batch.column("lang").unique().to_pylist():
-                own = batch.filter(pc.equal(batch.column("lang"), lang))
-                parts = pc.split_pattern(own.column("phrase"), " ")
-                first = _hashes(pc.list_element(parts, 0), lang)
-                two = own.column("words").to_numpy(zero_copy_only=False) == 2
-                if two.any():
-                    first[two] = _pairs(first[two], _hashes(pc.list_element(parts.filter(pa.array(two)), 1), lang))
-                at = _slots(first, bits)
-                yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["place", "mask"])
-
-    set_bits = frequent.mapInArrow(slots, "place bigint, mask bigint").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[set_bits["place"].to_numpy()] = set_bits["mask"].to_numpy().view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(bitmap)
+                own = batch.column("phrase").filter(pc.equal(batch.column("lang"), lang))
+                yield pa.record_batch([pa.array(_slots(_hashes(own, lang), bits))], ["slot"])
+
+    return words.select("lang", "phrase").mapInArrow(slots, "slot bigint")
 
 
 def frequent_phrases(documents: DataFrame, most: int, least: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of 1 to `most` words that stand `least` times, and (lang, total) words of each language."""
-    one = _grams(documents, least, _words)
-    single = one.filter("phrase IS NOT NULL")
-    found, of_words = [single], _bitmap(single, bits)
+    counted = _grams(documents, _SPARK_ROWS, _words)
+    one = durable(counted.filter(F.col("phrase").isNull() | (F.col("n") >= least)))
+    found = one.filter("phrase IS NOT NULL")
     if most > 1:
-        found.append(_grams(documents, least, _two, of_words, bits))
-    if most > 2:
-        of_pairs = _bitmap(found[1], bits)
-        found.append(_grams(documents, least, _more, of_pairs, bits, most))
+        of_words = _bitmap(_word_slots(found, bits), bits)
+        pairs = _grams(documents, "h bigint, n bigint", _two, of_words, bits).filter(F.col("n") >= least)
+        of_pairs = _bitmap(pairs.select(F.shiftright("h", PAIR_BITS - bits).alias("slot")), bits)
+        more = durable(_grams(documents, _SPARK_ROWS, _more, of_pairs, bits, most).filter(F.col("n") >= least))
+        found = found.union(more)
+        of_words.unpersist()
         of_pairs.unpersist()
-    of_words.unpersist()
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    return every, one.filter("phrase IS NULL").select("lang", F.col("n").alias("total"))
+    return found, one.filter("phrase IS NULL").select("lang", F.col("n").alias("total"))
 
 
 def _head(k: str) -> Column:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sluice.llm.collocations import _bitmap, collocations, frequent_phrases
+from sluice.llm.collocations import _bitmap, _word_slots, collocations, frequent_phrases
 
 SCHEMA = "doc_id bigint, text string, lang string"
 
@@ -59,7 +59,7 @@ def test_size_of_the_bitmap_changes_nothing(spark):
     exact, totals = frequent_phrases(frame, 4, 10)
     crowded, _ = frequent_phrases(frame, 4, 10, bits=6)  # nearly every bit is set
     assert sorted(exact.collect()) == sorted(crowded.collect())
-    assert bin(int(_bitmap(exact.filter("words = 1"), 6).value[0])).count("1") > 10
+    assert bin(int(_bitmap(_word_slots(exact.filter("words = 1"), 6), 6).value[0])).count("1") > 10
 
 
 def test_counts_past_64_bits(spark):
