@@ -199,10 +199,13 @@ def _half(odd: int, frame: DataFrame) -> DataFrame:
     return frame.filter(F.col("page_id") % 2 == odd)
 
 
-@query(f"SELECT * FROM ({ORACLES['json_ranking']}) WHERE page_id % 2 = 0 UNION ALL SELECT * FROM ({ORACLES['image_chunk_ranking']}) WHERE page_id % 2 = 1")
+@query(f"SELECT * FROM ({ORACLES['json_ranking']}) WHERE page_id % 2 = 0 AND page_id % 10 <> 0 UNION ALL SELECT * FROM ({ORACLES['image_chunk_ranking']}) WHERE page_id % 2 = 1")
 def api_or_images(spark, sf_dir):
+    """Payloads; images where the payload is no array; and, of pages with images, those with an empty array, which give nothing."""
     broken = F.when(F.col("page_id") % 4 == 1, F.lit('{"data":5}')).otherwise(F.lit("nope"))
-    both = _half(0, _api_pages(spark, sf_dir)).unionByName(_half(1, _image_pages(spark, sf_dir)).withColumn("api_payload", broken))
+    images = _image_pages(spark, sf_dir)
+    empty = images.filter("page_id % 10 = 0").withColumn("api_payload", F.when(F.col("page_id") % 20 == 0, "[]").otherwise('{"data":[]}'))
+    both = _half(0, _api_pages(spark, sf_dir)).filter("page_id % 10 <> 0").unionByName(_half(1, images).withColumn("api_payload", broken)).unionByName(empty)
     return extract.extract("api_or_images", both)
 
 
