@@ -273,7 +273,8 @@ class Linker:
         size, n = F.least(F.col("n"), F.lit(self.size)), F.col("n")
         most = (F.size("held") - self.need(n) + 1).cast("int")  # values that no other component's sketch has come first
         first = held.select("node", "n", "c").join(shared, "node").withColumn("most", most).filter("most > 0")
-        first = durable(self._known_to_others(first, open_))
+        known = self._known_to_others(durable(first.select("node", "n", "c", F.size("held").alias("k"))))
+        first = free(first, "node").join(keys(known, "node", "known"), "node")
         places = F.transform(F.slice("held", F.lit(1), F.col("most")), lambda x, i: F.struct(x["value"].alias("value"), (F.size("held") - i).cast("bigint").alias("left"), F.transform(F.slice(F.col("held"), F.lit(1), i), lambda y: y["value"]).alias("before")))
         small = F.col("known") * (100 + self.percent) >= 2 * self.percent * n  # else it is the smaller of no linked pair
         out = durable(first.select("node", "n", "c", "known", small.alias("small"), F.explode(places).alias("x")).select("node", "n", "c", "known", "small", "x.value", "x.left", "x.before"))
@@ -292,19 +293,21 @@ class Linker:
         met = [free(minor.filter("small"), "value").join(other, "value").filter(sound), free(minor.filter("NOT small"), "value").join(other.filter("small_too"), "value").filter(sound)]
         return met[0].union(met[1]).select(F.col("node").alias("u"), "v")
 
-    def _known_to_others(self, first: DataFrame, open_: DataFrame) -> DataFrame:
-        """The rows of nodes (with `held`, their shared retained values) with known, the size of what a full set shares with open texts of other components; those that can have no link go."""
-        n = F.col("n")
-        long = first.filter(n > self.size).select("node")
-        known = F.when(n <= self.size, F.size("held"))
-        if long.isEmpty():
-            found = first.withColumn("known", known)
-        else:
-            each = free(self.sets, "node").join(free(open_, "node"), "node").select("node", "n", "c", F.explode("own").alias("value"))
+    def _known_to_others(self, nodes: DataFrame) -> DataFrame:
+        """node and known, the size of what its full set shares with nodes of other components; nodes that can have no link go.
+
+        Of nodes (node, n, c, k) k is that size for sets that the sketch holds whole. Larger ones are counted among those that may be linked with one.
+        """
+        n, long = F.col("n"), nodes.filter(F.col("n") > self.size)
+        known = nodes.filter(n <= self.size).select("node", "n", F.col("k").alias("known"))
+        if not long.isEmpty():
+            near = nodes.filter(100 * n >= self.percent * self.size).select(F.col("node").alias("w"), "c")
+            near = F.broadcast(near) if near.count() <= BROADCAST else free(near, "w")
+            each = free(self.sets, "node").join(near, F.col("node") == F.col("w")).select("node", "n", "c", F.explode("own").alias("value"))
             often = keys(each.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2"), "value")
-            whole = keys(free(each.filter(n > self.size), "value").join(often, "value").groupBy("node").agg(F.count(F.lit(1)).alias("k")), "node", "k")
-            found = free(first, "node").join(whole, "node", "left").withColumn("known", F.coalesce(known, "k", F.lit(0))).drop("k")
-        return found.withColumn("known", F.col("known").cast("bigint")).filter(F.col("known") * 100 >= self.percent * n)
+            whole = free(each.filter(n > self.size).select("node", "n", "value"), "value").join(often, "value").groupBy("node", "n").agg(F.count(F.lit(1)).alias("known"))
+            known = known.union(whole.select("node", "n", "known"))
+        return known.filter(F.col("known") * 100 >= self.percent * n).select("node", F.col("known").cast("bigint").alias("known"))
 
     def classes(self) -> DataFrame:
         """node and component of the representatives that have a link."""
